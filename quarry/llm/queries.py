@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import cooccurrence, leakage, ranking
+from quarry.llm import cooccurrence, encoding, leakage, ranking
 from quarry.tables import table
 
 
@@ -22,8 +22,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_pairs(leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 P5_SQL = """
