@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import cooccurrence, encoding, leakage, ranking
+from quarry.llm import cooccurrence, encoding, leakage, neardup, ranking
 from quarry.tables import table
 
 
@@ -18,6 +18,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.beyond_chance(cooccurrence.together(table(spark, folder, "commit_node_links"), min_together=4))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.all_pairs(*neardup.near_duplicates(table(spark, folder, "nodes")))
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(*neardup.near_duplicates(table(spark, folder, "nodes")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_pairs(leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
@@ -27,7 +35,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
 
 
 P5_SQL = """
