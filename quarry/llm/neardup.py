@@ -117,16 +117,18 @@ def candidates(reps: DataFrame, threshold: float, long_list: int = LONG_LIST, si
     pairs = _paired(short, threshold)
     # Similar classes that share no short list agree in `least` long ones: among their rarest long values they share a pair, and a triple.
     many = F.transform(F.filter("values", lambda v: v["listed"] > long_list), lambda v: v["value"])
-    long = per_class.select("rep", "n", "least", many.alias("rest")).where(F.size("rest") >= F.greatest("least", F.lit(3)))
+    long = per_class.select("rep", "n", "least", many.alias("rest")).where(F.size("rest") >= F.greatest("least", F.lit(2)))
     reach = F.size("rest") - F.col("least")
     head = F.slice("rest", F.lit(1), reach + 2)
     twos = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.array(x, y))))
-    doubles = long.select("rep", "n", "rest", F.slice("rest", F.lit(1), reach + 3).alias("head"), F.explode(twos).alias("key"))
+    doubles = long.select("rep", "n", "least", F.slice("rest", F.lit(1), reach + 3).alias("head"), F.explode(twos).alias("key"))
     counts = doubles.groupBy("key").agg(F.count("*").alias("listed")).where("listed > 1")
     sized = doubles.join(counts, "key")
     pairs = pairs.unionByName(_paired(sized.where(F.col("listed") <= long_list), threshold))
     after = F.slice("head", F.array_position("head", F.element_at("key", -1)).cast("int") + 1, F.size("head"))
-    triples = sized.where(F.col("listed") > long_list).select("rep", "n", F.explode(F.transform(after, lambda z: F.concat("key", F.array(z)))).alias("key"))
+    whole = F.when(F.col("least") < 3, F.array("key")).otherwise(F.array())
+    longer = F.concat(F.transform(after, lambda z: F.concat("key", F.array(z))), whole)
+    triples = sized.where(F.col("listed") > long_list).select("rep", "n", F.explode(longer).alias("key"))
     return pairs.unionByName(_paired(triples, threshold)).distinct()
 
 
