@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import cooccurrence, encoding, leakage, neardup, ranking
+from quarry.llm import cooccurrence, encoding, handwritten, leakage, neardup, ranking
 from quarry.tables import table
 
 
@@ -18,6 +19,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.beyond_chance(cooccurrence.together(table(spark, folder, "commit_node_links"), min_together=4))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = handwritten.not_handwritten(table(spark, folder, "nodes"), table(spark, folder, "projects"))
+    return found.select(F.col("id").alias("node_id")).distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.all_pairs(*neardup.near_duplicates(table(spark, folder, "nodes")))
 
@@ -35,7 +41,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
 
 
 P5_SQL = """
