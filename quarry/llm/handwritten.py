@@ -180,7 +180,7 @@ def declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
     rest = F.when(F.col("folder") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("folder") + 2, F.length("path")))
     held = F.when(F.col("base"), F.element_at(F.split(rest, "/"), -1)).otherwise(rest)
     order = F.struct(F.length("folder"), "line", "marked")
-    return met.withColumn("_held", held).where(F.col("_held").rlike(F.col("regex"))).groupBy("id").agg(F.max_by("marked", order).alias("declared"))
+    return met.withColumn("_held", held).where(F.expr("rlike(_held, regex)")).groupBy("id").agg(F.max_by("marked", order).alias("declared"))
 
 
 # --- path patterns -------------------------------------------------------------------------------------
