@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import cooccurrence, encoding, handwritten, leakage, neardup, ranking
+from quarry.llm import cooccurrence, docpairs, encoding, handwritten, leakage, neardup, ranking
 from quarry.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return docpairs.documented_pairs(table(spark, folder, "nodes")).select("node_id").distinct()
+
+
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return docpairs.documented_pairs(table(spark, folder, "nodes"))
+
+
+def p2_file_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return docpairs.file_pairs(table(spark, folder, "parsed_files"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.top_targets(ranking.net_flows(table(spark, folder, "target_factors")))
 
@@ -41,7 +53,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
 
 
 P5_SQL = """
