@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import cooccurrence, docpairs, encoding, handwritten, leakage, neardup, ranking
+from quarry.llm import broken, cooccurrence, docpairs, encoding, handwritten, leakage, neardup, ranking
 from quarry.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return broken.checked_files(table(spark, folder, "parsed_files")).where("broken").select("file_id").distinct()
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return broken.broken_rates(broken.checked_files(table(spark, folder, "parsed_files"), located=True))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return docpairs.documented_pairs(table(spark, folder, "nodes")).select("node_id").distinct()
 
@@ -53,7 +61,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
 
 
 P5_SQL = """
