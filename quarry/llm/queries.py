@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import broken, cooccurrence, docpairs, encoding, handwritten, leakage, neardup, ranking
+from quarry.llm import broken, cooccurrence, docpairs, encoding, handwritten, leakage, neardup, packing, ranking
 from quarry.tables import table
 
 
@@ -52,6 +52,10 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(table(spark, folder, "nodes")))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(packing.measured(table(spark, folder, "documents")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_pairs(leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
@@ -61,7 +65,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 P5_SQL = """
