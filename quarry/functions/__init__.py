@@ -1 +1 @@
-"""..."""
+"""Scalar functions and text rules shared by sources and operators."""
