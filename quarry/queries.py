@@ -5,15 +5,76 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.operators import snapshots
+from quarry.functions.text import canonical_route, content_hash, estimate_tokens
+from quarry.operators import graph, model, relational, risk, search, similarity, snapshots
+from quarry.plans import pattern
+from quarry.sources import extract
 from quarry.tables import table
 
+PAGERANK_ROUNDS = 10
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshots.snapshot_changes(table(spark, folder, "node_snapshots"), table(spark, folder, "snapshot_deliveries"))
+#: Common table expressions shared by the SQL texts: nodes, unique edges, links, commits.
+WITH_N = r"""N AS (SELECT DISTINCT id, project_id, replace(file_path, '\', '/') AS file_path, kind, name, qualified_name, complexity, is_exported, start_line, end_line, metadata FROM nodes)"""
+WITH_E = """E AS (SELECT project_id, source_node_id, target_node_id, kind, metadata FROM (SELECT *, row_number() OVER (PARTITION BY source_node_id, target_node_id, kind ORDER BY id) AS rn FROM edges) WHERE rn = 1)"""
+WITH_L = """L AS (SELECT DISTINCT project_id, lower(commit_hash) AS hash, node_id FROM commit_node_links WHERE commit_hash IS NOT NULL AND node_id IS NOT NULL)"""
+WITH_C = """C AS (SELECT DISTINCT id, project_id, lower(hash) AS hash, message, author, committed_at, intent_kind, files_changed FROM git_commits)"""
+WITH_COUPLING = """F AS (SELECT DISTINCT id FROM N WHERE kind = 'file'),
+big AS (SELECT project_id, hash FROM L GROUP BY ALL HAVING count(*) > 50),
+K AS (SELECT L.* FROM L ANTI JOIN big USING (project_id, hash) SEMI JOIN F ON F.id = L.node_id),
+P AS (SELECT a.project_id, a.node_id AS source_node_id, b.node_id AS target_node_id, count(*) AS co_changes FROM K a JOIN K b ON a.project_id = b.project_id AND a.hash = b.hash AND a.node_id < b.node_id GROUP BY ALL HAVING count(*) >= 2)"""
+RULES = [{"from": "src/**", "deny": ["lib/**", "pkg/**"], "allow": ["lib/util/**"]}, {"from": "**/api/**", "deny": ["**/store/**"]}]
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL where there is one."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return model.nodes(spark, folder, "id").where("id % 100 = 0").select(F.col("id").alias("seed")).distinct()
+
+
+def _ranks(spark: SparkSession, folder: str) -> DataFrame:
+    members = model.nodes(spark, folder, "id", "project_id").select("project_id", F.col("id").alias("node_id"))
+    return graph.pagerank(members, graph.dependency_edges(model.edges(spark, folder)), iterations=PAGERANK_ROUNDS, epsilon=0)
+
+
+def _relative(nodes: DataFrame, projects: DataFrame) -> DataFrame:
+    """Nodes with ``file_path`` below their project's root."""
+    roots = projects.select(F.col("id").alias("project_id"), F.rtrim(F.regexp_replace("root_path", r"\\", "/"), F.lit("/")).alias("root"))
+    return nodes.join(roots, "project_id", "left").withColumn("file_path", F.when(F.col("file_path").startswith(F.concat("root", F.lit("/"))), F.expr("substring(file_path, length(root) + 2)")).otherwise(F.col("file_path"))).drop("root")
 
 
+WITH_R = r"""R AS (SELECT id AS project_id, rtrim(replace(root_path, '\', '/'), '/') AS root FROM projects),
+M AS (SELECT N.* REPLACE (CASE WHEN starts_with(file_path, root || '/') THEN substr(file_path, length(root) + 2) ELSE file_path END AS file_path) FROM N LEFT JOIN R USING (project_id))"""
+
+
+def _pagerank_sql(rounds: int) -> str:
+    """The rank iteration unrolled."""
+    steps = [f"{WITH_E}, V AS (SELECT DISTINCT project_id, id FROM nodes), sz AS (SELECT project_id, count(*) AS n FROM V GROUP BY 1)",
+             "A AS (SELECT source_node_id AS src, target_node_id AS dst FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on') AND source_node_id IN (SELECT id FROM V) AND target_node_id IN (SELECT id FROM V))",
+             "D AS (SELECT src, count(*) AS o FROM A GROUP BY 1), W AS MATERIALIZED (SELECT A.src, dst, count(*) / any_value(o) AS share FROM A JOIN D ON A.src = D.src GROUP BY 1, 2)",
+             "r0 AS MATERIALIZED (SELECT V.project_id, V.id, n, o IS NULL AS sink, 1.0::DOUBLE / n AS pr FROM V JOIN sz USING (project_id) LEFT JOIN D ON D.src = V.id)"]
+    for k in range(rounds):
+        steps.append(f"r{k + 1} AS MATERIALIZED (SELECT r.project_id, r.id, n, sink, 0.15 / n + 0.85 * (coalesce(g.got, 0) + l.lost / n) AS pr FROM r{k} r LEFT JOIN (SELECT dst, sum(pr * share) AS got FROM r{k} JOIN W ON W.src = r{k}.id GROUP BY 1) g ON g.dst = r.id JOIN (SELECT project_id, sum(CASE WHEN sink THEN pr ELSE 0 END) AS lost FROM r{k} GROUP BY 1) l ON l.project_id = r.project_id)")
+    return "WITH " + ",\n".join(steps)
+
+
+WITH_RANKS = _pagerank_sql(PAGERANK_ROUNDS)
+
+# --- snapshots ------------------------------------------------------------------------------------------
+
 P3_SQL = r"""
 WITH l AS (SELECT project_id, snapshot_no, qualified_name, lower(content_hash) AS content_hash, replace(file_path, '\', '/') AS file_path,
              row_number() OVER (PARTITION BY project_id, snapshot_no, qualified_name ORDER BY delivered_at DESC NULLS LAST,
@@ -33,9 +94,546 @@ WHERE o.qualified_name IS NULL OR n.qualified_name IS NULL OR n.content_hash IS
 """
 
 
+@query(P3_SQL)
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshots.snapshot_changes(table(spark, folder, "node_snapshots"), table(spark, folder, "snapshot_deliveries"))
+
+
+# --- look-ups and aggregates ------------------------------------------------------------------------------
+
+@query("SELECT id, name, root_path FROM projects ORDER BY name")
+def list_projects(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "projects").select("id", "name", "root_path").orderBy("name")
+
+
+@query(f"""WITH {WITH_N}, {WITH_E} SELECT project_id, kind AS metric, count(*) AS value FROM N GROUP BY ALL
+UNION ALL SELECT project_id, 'total_nodes', count(*) FROM N GROUP BY ALL UNION ALL SELECT project_id, 'files', count(DISTINCT file_path) FROM N GROUP BY ALL
+UNION ALL SELECT project_id, 'total_edges', count(*) FROM E GROUP BY ALL""")
+def project_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.project_stats(model.nodes(spark, folder), model.edges(spark, folder))
+
+
+@query(f"""WITH {WITH_N}, {WITH_E}, {WITH_C} SELECT (SELECT count(*) FROM N) AS nodes, (SELECT count(*) FROM E) AS edges, (SELECT count(*) FROM C) AS commits,
+(SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM N WHERE id NOT IN (SELECT vec_id FROM embeddings)) AS pending""")
+def status(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, vectors = model.nodes(spark, folder), table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"))
+    counts = [x.agg(F.count("*").alias(n)) for x, n in ((nodes, "nodes"), (model.edges(spark, folder), "edges"), (model.commits(spark, folder), "commits"), (vectors, "vectors"), (relational.pending(nodes, vectors), "pending"))]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(c)
+    return out
+
+
+@query(f"""WITH {WITH_N}, {WITH_L}, s AS (SELECT project_id, id, name, kind, file_path, coalesce(complexity, 1) AS complexity FROM N WHERE kind IN ('function', 'method', 'class', 'struct')),
+c AS (SELECT node_id, count(DISTINCT hash) AS churn FROM L GROUP BY 1),
+j AS (SELECT s.*, coalesce(churn, 0) AS churn FROM s LEFT JOIN c ON c.node_id = s.id WHERE complexity > 0)
+SELECT project_id, CAST(rank AS INTEGER) AS rank, id, name, kind, file_path, complexity, churn, round(complexity * (1 + ln(1 + churn)), 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY complexity * (1 + churn) DESC, id) AS rank FROM j) WHERE rank <= 20""")
+def hotspots(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.hotspots(model.nodes(spark, folder), model.links(spark, folder)).withColumn("score", F.round("score", 6))
+
+
+_DEBT = f"""WITH {WITH_N}, {WITH_L}, s AS (SELECT project_id, file_path, id AS node_id, coalesce(complexity, 1) AS complexity FROM N WHERE kind IN ('function', 'method', 'class', 'struct') AND file_path IS NOT NULL),
+c AS (SELECT node_id, count(DISTINCT hash) AS churn FROM L GROUP BY 1),
+f AS (SELECT project_id, file_path, CAST(sum(complexity * {{weight}}) AS BIGINT) AS complexity FROM s LEFT JOIN c USING (node_id) GROUP BY ALL),
+t AS (SELECT project_id, file_path, count(DISTINCT hash) AS churn FROM s JOIN (SELECT node_id, hash FROM L) USING (node_id) GROUP BY ALL),
+j AS (SELECT f.*, coalesce(churn, 0) AS churn FROM f LEFT JOIN t USING (project_id, file_path))
+SELECT project_id, file_path, complexity, churn, CAST(rank AS INTEGER) AS rank, round(complexity * (1 + ln(1 + churn)), 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY complexity * (1 + churn) DESC, file_path) AS rank FROM j) WHERE rank <= 50"""
+
+
+@query(_DEBT.format(weight="greatest(coalesce(churn, 0), 1)"))
+def technical_debt(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.technical_debt(model.nodes(spark, folder), model.links(spark, folder)).withColumn("score", F.round("score", 6))
+
+
+@query(_DEBT.format(weight="1"))
+def technical_debt_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.technical_debt(model.nodes(spark, folder), model.links(spark, folder), exact=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {WITH_N}, {WITH_E} SELECT project_id, id, name, file_path, start_line FROM N WHERE kind IN ('function', 'method') AND name <> 'main'
+AND NOT EXISTS (SELECT 1 FROM E WHERE E.kind = 'calls' AND E.target_node_id = N.id)""")
+def dead_code(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.dead_code(model.nodes(spark, folder), model.edges(spark, folder)).select("project_id", "id", "name", "file_path", "start_line")
+
+
+@query(f"""{WITH_RANKS}, {WITH_N}, c AS (SELECT N.project_id, N.id, name, file_path, complexity, pr AS pagerank, 0::BIGINT AS dependents, complexity * (1 + 100 * pr) AS score FROM N JOIN r{PAGERANK_ROUNDS} r ON r.id = N.id
+WHERE N.kind IN ('function', 'method') AND complexity > 3 AND NOT EXISTS (SELECT 1 FROM E WHERE E.kind = 'test_of' AND E.target_node_id = N.id))
+SELECT project_id, CAST(rank AS INTEGER) AS rank, id, name, file_path, complexity, round(pagerank, 6) AS pagerank, dependents, round(score, 6) AS score,
+concat_ws('; ', CASE WHEN complexity > 10 THEN 'high complexity' WHEN complexity > 5 THEN 'moderate complexity' END, CASE WHEN pagerank > 0.05 THEN 'architectural hub' END, 'no test coverage') AS reasons
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY round(score, 9) DESC, id) AS rank FROM c) WHERE rank <= 15""")
+def suggest_tests(spark: SparkSession, folder: str) -> DataFrame:
+    found = relational.suggest_tests(model.nodes(spark, folder), model.edges(spark, folder), _ranks(spark, folder))
+    return found.withColumn("score", F.round("score", 6)).withColumn("pagerank", F.round("pagerank", 6))
+
+
+@query(f"WITH {WITH_N}, {WITH_L}, {WITH_COUPLING} SELECT * FROM P")
+def change_coupling(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.change_coupling(model.nodes(spark, folder), model.links(spark, folder), min_co_changes=2)
+
+
+@query(f"""WITH {WITH_N}, {WITH_L}, {WITH_COUPLING}, B AS (SELECT source_node_id AS node_id, target_node_id AS other, co_changes FROM P UNION ALL SELECT target_node_id, source_node_id, co_changes FROM P),
+U AS (SELECT node_id, other, max(co_changes) AS co_changes FROM B GROUP BY 1, 2)
+SELECT node_id, count(*) AS couplings, CAST(sum(co_changes) AS BIGINT) AS strength, max(co_changes) AS max_co_changes FROM U GROUP BY 1""")
+def coupling_strength(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.coupling_strength(relational.change_coupling(model.nodes(spark, folder), model.links(spark, folder), min_co_changes=2))
+
+
+def _language_case() -> str:
+    cases = " ".join(f"WHEN lower(regexp_extract(file_path, '\\.([A-Za-z0-9+]+)$', 1)) IN ({', '.join(repr(e) for e in es)}) THEN '{name}'" for name, es in model.LANGUAGES.items())
+    return f"CASE {cases} END"
+
+
+@query(f"WITH {WITH_N} SELECT project_id, language, count(DISTINCT file_path) AS files FROM (SELECT *, {_language_case()} AS language FROM N WHERE kind = 'file') WHERE language IS NOT NULL GROUP BY ALL")
+def architecture_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.languages(model.nodes(spark, folder))
+
+
+@query(f"WITH {WITH_N} SELECT DISTINCT project_id, file_path FROM N WHERE name = 'main' OR regexp_matches(file_path, '(?i)/(main\\.rs|index\\.(ts|js)|app\\.py|server\\.(ts|js))$')")
+def architecture_entry_points(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.entry_points(model.nodes(spark, folder))
+
+
+@query(f"""WITH {WITH_N}, f AS (SELECT project_id, file_path, CAST(sum(complexity) AS BIGINT) AS complexity, count(*) AS symbols FROM N WHERE complexity IS NOT NULL AND file_path IS NOT NULL GROUP BY ALL)
+SELECT project_id, file_path, complexity, symbols, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY complexity DESC, file_path) AS rank FROM f) WHERE rank <= 5""")
+def architecture_complex_files(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.complex_files(model.nodes(spark, folder))
+
+
+@query(f"""WITH {WITH_N}, f AS (SELECT DISTINCT project_id, file_path FROM N WHERE kind = 'file')
+SELECT project_id, count(*) FILTER (regexp_matches(file_path, '(?i)test|spec')) AS test_files, count(*) FILTER (NOT regexp_matches(file_path, '(?i)test|spec')) AS other_files FROM f GROUP BY 1""")
+def architecture_test_split(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.test_split(model.nodes(spark, folder))
+
+
+@query(f"""WITH {WITH_N}, {WITH_E} SELECT N.project_id, N.id AS route_id, N.name AS route, N.metadata ->> '$.method' AS method, N.metadata ->> '$.path' AS path, f.file_path AS handler
+FROM N LEFT JOIN E ON E.target_node_id = N.id AND E.kind = 'handles' LEFT JOIN N f ON f.id = E.source_node_id WHERE N.kind = 'route'""")
+def route_map(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.routes(model.nodes(spark, folder), model.edges(spark, folder))
+
+
+@query(f"""WITH {WITH_N}, {WITH_E}, t AS (SELECT DISTINCT target_node_id, source_node_id FROM E WHERE kind = 'test_of')
+SELECT N.id AS node_id, count(*) AS tests, string_agg(source_node_id::VARCHAR, ',' ORDER BY source_node_id) AS test_ids FROM N JOIN t ON t.target_node_id = N.id GROUP BY 1""")
+def contracts(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.contracts(model.nodes(spark, folder), model.edges(spark, folder))
+
+
+@query(f"WITH {WITH_N} SELECT project_id, count(*) AS pending FROM N WHERE id NOT IN (SELECT vec_id FROM embeddings) GROUP BY 1")
+def pending_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"))
+    return relational.pending(model.nodes(spark, folder), vectors).groupBy("project_id").agg(F.count("*").alias("pending"))
+
+
+def _related_sql(kind: str, outgoing: bool) -> str:
+    here, there = ("source_node_id", "target_node_id") if outgoing else ("target_node_id", "source_node_id")
+    return f"WITH {WITH_N}, {WITH_E} SELECT DISTINCT E.{here} AS node_id, E.{there} AS related_id, N.name, N.file_path FROM E JOIN N ON N.id = E.{there} WHERE E.kind = '{kind}'"
+
+
+@query(_related_sql("imports", True))
+def imports(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.related(model.edges(spark, folder), model.nodes(spark, folder), "imports")
+
+
+@query(_related_sql("calls", False))
+def dependents(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.related(model.edges(spark, folder), model.nodes(spark, folder), "calls", outgoing=False)
+
+
+@query(f"""WITH {WITH_N}, h AS (SELECT *, CASE WHEN name = 'render' THEN 0 WHEN name ILIKE 'render%' THEN 1 WHEN qualified_name ILIKE '%render%' THEN 2 ELSE 3 END AS match FROM N WHERE name ILIKE '%render%' OR qualified_name ILIKE '%render%')
+SELECT id, project_id, name, CAST(match AS INTEGER) AS match FROM h ORDER BY match, name NULLS FIRST, id LIMIT 20""")
+def search_symbol(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.search_symbol(model.nodes(spark, folder), "render").select("id", "project_id", "name", "match")
+
+
+@query(f"""WITH {WITH_N}, s AS (SELECT DISTINCT name FROM N WHERE name IS NOT NULL), f AS (SELECT name, count(DISTINCT project_id) AS projects, count(*) AS nodes FROM N WHERE name IS NOT NULL GROUP BY 1)
+SELECT name, projects, nodes FROM f WHERE projects > 1""")
+def symbols_everywhere(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = model.nodes(spark, folder, "id", "project_id", "name").where("name is not null")
+    return nodes.groupBy("name").agg(F.countDistinct("project_id").alias("projects"), F.count("*").alias("nodes")).where("projects > 1")
+
+
+@query(f"""WITH {WITH_E} , k AS (SELECT source_node_id AS a, target_node_id AS b, coalesce(TRY_CAST(metadata ->> '$.jaccard_score' AS DOUBLE), 0) AS s FROM E WHERE kind = 'similar_to')
+SELECT node_id, similar_id, max(s) AS score FROM (SELECT a AS node_id, b AS similar_id, s FROM k WHERE s >= 0.7 UNION ALL SELECT b, a, s FROM k WHERE s >= 0.7) GROUP BY 1, 2""")
+def similar_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.similar_to(model.edges(spark, folder))
+
+
+# --- time and history ----------------------------------------------------------------------------------------
+
+@query("""WITH s AS (SELECT user_id AS node_id, count(*) AS accesses, max(ts) AS last_access FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events),
+a AS (SELECT node_id, accesses, (epoch_us(now) - epoch_us(last_access)) / 3.6e9 AS age FROM s, n)
+SELECT node_id, accesses, round(accesses / (1 + age), 6) AS score FROM a WHERE age <= 24 ORDER BY round(accesses / (1 + age), 9) DESC, node_id LIMIT 30""")
+def working_set(spark: SparkSession, folder: str) -> DataFrame:
+    access = table(spark, folder, "events").select(F.col("user_id").alias("node_id"), "ts")
+    return relational.working_set(access).select("node_id", "accesses", F.round("score", 6).alias("score"))
+
+
+@query("""WITH s AS (SELECT user_id AS node_id, count(*) AS accesses, max(ts) AS last_access FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events)
+SELECT node_id, round(exp(-(epoch_us(now) - epoch_us(last_access)) / 1e6 / 86400) * ln(1 + accesses), 6) AS score FROM s, n""")
+def decay_scores(spark: SparkSession, folder: str) -> DataFrame:
+    access = table(spark, folder, "events").select(F.col("user_id").alias("node_id"), "ts")
+    return relational.decay_scores(access, 86400.0).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
+def recent_changes(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.recent(table(spark, folder, "events"), "ts", 24, limit=None).select("event_id", "user_id", "event_type")
+
+
+@query(f"""WITH {WITH_L}, {WITH_C}, U AS (SELECT DISTINCT ON (hash) hash, intent_kind, committed_at FROM C ORDER BY hash),
+h AS (SELECT DISTINCT L.node_id, hash, intent_kind, committed_at FROM L JOIN U USING (hash)),
+r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY committed_at DESC, hash) AS rank FROM h),
+t AS (SELECT * FROM r WHERE rank <= 50)
+SELECT node_id, count(*) AS commits, count(*) FILTER (intent_kind = 'feat') AS feat, count(*) FILTER (intent_kind = 'fix') AS fix, count(*) FILTER (intent_kind = 'refactor') AS refactor, count(*) FILTER (intent_kind = 'perf') AS perf,
+count(*) FILTER (coalesce(intent_kind, '') NOT IN ('feat', 'fix', 'refactor', 'perf')) AS other, arg_max(hash, rank) AS first_hash, arg_min(hash, rank) AS last_hash FROM t GROUP BY 1""")
+def archaeology(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.intent_breakdown(relational.node_history(model.links(spark, folder), model.commits(spark, folder)))
+
+
+def _commit_kind_case() -> str:
+    cases = " ".join(f"WHEN regexp_matches(lower(split_part(message, chr(10), 1)), '^({'|'.join(begins)})') THEN '{kind}'" for kind, begins in relational.COMMIT_PREFIXES.items())
+    return f"CASE {cases} ELSE 'other' END"
+
+
+@query(f"WITH {WITH_C} SELECT {_commit_kind_case()} AS kind, intent_kind, count(*) AS commits FROM C WHERE message IS NOT NULL GROUP BY ALL")
+def commit_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    rows = model.commits(spark, folder).where("message is not null")
+    return rows.select(relational.commit_kind(F.col("message")).alias("kind"), "intent_kind").groupBy("kind", "intent_kind").agg(F.count("*").alias("commits"))
+
+
+def _intent_sql() -> str:
+    hits = {name: " + ".join(f"CAST(contains(m, '{w}') AS INTEGER)" for w in words) for name, (_, words) in risk.INTENTS.items()}
+    scores = ", ".join(f"{sql} AS {name}" for name, sql in hits.items())
+    best = f"greatest({', '.join(hits)})"
+    cases = " ".join(f"WHEN {name} = best THEN '{name}'" for name in hits)
+    return f"""WITH {WITH_C}, t AS (SELECT id, lower(coalesce(message, '')) AS m FROM C), s AS (SELECT id, {scores} FROM t), b AS (SELECT *, {best} AS best, {' + '.join(hits)} AS total FROM s)
+SELECT id, CASE WHEN best = 0 THEN 'unknown' {cases} END AS intent, round(CASE WHEN total = 0 THEN 0 ELSE best / total END, 6) AS confidence FROM b"""
+
+
+@query(_intent_sql())
+def change_intents(spark: SparkSession, folder: str) -> DataFrame:
+    found = model.commits(spark, folder).select("id", risk.intent(F.col("message")).alias("i"))
+    return found.select("id", "i.intent", F.round("i.confidence", 6).alias("confidence"))
+
+
+# --- traversal -------------------------------------------------------------------------------------------------
+
+def _reach_sql(depth: int, backward: bool) -> str:
+    here, there = ("dst", "src") if backward else ("src", "dst")
+    return f"""WITH RECURSIVE {WITH_E}, A AS (SELECT DISTINCT source_node_id AS src, target_node_id AS dst FROM E WHERE kind = 'calls'),
+S AS (SELECT DISTINCT id AS seed FROM nodes WHERE id % 100 = 0),
+T AS (SELECT seed, {there} AS node_id, 1 AS hops FROM S JOIN A ON {here} = seed UNION SELECT seed, A.{there}, hops + 1 FROM T JOIN A ON A.{here} = T.node_id WHERE hops < {depth})
+SELECT seed, node_id, CAST(min(hops) AS INTEGER) AS hops FROM T GROUP BY 1, 2"""
+
+
+@query(_reach_sql(3, True))
+def callers(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.callers(model.edges(spark, folder), _seeds(spark, folder), 3)
+
+
+@query(_reach_sql(3, False))
+def callees(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.callees(model.edges(spark, folder), _seeds(spark, folder), 3)
+
+
+@query(_reach_sql(5, True).replace("WITH RECURSIVE", f"{WITH_RANKS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {WITH_N},", 1).replace(f" {WITH_E}, A AS (SELECT DISTINCT", " CA AS (SELECT DISTINCT", 1).replace("JOIN A ON", "JOIN CA A ON").split("SELECT seed, node_id, CAST(min")[0] + f""", Q AS (SELECT seed, node_id, min(hops) AS hops FROM T GROUP BY 1, 2),
+G AS (SELECT seed, hops, file_path FROM Q JOIN N ON N.id = Q.node_id UNION ALL SELECT seed, 0, file_path FROM S JOIN N ON N.id = S.seed),
+I AS (SELECT seed, count(*) FILTER (hops = 1) AS direct, count(*) FILTER (hops >= 1) AS distinct_symbols, count(DISTINCT file_path) AS files FROM G GROUP BY 1)
+SELECT seed, direct, distinct_symbols, direct + distinct_symbols AS total_symbols, files, CASE WHEN pr > 0.05 OR direct > 10 THEN 'high' WHEN pr > 0.01 OR direct > 3 THEN 'medium' ELSE 'low' END AS risk FROM I JOIN r{PAGERANK_ROUNDS} r ON r.id = seed""")
+def impact_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.impact(model.edges(spark, folder), model.nodes(spark, folder), _ranks(spark, folder), _seeds(spark, folder), 5)
+
+
+@query(f"""WITH RECURSIVE {WITH_E}, A AS (SELECT DISTINCT source_node_id AS src, target_node_id AS dst FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on')),
+S AS (SELECT DISTINCT id AS seed FROM nodes WHERE id % 100 = 0),
+T AS (SELECT seed, dst AS node_id, 1 AS hops FROM S JOIN A ON src = seed UNION SELECT seed, A.dst, hops + 1 FROM T JOIN A ON A.src = T.node_id WHERE hops < 4),
+M AS (SELECT seed, node_id AS goal, min(hops) AS hops FROM T GROUP BY 1, 2)
+SELECT seed, goal, CAST(hops AS INTEGER) AS edges FROM M WHERE goal % 100 = 0 AND seed <> goal""")
+def path_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    arcs = graph.dependency_edges(model.edges(spark, folder)).select("src", "dst")
+    found = graph.reachable(arcs, _seeds(spark, folder), 4).where("node_id % 100 = 0 and node_id <> seed").select("seed", F.col("node_id").alias("goal"))
+    way = graph.paths(arcs, found, 4)
+    return way.groupBy("seed", "goal").agg(F.count("*").cast("int").alias("edges"))
+
+
+@query(f"{WITH_RANKS} SELECT project_id, id AS node_id, round(pr, 6) AS pagerank FROM r{PAGERANK_ROUNDS}")
+def pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    return _ranks(spark, folder).select("project_id", "node_id", F.round("pagerank", 6).alias("pagerank"))
+
+
+@query(f"""{WITH_RANKS} SELECT project_id, node_id, round(pagerank, 6) AS pagerank, pagerank > 0.05 AS is_hub, CAST(rank AS INTEGER) AS rank
+FROM (SELECT project_id, id AS node_id, pr AS pagerank, row_number() OVER (PARTITION BY project_id ORDER BY round(pr, 9) DESC, id) AS rank FROM r{PAGERANK_ROUNDS}) WHERE rank <= 10""")
+def pagerank_top(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("project_id").orderBy(F.round("pagerank", 9).desc(), "node_id")
+    top = _ranks(spark, folder).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return top.select("project_id", "node_id", F.round("pagerank", 6).alias("pagerank"), (F.col("pagerank") > 0.05).alias("is_hub"), "rank")
+
+
+@query()
+def graph_components(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.components(graph.dependency_edges(model.edges(spark, folder)).select("src", "dst"))
+
+
+@query()
+def clusters(spark: SparkSession, folder: str) -> DataFrame:
+    members = model.nodes(spark, folder, "id", "project_id").select("project_id", F.col("id").alias("node_id"))
+    return graph.communities(members, graph.dependency_edges(model.edges(spark, folder)))
+
+
+@query(f"""WITH {WITH_N}, {WITH_E}, A AS (SELECT project_id, source_node_id AS src, target_node_id AS dst FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on') AND source_node_id <> target_node_id),
+B AS (SELECT project_id, src, dst FROM A UNION ALL SELECT project_id, dst, src FROM A),
+Z AS (SELECT DISTINCT id, kind FROM N), W AS (SELECT B.project_id, src, dst, a.kind AS c1, b.kind AS c2, count(*)::DOUBLE AS w FROM B JOIN Z a ON a.id = src JOIN Z b ON b.id = dst GROUP BY ALL),
+D AS (SELECT src, sum(w) AS k FROM W GROUP BY 1), T AS (SELECT project_id, sum(w) AS m2 FROM W GROUP BY 1)
+SELECT T.project_id, round(coalesce(sum(CASE WHEN c1 = c2 THEN (w - a.k * b.k / m2) / m2 END), 0), 6) AS modularity FROM T JOIN W USING (project_id) JOIN D a ON a.src = W.src JOIN D b ON b.src = W.dst GROUP BY 1""")
+def modularity_of_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = model.nodes(spark, folder, "id", "kind").select(F.col("id").alias("node_id"), F.col("kind").alias("cluster_id"))
+    return graph.modularity(kinds, graph.dependency_edges(model.edges(spark, folder))).select("project_id", F.round("modularity", 6).alias("modularity"))
+
+
+def _boundary_sql() -> str:
+    parts = []
+    for k, rule in enumerate(RULES):
+        allowed = " OR ".join(f"regexp_matches(to_path, '{graph.glob_regex(a)}')" for a in rule.get("allow", ())) or "false"
+        for deny in rule["deny"]:
+            parts.append(f"SELECT {k} AS rule_index, from_path, to_path, '{deny}' AS deny FROM X WHERE regexp_matches(from_path, '{graph.glob_regex(rule['from'])}') AND regexp_matches(to_path, '{graph.glob_regex(deny)}') AND NOT ({allowed})")
+    return f"""WITH {WITH_N}, {WITH_R}, {WITH_E}, X AS (SELECT DISTINCT a.file_path AS from_path, b.file_path AS to_path FROM E JOIN M a ON a.id = source_node_id JOIN M b ON b.id = target_node_id
+WHERE E.kind IN ('imports', 'calls', 'references', 'depends_on')) """ + " UNION ALL ".join(parts)
+
+
+@query(_boundary_sql())
+def boundaries(spark: SparkSession, folder: str) -> DataFrame:
+    located = _relative(model.nodes(spark, folder), table(spark, folder, "projects")).select(F.col("id").alias("node_id"), "file_path")
+    return graph.check_boundaries(graph.dependency_edges(model.edges(spark, folder)), located, RULES)
+
+
+@query()
+def suggested_boundaries(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = _relative(model.nodes(spark, folder), table(spark, folder, "projects"))
+    return graph.suggest_boundaries(graph.file_clusters(clusters(spark, folder), nodes))
+
+
+# --- pattern language ----------------------------------------------------------------------------------------------
+
+PATTERNS = {
+    "pattern_equality": ("MATCH (n:Function) WHERE n.complexity = '7' RETURN n.id, n.name, n.complexity", f"WITH {WITH_N} SELECT id AS n_id, name AS n_name, complexity AS n_complexity FROM N WHERE kind = 'function' AND complexity = 7"),
+    "pattern_hop": ("MATCH (f)-[:calls]->(g:Method) RETURN f.id, g.id", f"WITH {WITH_N}, {WITH_E} SELECT f.id AS f_id, g.id AS g_id FROM E JOIN N f ON f.id = source_node_id JOIN N g ON g.id = target_node_id AND g.project_id = f.project_id WHERE E.kind = 'calls' AND g.kind = 'method'"),
+    "pattern_undirected": ("MATCH (a:Class)-[:references]-(b) RETURN a.id, b.id", f"WITH {WITH_N}, {WITH_E} SELECT a.id AS a_id, b.id AS b_id FROM E JOIN N a ON (a.id = source_node_id OR a.id = target_node_id) JOIN N b ON (b.id = source_node_id OR b.id = target_node_id) AND b.id <> a.id AND b.project_id = a.project_id WHERE E.kind = 'references' AND a.kind = 'class'"),
+    "pattern_chain": ("MATCH (f:File)-[:contains]->(m)-[:calls]->(g) RETURN f.file_path, m.id, g.id", f"WITH {WITH_N}, {WITH_E} SELECT f.file_path AS f_file_path, m.id AS m_id, g.id AS g_id FROM E e JOIN N f ON f.id = e.source_node_id JOIN N m ON m.id = e.target_node_id AND m.project_id = f.project_id JOIN E h ON h.source_node_id = m.id AND h.kind = 'calls' JOIN N g ON g.id = h.target_node_id AND g.project_id = m.project_id WHERE e.kind = 'contains' AND f.kind = 'file'"),
+    "pattern_not_exists": ("MATCH (n:Function) WHERE NOT EXISTS { (n)<-[:calls]-() } RETURN n.id", f"WITH {WITH_N}, {WITH_E} SELECT id AS n_id FROM N WHERE kind = 'function' AND NOT EXISTS (SELECT 1 FROM E WHERE E.kind = 'calls' AND target_node_id = N.id)"),
+    "pattern_json": ("MATCH (n) WHERE n.lang = 'rust' RETURN n.id, n.lines", f"""WITH {WITH_N} SELECT id AS n_id, metadata ->> '$.lines' AS n_lines FROM N WHERE metadata ->> '$.lang' = 'rust'"""),
+    "pattern_ordered": ("MATCH (n:Method) RETURN n.name, n.id ORDER BY n.id DESC LIMIT 25", f"WITH {WITH_N} SELECT name AS n_name, id AS n_id FROM N WHERE kind = 'method' ORDER BY id DESC LIMIT 25"),
+}
+
+
+def _pattern(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: pattern.run(text, model.nodes(spark, folder), model.edges(spark, folder))
+
+
+for _name, (_text, _sql) in PATTERNS.items():
+    QUERIES[_name], SQL[_name] = _pattern(_text), _sql
+
+
+# --- search ------------------------------------------------------------------------------------------------------------
+
+def _project_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "projects").select(F.col("id").alias("query_id"), F.col("name").alias("query"))
+
+
+WITH_BM25 = r"""Q AS (SELECT DISTINCT id AS query_id, unnest(regexp_extract_all(lower(name), '[\p{L}\p{N}]+')) AS term FROM projects),
+T AS MATERIALIZED (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
+st AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM T),
+H AS (SELECT doc, term, length, count(*) AS tf FROM (SELECT doc, len(words) AS length, unnest(words) AS term FROM T) WHERE term IN (SELECT term FROM Q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM H GROUP BY 1),
+sc AS (SELECT H.term, doc, (CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS w FROM H JOIN df ON df.term = H.term, st),
+su AS (SELECT query_id, doc, -sum(w) AS score FROM sc JOIN Q ON Q.term = sc.term GROUP BY 1, 2),
+B AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc) AS rank FROM su)"""
+
+
+@query(f"WITH {WITH_BM25} SELECT query_id, doc, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM B WHERE rank <= 20")
+def search_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = search.bm25(table(spark, folder, "documents"), "doc_id", "text", _project_queries(spark, folder))
+    return found.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def search_text_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    found = search.bm25(table(spark, folder, "documents"), "doc_id", "text", _project_queries(spark, folder), stemmed=True)
+    return found.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+WITH_COSINE = """X AS (SELECT q.vec_id AS query_id, v.vec_id AS node_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS similarity FROM embeddings q, embeddings v WHERE {where}),
+Y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, node_id) AS rank FROM X)"""
+
+
+@query(f"WITH {WITH_COSINE.format(where='q.vec_id % 100 = 0')} SELECT query_id, node_id, round(similarity, 5) AS similarity, CAST(rank AS INTEGER) AS rank FROM Y WHERE rank <= 10 AND similarity > 0")
+def search_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    found = search.vector_search(rows, rows.where("node_id % 100 = 0").withColumnRenamed("node_id", "query_id"))
+    return found.select("query_id", "node_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query(f"""WITH {WITH_BM25}, {WITH_COSINE.format(where='q.vec_id IN (SELECT id FROM projects)')},
+lists AS (SELECT query_id, doc AS item, rank FROM B WHERE rank <= 20 UNION ALL SELECT query_id, node_id, rank FROM Y WHERE rank <= 20 AND similarity > 0),
+f AS (SELECT query_id, item, sum(1.0 / (60 + rank)) AS score FROM lists GROUP BY 1, 2)
+SELECT query_id, item, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item) AS rank FROM f) WHERE rank <= 20""")
+def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    text = search.bm25(table(spark, folder, "documents"), "doc_id", "text", _project_queries(spark, folder)).withColumnRenamed("doc", "item")
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    asked = rows.join(table(spark, folder, "projects").select(F.col("id").alias("node_id")), "node_id").select(F.col("node_id").alias("query_id"), "embedding")
+    vectors = search.vector_search(rows, asked, 20).withColumnRenamed("node_id", "item")
+    return search.fuse([text, vectors]).select("query_id", "item", F.round("score", 6).alias("score"), "rank")
+
+
+# --- similarity ------------------------------------------------------------------------------------------------------------
+
+@query(r"""WITH s AS (SELECT DISTINCT id, source FROM nodes WHERE kind IN ('function', 'method') AND source IS NOT NULL),
+l AS (SELECT id, list_filter(list_transform(string_split(source, chr(10)), x -> trim(regexp_replace(x, '\s', ' ', 'g'))), x -> NOT starts_with(x, '//') AND NOT starts_with(x, '#')) AS lines FROM s)
+SELECT id, md5(regexp_replace(array_to_string(lines, ''), '\s', '', 'g')) AS normalized FROM l""")
+def normalized_code(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "nodes").where(F.col("kind").isin("function", "method") & F.col("source").isNotNull()).select("id", "source").distinct()
+    return rows.select("id", F.md5(similarity.normalize_code(F.col("source"))).alias("normalized"))
+
+
+@query()
+def similar_code(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "nodes").select("id", "kind", "source", "start_line", "end_line").distinct()
+    return similarity.similar_pairs(similarity.signatures(rows))
+
+
+@query(r"""WITH s AS (SELECT DISTINCT id, source FROM nodes WHERE source IS NOT NULL), a AS (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM edges WHERE kind = 'similar_to'),
+t AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(source), '[^\p{L}\p{N}_]+'), x -> strlen(x) > 1)) AS toks FROM s WHERE id IN (SELECT a FROM a UNION SELECT b FROM a))
+SELECT a, b, round(CASE WHEN len(list_distinct(list_concat(x.toks, y.toks))) = 0 THEN 1 ELSE len(list_intersect(x.toks, y.toks)) / len(list_distinct(list_concat(x.toks, y.toks))) END, 6) AS overlap FROM a JOIN t x ON x.id = a JOIN t y ON y.id = b""")
+def token_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = table(spark, folder, "edges").where("kind = 'similar_to'").select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).distinct()
+    texts = table(spark, folder, "nodes").where("source is not null").select("id", "source").distinct()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("source").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("source").alias("sb")), "b")
+    return both.select("a", "b", F.round(similarity.token_overlap(F.col("sa"), F.col("sb")), 6).alias("overlap"))
+
+
+@query()
+def semantic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = table(spark, folder, "edges").where("kind = 'similar_to'").select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).distinct()
+    rows = model.nodes(spark, folder, "id", "source", "file_path", "start_line", "end_line", "complexity", "is_exported")
+    return similarity.semantic_scores(pairs, rows)
+
+
+# --- risk --------------------------------------------------------------------------------------------------------------------
+
+WITH_PLANS = """T AS (SELECT DISTINCT plan_id, node_id, coalesce(pagerank, 0) AS pr, coalesce(blast_radius_files, 0) AS blast, coalesce(git_churn, 0) AS churn, coalesce(complexity, 0) AS cx, coalesce(change_coupling_count, 0) AS cc, coalesce(max_co_changes, 0) AS mc, coalesce(len(missing_tests), 0) AS untested FROM target_factors),
+G AS (SELECT plan_id, greatest(max(pr), 0.001) AS mp, greatest(max(cx), 1) AS mx, count(*) AS n FROM T GROUP BY 1),
+Z AS (SELECT plan_id, 0.25 * least(ln(1 + pr * 100) / ln(1 + mp * 100), 1) + 0.20 * least(blast / least(greatest(n * 0.3, 5), 20), 1) + 0.15 * least(churn / 15, 1)
+ + 0.15 * CASE WHEN blast > 0 THEN untested / blast ELSE 0.5 END + 0.10 * least(cx / mx, 1) + 0.15 * CASE WHEN mc > 0 THEN least(cc / least(mc, 20), 1) ELSE 0 END AS score FROM T JOIN G USING (plan_id))"""
+
+
+@query(f"""WITH {WITH_PLANS} SELECT plan_id, count(*) AS targets, round(avg(score), 6) AS score, round(max(score), 6) AS top_score, CASE WHEN avg(score) >= 0.7 THEN 'CRITICAL' WHEN avg(score) >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM Z GROUP BY 1""")
+def plan_risk(spark: SparkSession, folder: str) -> DataFrame:
+    found = risk.plan_scores(table(spark, folder, "target_factors"))
+    return found.select("plan_id", "targets", F.round("score", 6).alias("score"), F.round("top_score", 6).alias("top_score"), "level")
+
+
+def _risk_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges, links, ranks = model.nodes(spark, folder), model.edges(spark, folder), model.links(spark, folder), _ranks(spark, folder)
+    coupling = relational.change_coupling(nodes, links, min_co_changes=2)
+    return risk.node_features(nodes, edges, links, ranks, relational.coupling_strength(coupling)), risk.baselines(nodes, ranks, coupling)
+
+
+WITH_FEATURES = f"""{WITH_RANKS}, {WITH_N}, {WITH_L}, {WITH_COUPLING},
+CL AS (SELECT DISTINCT source_node_id AS caller, target_node_id AS node_id FROM E WHERE kind = 'calls'),
+W2 AS (SELECT caller, node_id FROM CL UNION SELECT b.caller, a.node_id FROM CL a JOIN CL b ON b.node_id = a.caller),
+TT AS (SELECT DISTINCT target_node_id AS id FROM E WHERE kind = 'test_of'),
+AR AS (SELECT W2.node_id, count(DISTINCT c.file_path) AS blast, count(*) FILTER (TT.id IS NULL) AS untested FROM W2 JOIN N c ON c.id = W2.caller LEFT JOIN TT ON TT.id = W2.caller GROUP BY 1),
+CH AS (SELECT node_id, count(DISTINCT hash) AS churn FROM L GROUP BY 1),
+CS AS (SELECT node_id, sum(c) AS strength FROM (SELECT source_node_id AS node_id, target_node_id AS o, max(co_changes) AS c FROM (SELECT source_node_id, target_node_id, co_changes FROM P UNION ALL SELECT target_node_id, source_node_id, co_changes FROM P) GROUP BY 1, 2) GROUP BY 1),
+FT AS (SELECT N.project_id, N.id AS node_id, coalesce(N.complexity, 1) AS cx, pr, coalesce(blast, 0) AS blast, coalesce(untested, 0) AS untested, coalesce(churn, 0) AS churn, TT.id IS NOT NULL AS self, coalesce(strength, 0) AS cc FROM N JOIN r{PAGERANK_ROUNDS} r ON r.id = N.id LEFT JOIN AR ON AR.node_id = N.id LEFT JOIN CH ON CH.node_id = N.id LEFT JOIN CS ON CS.node_id = N.id LEFT JOIN TT ON TT.id = N.id),
+BS AS (SELECT project_id, greatest(max(complexity), 1) AS mx, greatest(count(DISTINCT file_path), 1) AS files FROM N GROUP BY 1),
+MP AS (SELECT project_id, greatest(max(pr), 0.001) AS mp FROM r{PAGERANK_ROUNDS} GROUP BY 1), MC AS (SELECT project_id, max(co_changes) AS mc FROM P GROUP BY 1)"""
+
+
+@query(f"""{WITH_FEATURES} SELECT FT.project_id, node_id, round(0.25 * least(ln(1 + pr * 100) / ln(1 + mp * 100), 1) + 0.20 * least(blast / least(greatest(files * 0.3, 5), 20), 1) + 0.15 * least(churn / 15, 1)
+ + 0.15 * CASE WHEN blast > 0 THEN untested / blast WHEN self THEN 0 ELSE 0.5 END + 0.10 * least(cx / mx, 1) + 0.15 * CASE WHEN coalesce(mc, 0) > 0 THEN least(cc / least(mc, 20), 1) ELSE 0 END, 5) AS score
+FROM FT JOIN BS USING (project_id) JOIN MP USING (project_id) LEFT JOIN MC USING (project_id)""")
+def node_risk(spark: SparkSession, folder: str) -> DataFrame:
+    features, base = _risk_parts(spark, folder)
+    return risk.node_risk(features, base).select("project_id", "node_id", F.round("score", 5).alias("score"))
+
+
+@query()
+def risk_strategies(spark: SparkSession, folder: str) -> DataFrame:
+    features, base = _risk_parts(spark, folder)
+    scored = features.join(risk.node_risk(features, base).select("node_id", "score"), "node_id")
+    return risk.strategies(scored, base)
+
+
+@query(f"""WITH {WITH_N}, {WITH_C}, t AS (SELECT project_id, max(CAST(kind = 'test' AS INTEGER)) AS tests FROM N GROUP BY 1), h AS (SELECT DISTINCT project_id FROM C)
+SELECT t.project_id, round(1.0 - CASE WHEN h.project_id IS NULL THEN 0.3 ELSE 0 END - CASE WHEN tests = 1 THEN 0 ELSE 0.2 END, 6) AS confidence FROM t LEFT JOIN h USING (project_id)""")
+def confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return risk.confidence(model.nodes(spark, folder), model.commits(spark, folder)).select("project_id", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
+
+
+# --- extraction ----------------------------------------------------------------------------------------------------------------
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "parsed_files").select("project_id", F.regexp_replace("file_path", r"\\", "/").alias("file_path"), "source").distinct()
+
+
+@query()
+def extracted_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract_nodes(_files(spark, folder)).drop("source")
+
+
+@query()
+def extracted_routes(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract_routes(_files(spark, folder))
+
+
+@query()
+def resolved_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.resolve_calls(model.nodes(spark, folder, "id", "project_id", "file_path", "kind", "name", "is_exported", "source"))
+
+
+@query(f"""WITH {WITH_N}, t AS (SELECT project_id, id, name FROM N WHERE kind IN ('function', 'method') AND (regexp_matches(file_path, '(^|/)(test_[^/]*\\.py|[^/]*_test\\.(py|go|rs)|[^/]*\\.(test|spec)\\.(ts|tsx|js|jsx|mjs|cjs)|[^/]*Tests?\\.(java|cs|php))$') OR regexp_matches(file_path, '(^|/)(tests?|__tests__|spec)/'))),
+s AS (SELECT project_id, id, substr(name, 6) AS name FROM t WHERE starts_with(name, 'test_') UNION SELECT project_id, id, substr(name, 5) FROM t WHERE regexp_matches(name, '^Test[A-Z]'))
+SELECT DISTINCT s.project_id, s.id AS source_node_id, N.id AS target_node_id, 'test_of' AS kind FROM s JOIN N ON N.project_id = s.project_id AND N.name = s.name WHERE N.kind NOT IN ('file', 'test_contract') AND N.id <> s.id""")
+def resolved_tests(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.test_contracts(model.nodes(spark, folder))
+
+
+@query(r"""WITH l AS (SELECT project_id, snapshot_no, replace(file_path, '\', '/') AS file_path, md5(string_agg(coalesce(qualified_name, '') || ':' || coalesce(lower(content_hash), ''), ',' ORDER BY coalesce(qualified_name, '') || ':' || coalesce(lower(content_hash), ''))) AS h FROM (SELECT DISTINCT project_id, snapshot_no, file_path, qualified_name, content_hash FROM node_snapshots) GROUP BY 1, 2, 3),
+a AS (SELECT * FROM l WHERE snapshot_no = 1), b AS (SELECT * FROM l WHERE snapshot_no = 2)
+SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.project_id = b.project_id AND a.file_path = b.file_path""")
+def file_state_diff(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "node_snapshots").select("project_id", "snapshot_no", "file_path", "qualified_name", "content_hash").distinct()
+    item = F.concat(F.coalesce("qualified_name", F.lit("")), F.lit(":"), F.coalesce(F.lower("content_hash"), F.lit("")))
+    states = rows.groupBy("project_id", "snapshot_no", F.regexp_replace("file_path", r"\\", "/").alias("file_path")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(item)), ",")).alias("content_hash"))
+    return extract.state_diff(states.where("snapshot_no = 1"), states.where("snapshot_no = 2"))
+
+
+@query("SELECT DISTINCT id, CAST(floor(strlen(source) * 0.25) AS BIGINT) AS tokens FROM nodes WHERE source IS NOT NULL")
+def token_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nodes").where("source is not null").select("id", estimate_tokens(F.col("source")).alias("tokens")).distinct()
+
+
+@query(r"""WITH p AS (SELECT DISTINCT replace(file_path, '\', '/') AS file_path FROM nodes WHERE file_path IS NOT NULL),
+a AS (SELECT file_path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(file_path, '/{2,}', '/', 'g'), '\$\{[^}]*\}', '{}', 'g'), '<[^>]*>', '{}', 'g'), ':[A-Za-z0-9_]+', '{}', 'g'), '\{[A-Za-z0-9_]+\}', '{}', 'g') AS r FROM p),
+b AS (SELECT file_path, CASE WHEN starts_with(r, '/') THEN r ELSE '/' || r END AS r FROM a)
+SELECT file_path, CASE WHEN length(r) > 1 THEN regexp_replace(r, '/$', '') ELSE r END AS route FROM b""")
+def canonical_paths(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "nodes").where("file_path is not null").select(F.regexp_replace("file_path", r"\\", "/").alias("file_path")).distinct()
+    return rows.select("file_path", canonical_route(F.col("file_path")).alias("route"))
+
+
+@query()
+def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nodes").where("source is not null").select("id", content_hash(F.col("source")).alias("hash")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return dict(SQL)
