@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASHES, BANDS, ROWS = 100, 20, 5
 
@@ -20,11 +23,24 @@ def char_shingles(text: Column, size: int = 3) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def minhash(shingles: Column, hashes: int = HASHES) -> Column:
-    """The least hash of the shingles for each of ``hashes`` functions; null for no shingles."""
-    base = F.transform(shingles, lambda s: F.xxhash64(s))
-    seeds = F.sequence(F.lit(0), F.lit(hashes - 1))
-    return F.when(F.size(shingles) > 0, F.transform(seeds, lambda seed: F.array_min(F.transform(base, lambda h: F.xxhash64(h, seed)))))
+def _signature(text: str | None, size: int = 3, hashes: int = HASHES) -> list[int] | None:
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < size:
+        return None
+    runs = np.zeros(len(codes) - size + 1, np.uint64)
+    for k in range(size):
+        runs = (runs << np.uint64(21)) | codes[k : k + len(runs)]
+    runs = np.unique(runs)
+    seeds = (np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    mixed = (runs[None, :] ^ seeds) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (mixed ^ (mixed >> np.uint64(31))).min(axis=1).view(np.int64).tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def minhash(text: pd.Series) -> pd.Series:
+    """The least hash of a text's runs of three characters for each of 100 functions; null below three characters."""
+    return text.map(_signature)
 
 
 def estimated_similarity(a: Column, b: Column) -> Column:
@@ -36,7 +52,7 @@ def estimated_similarity(a: Column, b: Column) -> Column:
 def signatures(nodes: DataFrame, min_bytes: int = 50, min_lines: int = 3) -> DataFrame:
     """(id, signature) of functions and methods of a least length."""
     rows = nodes.where(F.col("kind").isin("function", "method") & (F.octet_length("source") >= min_bytes) & (F.col("end_line") - F.col("start_line") >= min_lines))
-    return rows.select("id", minhash(char_shingles(normalize_code(F.col("source")))).alias("signature")).where("signature is not null")
+    return rows.select("id", minhash(normalize_code(F.col("source"))).alias("signature")).where("signature is not null")
 
 
 def similar_pairs(signed: DataFrame, threshold: float = 0.7, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -100,11 +116,12 @@ def profile_similarity(lines_a: Column, lines_b: Column, complexity_a: Column, c
 
 def semantic_scores(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, minhash, overlap, proximity, profile, score) of pairs (a, b) of node ids."""
-    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "source", "file_path", "start_line", "end_line", "complexity", "is_exported")])
+    signed = nodes.withColumn("signature", minhash(normalize_code(F.coalesce("source", F.lit("")))))
+    wanted = ("id", "source", "signature", "file_path", "start_line", "end_line", "complexity", "is_exported")
+    side = lambda s: signed.select(*[F.col(c).alias(f"{c}_{s}") for c in wanted])
     both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
-    sign = lambda c: minhash(char_shingles(normalize_code(F.coalesce(F.col(c), F.lit("")))))
     parts = both.select(
-        "a", "b", F.coalesce(estimated_similarity(sign("source_a"), sign("source_b")), F.lit(0.0)).alias("minhash"), token_overlap(F.col("source_a"), F.col("source_b")).alias("overlap"),
+        "a", "b", F.coalesce(estimated_similarity(F.col("signature_a"), F.col("signature_b")), F.lit(0.0)).alias("minhash"), token_overlap(F.col("source_a"), F.col("source_b")).alias("overlap"),
         directory_proximity(F.col("file_path_a"), F.col("file_path_b")).alias("proximity"),
         profile_similarity(F.col("end_line_a") - F.col("start_line_a"), F.col("end_line_b") - F.col("start_line_b"), F.col("complexity_a"), F.col("complexity_b"), F.col("is_exported_a"), F.col("is_exported_b")).alias("profile"),
     )

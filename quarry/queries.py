@@ -490,7 +490,7 @@ def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 # --- similarity ------------------------------------------------------------------------------------------------------------
 
 @query(r"""WITH s AS (SELECT DISTINCT id, source FROM nodes WHERE kind IN ('function', 'method') AND source IS NOT NULL),
-l AS (SELECT id, list_filter(list_transform(string_split(source, chr(10)), x -> trim(regexp_replace(x, '\s', ' ', 'g'))), x -> NOT starts_with(x, '//') AND NOT starts_with(x, '#')) AS lines FROM s)
+l AS (SELECT id, list_filter(list_transform(string_split(source, chr(10)), lambda x: trim(regexp_replace(x, '\s', ' ', 'g'))), lambda x: NOT starts_with(x, '//') AND NOT starts_with(x, '#')) AS lines FROM s)
 SELECT id, md5(regexp_replace(array_to_string(lines, ''), '\s', '', 'g')) AS normalized FROM l""")
 def normalized_code(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "nodes").where(F.col("kind").isin("function", "method") & F.col("source").isNotNull()).select("id", "source").distinct()
@@ -504,7 +504,7 @@ def similar_code(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT DISTINCT id, source FROM nodes WHERE source IS NOT NULL), a AS (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM edges WHERE kind = 'similar_to'),
-t AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(source), '[^\p{L}\p{N}_]+'), x -> strlen(x) > 1)) AS toks FROM s WHERE id IN (SELECT a FROM a UNION SELECT b FROM a))
+t AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(source), '[^\p{L}\p{N}_]+'), lambda x: strlen(x) > 1)) AS toks FROM s WHERE id IN (SELECT a FROM a UNION SELECT b FROM a))
 SELECT a, b, round(CASE WHEN len(list_distinct(list_concat(x.toks, y.toks))) = 0 THEN 1 ELSE len(list_intersect(x.toks, y.toks)) / len(list_distinct(list_concat(x.toks, y.toks))) END, 6) AS overlap FROM a JOIN t x ON x.id = a JOIN t y ON y.id = b""")
 def token_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     pairs = table(spark, folder, "edges").where("kind = 'similar_to'").select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).distinct()
@@ -568,7 +568,7 @@ def risk_strategies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {WITH_N}, {WITH_C}, t AS (SELECT project_id, max(CAST(kind = 'test' AS INTEGER)) AS tests FROM N GROUP BY 1), h AS (SELECT DISTINCT project_id FROM C)
-SELECT t.project_id, round(1.0 - CASE WHEN h.project_id IS NULL THEN 0.3 ELSE 0 END - CASE WHEN tests = 1 THEN 0 ELSE 0.2 END, 6) AS confidence FROM t LEFT JOIN h USING (project_id)""")
+SELECT t.project_id, round(1.0::DOUBLE - CASE WHEN h.project_id IS NULL THEN 0.3 ELSE 0 END - CASE WHEN tests = 1 THEN 0 ELSE 0.2 END, 6) AS confidence FROM t LEFT JOIN h USING (project_id)""")
 def confidence(spark: SparkSession, folder: str) -> DataFrame:
     return risk.confidence(model.nodes(spark, folder), model.commits(spark, folder)).select("project_id", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
 
