@@ -82,5 +82,34 @@ WHERE t * n >= 3 * ca.c * cb.c
 """
 
 
+P4_SQL = """
+WITH t AS (SELECT DISTINCT plan_id, node_id, pagerank::DOUBLE AS f0, blast_radius_files::DOUBLE AS f1, git_churn::DOUBLE AS f2, complexity::DOUBLE AS f3 FROM target_factors WHERE plan_id IS NOT NULL AND node_id IS NOT NULL),
+r AS (SELECT row_number() OVER () AS rid, * FROM t),
+u AS (SELECT rid, plan_id, node_id, 0 AS f, coalesce(f0, -1e308) AS v FROM r UNION ALL SELECT rid, plan_id, node_id, 1, coalesce(f1, -1e308) FROM r
+      UNION ALL SELECT rid, plan_id, node_id, 2, coalesce(f2, -1e308) FROM r UNION ALL SELECT rid, plan_id, node_id, 3, coalesce(f3, -1e308) FROM r),
+p AS (SELECT *, (rank() OVER (PARTITION BY plan_id, f ORDER BY v) - 1 + count(*) OVER (PARTITION BY plan_id, f, v) / 2) / count(*) OVER (PARTITION BY plan_id, f) AS r, count(*) OVER (PARTITION BY plan_id, f) AS n FROM u),
+g AS (SELECT a.rid, a.plan_id, a.node_id, a.f, sum(least(greatest((a.r - b.r - 0.02) / 0.48, 0), 1) - least(greatest((b.r - a.r - 0.02) / 0.48, 0), 1)) / greatest(any_value(a.n) - 1, 1) AS flow
+      FROM p a JOIN p b ON a.plan_id = b.plan_id AND a.f = b.f GROUP BY a.rid, a.plan_id, a.node_id, a.f),
+s AS (SELECT plan_id, node_id, max(flow) AS flow FROM (SELECT rid, plan_id, node_id, sum(flow) / 4 AS flow FROM g GROUP BY rid, plan_id, node_id) GROUP BY plan_id, node_id)
+SELECT plan_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY round(flow, 9) DESC, node_id) AS k FROM s) WHERE k <= 5
+"""
+
+P7_SQL = """
+WITH n AS (SELECT DISTINCT id, regexp_extract_all(source, '[A-Za-z0-9_]+') AS t FROM nodes WHERE kind IN ('function', 'method') AND source IS NOT NULL AND id IS NOT NULL),
+s AS (SELECT DISTINCT id, t[k] || ' ' || t[k + 1] || ' ' || t[k + 2] AS g FROM (SELECT id, t, unnest(range(1, len(t) - 1)) AS k FROM n WHERE len(t) >= 40)),
+c AS (SELECT id, count(*) AS c FROM s GROUP BY id),
+j AS (SELECT a.id AS a, b.id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a AS node_a, b AS node_b FROM j JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE x >= 0.6 * (ca.c + cb.c - x)
+"""
+
+P9_SQL = r"""
+WITH w AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items),
+i AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 15], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 14)) AS k FROM w WHERE len(w) >= 16)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, array_to_string(w[k:k + 15], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 14)) AS k FROM d WHERE len(w) >= 16))
+SELECT DISTINCT doc_id, item_id FROM x JOIN i ON x.g = i.g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
