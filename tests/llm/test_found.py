@@ -227,7 +227,7 @@ def test_packing_holds_every_rule(spark):
 
 def test_measuring(spark):
     rows = spark.createDataFrame([(1, "hello world", "s"), (1, "hello world", "s"), (2, None, None), (3, "", "s"), (None, "x", "s")], "doc_id long, text string, source string")
-    assert {r.doc_id: r.tokens for r in packing.measured(rows).collect()} == {1: 2, 2: 0, 3: 0}
+    assert {r.doc_id: r.tokens for r in packing.measured(rows).collect()} == {1: len(packing.tokenizer().encode_ordinary("hello world")), 2: 0, 3: 0}
 
 
 # --- 9: leakage -------------------------------------------------------------------------------------------------------
