@@ -212,12 +212,46 @@ def _move_nodes(pdf: pd.DataFrame, sweeps: int, gamma: float) -> pd.DataFrame:
     return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "node_id": nodes, "community": [group[n] for n in nodes], "part": [part[n] for n in nodes]})
 
 
-def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 50, gamma: float = 1.0, smallest: int = 2) -> DataFrame:
+def _move_distributed(arcs: DataFrame, sweeps: int, gamma: float) -> DataFrame:
+    """As ``_move_nodes`` for components too large for one task: rounds in which a half of the nodes moves at once.
+
+    The halves change from round to round by a hash, so two neighbours seldom swap places; it ends after two
+    rounds without a move. Results may differ from those of moving nodes one by one.
+    """
+    ways = F.array(F.struct(F.col("src").alias("a"), F.col("src_rank").alias("rank"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("dst_rank").alias("rank"), F.col("src").alias("b")))
+    both = cut_lineage(arcs.select("project_id", "m2", "weight", F.explode(ways).alias("w")).select("project_id", "m2", "weight", "w.*"))
+    state = cut_lineage(both.groupBy("project_id", F.col("a").alias("node_id")).agg(F.first("rank").alias("community"), F.sum("weight").alias("degree"), F.first("m2").alias("m2")))
+    still = 0
+    for number in range(2 * sweeps):
+        load = state.groupBy("project_id", "community").agg(F.sum("degree").alias("load"))
+        near = both.join(state.select(F.col("node_id").alias("b"), "community"), "b").groupBy(F.col("a").alias("node_id"), F.col("community").alias("candidate")).agg(F.sum("weight").alias("pull"))
+        turn = state.where(F.pmod(F.xxhash64("node_id", F.lit(number)), F.lit(2)) == 0)
+        own = near.select("node_id", F.col("candidate").alias("community"), F.col("pull").alias("own_pull"))
+        tried = near.join(turn, "node_id").where("candidate <> community").join(own, ["node_id", "community"], "left")
+        tried = tried.join(load, ["project_id", "community"]).join(load.select("project_id", F.col("community").alias("candidate"), F.col("load").alias("other")), ["project_id", "candidate"])
+        delta = (F.col("pull") - F.coalesce("own_pull", F.lit(0.0))) / F.col("m2") - gamma * F.col("degree") * (F.col("other") - F.col("load") + F.col("degree")) / (F.col("m2") * F.col("m2"))
+        better = tried.withColumn("delta", delta).where((F.col("delta") > 0) | (F.col("delta") == 0) & (F.col("candidate") < F.col("community")))
+        moves = cut_lineage(better.groupBy("node_id").agg(F.min(F.struct(-F.col("delta"), F.col("candidate")))["candidate"].alias("moved")))
+        still = still + 1 if moves.isEmpty() else 0
+        if still == 2:
+            break
+        if not still:
+            state = cut_lineage(state.join(moves, "node_id", "left").select("project_id", "node_id", F.coalesce("moved", "community").alias("community"), "degree", "m2"))
+    a, b = state.select(F.col("node_id").alias("src"), F.col("community").alias("ca")), state.select(F.col("node_id").alias("dst"), F.col("community").alias("cb"))
+    inner = arcs.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst")
+    whole = state.join(components(inner), "node_id", "left").select("project_id", "node_id", "community", F.coalesce("component", "node_id").alias("component"))
+    order = Window.partitionBy("project_id", "community").orderBy("component")
+    parts = whole.select("project_id", "community", "component").distinct().withColumn("part", (F.row_number().over(order) - 1).cast("int"))
+    return whole.join(parts, ["project_id", "community", "component"]).select("project_id", "node_id", "community", "part")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 50, gamma: float = 1.0, smallest: int = 2, most_arcs: int = 1_000_000) -> DataFrame:
     """(project_id, node_id, cluster_id) of every project: local moves by modularity, disconnected communities split.
 
     Moves depend only on a node's connected component and its project's total weight, so components are
     handled apart, with results equal to those of the whole. Communities below ``smallest`` and isolated
-    nodes get cluster 0; a project without edges keeps one cluster a node. A single component is one task.
+    nodes get cluster 0; a project without edges keeps one cluster a node. A component of up to ``most_arcs``
+    pairs is one task; larger ones move in distributed rounds.
     """
     members = nodes.select("project_id", "node_id").distinct()
     by_id = Window.partitionBy("project_id").orderBy("node_id")
@@ -226,8 +260,11 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 50, gamma: flo
     a, b = ranked.select(F.col("node_id").alias("src"), F.col("rank").alias("src_rank")), ranked.select(F.col("node_id").alias("dst"), F.col("rank").alias("dst_rank"))
     arcs = cut_lineage(arcs.join(a, "src").join(b, "dst"))
     total = arcs.groupBy("project_id").agg((2 * F.sum("weight")).alias("m2"))
-    located = arcs.join(total, "project_id").join(components(arcs).withColumnRenamed("node_id", "src"), "src")
-    grouped = located.groupBy("project_id", "component").applyInPandas(lambda pdf: _move_nodes(pdf, sweeps, gamma), "project_id long, node_id long, community long, part int")
+    located = cut_lineage(arcs.join(total, "project_id").join(components(arcs).withColumnRenamed("node_id", "src"), "src"))
+    large = cut_lineage(located.groupBy("project_id", "component").agg(F.count("*").alias("n")).where(F.col("n") > most_arcs).drop("n"))
+    grouped = located.join(large, ["project_id", "component"], "left_anti").groupBy("project_id", "component").applyInPandas(lambda pdf: _move_nodes(pdf, sweeps, gamma), "project_id long, node_id long, community long, part int")
+    if not large.isEmpty():
+        grouped = grouped.unionByName(_move_distributed(located.join(large, ["project_id", "component"], "left_semi"), sweeps, gamma))
     moved = cut_lineage(grouped)
     # Later parts of a community get fresh ids after all others, in order of community and part.
     fresh = moved.where("part > 0").select("project_id", "community", "part").distinct()

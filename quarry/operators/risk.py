@@ -21,13 +21,19 @@ INTENTS = {
 def intent(text: Column) -> Column:
     """(intent, confidence, multiplier): the category with the most of its keywords in the text; the first of equals."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = {name: sum((low.contains(w).cast("int") for w in words), F.lit(0)) for name, (_, words) in INTENTS.items()}
-    best = F.greatest(*hits.values())
-    total = sum(hits.values(), F.lit(0))
-    name, share = F, F
-    for label, (multiplier, _) in INTENTS.items():
-        name, share = name.when((best > 0) & (hits[label] == best), label), share.when((best > 0) & (hits[label] == best), F.lit(multiplier))
-    return F.struct(name.otherwise("unknown").alias("intent"), F.coalesce(F.try_divide(best, total), F.lit(0.0)).alias("confidence"), share.otherwise(F.lit(1.0)).alias("multiplier"))
+    hits = F.array(*[sum((low.contains(w).cast("int") for w in words), F.lit(0)) for _, words in INTENTS.values()])
+    names, shares = F.array(*[F.lit(n) for n in INTENTS]), F.array(*[F.lit(m) for m, _ in INTENTS.values()])
+
+    def judged(h: Column) -> Column:
+        best, total = F.array_max(h), F.aggregate(h, F.lit(0), lambda s, v: s + v)
+        place = F.array_position(h, best).cast("int")
+        return F.struct(
+            F.when(best > 0, F.element_at(names, place)).otherwise("unknown").alias("intent"), F.coalesce(F.try_divide(best, total), F.lit(0.0)).alias("confidence"),
+            F.when(best > 0, F.element_at(shares, place)).otherwise(F.lit(1.0)).alias("multiplier"),
+        )
+
+    # The counts are bound once, as the one element of an array.
+    return F.element_at(F.transform(F.array(hits), judged), 1)
 
 
 def node_features(nodes: DataFrame, edges: DataFrame, links: DataFrame, ranks: DataFrame, coupling: DataFrame) -> DataFrame:

@@ -54,6 +54,13 @@ def test_community_goldens(spark):
     assert clusters(spark, [1], []) == {1: 1}
 
 
+def test_distributed_moves_split_cliques(spark):
+    clique = lambda xs: [(a, b) for a in xs for b in xs if a != b]
+    pairs = clique([1, 2, 3, 4]) + clique([5, 6, 7, 8]) + [(4, 5)]
+    got = {r.node_id: r.cluster_id for r in graph.communities(members(spark, range(1, 10)), edges(spark, pairs), most_arcs=0).collect()}
+    assert len({got[i] for i in (1, 2, 3, 4)}) == 1 and len({got[i] for i in (5, 6, 7, 8)}) == 1 and got[1] != got[5] and got[9] == 0
+
+
 def test_modularity_golden(spark):
     clique = lambda xs: [(a, b) for a in xs for b in xs if a != b]
     assignment = spark.createDataFrame([(i, 2 if i < 4 else 5) for i in range(1, 7)], "node_id long, cluster_id long")
