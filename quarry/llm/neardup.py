@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"[A-Za-z0-9_]+")
 SHINGLE, MIN_TOKENS, THRESHOLD = 3, 40, 0.6
 SKETCH = 48
-#: Retained values in which the sketches of two sets at the threshold agree at least: four standard deviations below the mean at equal sizes.
+#: Retained values in which the sketches of two sets at the threshold agree at least: five standard deviations below the least mean, that of a set inside another.
 AGREEING = 14
-#: How far below the threshold the union-sketch estimate may lie: four standard deviations at k = 48.
-SLACK = 0.28
+#: How far below the threshold the union-sketch estimate may lie: more than four standard deviations at k = 48.
+SLACK = 0.32
 LONG_LIST = 200
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
