@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Keywords of a change's intent and the share of coupling risk it keeps, in order of precedence.
@@ -131,6 +131,43 @@ def strategies(rows: DataFrame, base: DataFrame) -> DataFrame:
     return out.withColumn("priority", F.when(F.col("delta") >= 0.10, "HIGH").when(F.col("delta") >= 0.05, "MEDIUM").otherwise("LOW"))
 
 
+def guarded_files(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, least_rank: float = 0.05, least_sources: int = 10) -> DataFrame:
+    """(project_id, file_path, pagerank, sources, blocked): the greatest rank in each file and the distinct nodes with edges into it."""
+    own = nodes.where("file_path is not null").select("project_id", "file_path", F.col("id").alias("node_id"))
+    ranked = own.join(ranks.select("node_id", "pagerank"), "node_id", "left").groupBy("project_id", "file_path").agg(F.coalesce(F.max("pagerank"), F.lit(0.0)).alias("pagerank"))
+    into = own.join(edges.select(F.col("target_node_id").alias("node_id"), "source_node_id"), "node_id").groupBy("project_id", "file_path").agg(F.countDistinct("source_node_id").alias("sources"))
+    joined = ranked.join(into, ["project_id", "file_path"], "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    return joined.withColumn("blocked", (F.col("pagerank") >= least_rank) | (F.col("sources") >= least_sources))
+
+
+def alternatives(nodes: DataFrame, limit: int = 5) -> DataFrame:
+    """(node_id, alternative_id, rank): other functions of the same name or of it with ``_alt`` or ``_v2``, names of four bytes or more."""
+    rows = nodes.where(F.col("kind").isin("function", "method") & (F.octet_length("name") >= 4)).select("id", "name")
+    wanted = rows.select(F.col("id").alias("node_id"), F.explode(F.array(F.col("name"), F.concat("name", F.lit("_alt")), F.concat("name", F.lit("_v2")))).alias("name"))
+    found = wanted.join(rows.select(F.col("id").alias("alternative_id"), "name"), "name").where("node_id <> alternative_id").select("node_id", "alternative_id").distinct()
+    order = Window.partitionBy("node_id").orderBy("alternative_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def extraction_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, candidate_id): the functions and methods each node calls directly."""
+    rows = nodes.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("candidate_id"))
+    return edges.where("kind = 'calls'").select(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("candidate_id")).distinct().join(rows, "candidate_id", "left_semi")
+
+
+def central_callers(edges: DataFrame, ranks: DataFrame, base: DataFrame) -> DataFrame:
+    """(node_id, caller_id): direct callers whose rank reaches their project's stored percentile."""
+    central = ranks.join(base.select("project_id", "pagerank_percentile_80"), "project_id").where("pagerank >= pagerank_percentile_80").select(F.col("node_id").alias("caller_id"))
+    return edges.where("kind = 'calls'").select(F.col("target_node_id").alias("node_id"), F.col("source_node_id").alias("caller_id")).distinct().join(central, "caller_id", "left_semi")
+
+
+def interfaces(edges: DataFrame) -> DataFrame:
+    """(node_id, interface_id): what a node, or the node that contains it, implements or extends."""
+    up = edges.where(F.col("kind").isin("implements", "extends")).select(F.col("source_node_id").alias("owner"), F.col("target_node_id").alias("interface_id"))
+    inside = edges.where("kind = 'contains'").select(F.col("source_node_id").alias("owner"), F.col("target_node_id").alias("node_id"))
+    return up.withColumnRenamed("owner", "node_id").unionByName(inside.join(up, "owner").select("node_id", "interface_id")).distinct()
+
+
 def safe_order(targets: list[tuple[int, float]], depends: list[tuple[int, int]]) -> list[tuple[int, str]]:
     """(target, why) of a plan's few targets: those called first, ties by lower risk, a cycle's rest by risk.
 

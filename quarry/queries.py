@@ -573,6 +573,46 @@ def confidence(spark: SparkSession, folder: str) -> DataFrame:
     return risk.confidence(model.nodes(spark, folder), model.commits(spark, folder)).select("project_id", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
 
 
+@query(f"""{WITH_RANKS}, {WITH_N}, {WITH_L}, {WITH_COUPLING}, BS AS (SELECT project_id, greatest(max(complexity), 1) AS max_complexity, greatest(count(DISTINCT file_path), 1) AS total_files FROM N GROUP BY 1),
+MP AS (SELECT project_id, greatest(max(pr), 0.001) AS max_pagerank, greatest(quantile_disc(pr, 0.2), 0.001) AS pagerank_percentile_80 FROM r{PAGERANK_ROUNDS} GROUP BY 1), MC AS (SELECT project_id, max(co_changes) AS mc FROM P GROUP BY 1)
+SELECT project_id, max_complexity, total_files, round(max_pagerank, 6) AS max_pagerank, round(pagerank_percentile_80, 6) AS pagerank_percentile_80, coalesce(mc, 0) AS max_co_changes FROM BS JOIN MP USING (project_id) LEFT JOIN MC USING (project_id)""")
+def risk_baselines(spark: SparkSession, folder: str) -> DataFrame:
+    _, base = _risk_parts(spark, folder)
+    return base.select("project_id", F.col("max_complexity").cast("long").alias("max_complexity"), F.col("total_files").cast("long").alias("total_files"), F.round("max_pagerank", 6).alias("max_pagerank"), F.round("pagerank_percentile_80", 6).alias("pagerank_percentile_80"), "max_co_changes")
+
+
+@query(f"""{WITH_RANKS}, {WITH_N}, ga AS (SELECT N.project_id, file_path, max(pr) AS pagerank FROM N LEFT JOIN r{PAGERANK_ROUNDS} r ON r.id = N.id WHERE file_path IS NOT NULL GROUP BY ALL),
+gb AS (SELECT N.project_id, file_path, count(DISTINCT source_node_id) AS sources FROM N JOIN E ON E.target_node_id = N.id WHERE file_path IS NOT NULL GROUP BY ALL)
+SELECT project_id, file_path, round(coalesce(pagerank, 0), 6) AS pagerank, coalesce(sources, 0) AS sources, coalesce(pagerank, 0) >= 0.05 OR coalesce(sources, 0) >= 10 AS blocked FROM ga LEFT JOIN gb USING (project_id, file_path)""")
+def guarded_files(spark: SparkSession, folder: str) -> DataFrame:
+    return risk.guarded_files(model.nodes(spark, folder), model.edges(spark, folder), _ranks(spark, folder)).withColumn("pagerank", F.round("pagerank", 6))
+
+
+@query(f"""WITH {WITH_N}, f AS (SELECT id, name FROM N WHERE kind IN ('function', 'method') AND strlen(name) >= 4),
+w AS (SELECT id, name FROM f UNION ALL SELECT id, name || '_alt' FROM f UNION ALL SELECT id, name || '_v2' FROM f),
+j AS (SELECT DISTINCT w.id AS node_id, f.id AS alternative_id FROM w JOIN f ON f.name = w.name AND f.id <> w.id)
+SELECT node_id, alternative_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY alternative_id) AS rank FROM j) WHERE rank <= 5""")
+def alternative_implementations(spark: SparkSession, folder: str) -> DataFrame:
+    return risk.alternatives(model.nodes(spark, folder))
+
+
+@query(f"WITH {WITH_N}, {WITH_E} SELECT DISTINCT source_node_id AS node_id, target_node_id AS candidate_id FROM E WHERE E.kind = 'calls' AND target_node_id IN (SELECT id FROM N WHERE kind IN ('function', 'method'))")
+def extraction_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return risk.extraction_candidates(model.nodes(spark, folder), model.edges(spark, folder))
+
+
+@query()
+def central_callers(spark: SparkSession, folder: str) -> DataFrame:
+    _, base = _risk_parts(spark, folder)
+    return risk.central_callers(model.edges(spark, folder), _ranks(spark, folder), base)
+
+
+@query(f"""WITH {WITH_E}, u AS (SELECT source_node_id AS o, target_node_id AS i FROM E WHERE kind IN ('implements', 'extends'))
+SELECT o AS node_id, i AS interface_id FROM u UNION SELECT E.target_node_id, i FROM E JOIN u ON u.o = E.source_node_id WHERE E.kind = 'contains'""")
+def related_interfaces(spark: SparkSession, folder: str) -> DataFrame:
+    return risk.interfaces(model.edges(spark, folder))
+
+
 # --- extraction ----------------------------------------------------------------------------------------------------------------
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
