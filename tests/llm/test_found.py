@@ -65,6 +65,19 @@ def test_python_agrees_with_its_own_parser():
             assert parse.check(text, "python").cost == 0, text
 
 
+def test_very_long_texts_end_soon():
+    import time
+
+    began = time.time()
+    packed = "function a(b,c){" + "d(b&&c,e*f&g);" * 60_000 + "}"
+    assert parse.check(packed, "javascript").cost == 0 and parse.check(packed[:-1], "javascript").cost
+    assert parse.check("f(" * 3000 + ")" * 3000, "python").cost == 0
+    assert docpairs.documented_functions("/* Keeps the order of rows. */\n" + packed, "a.js", "function a(b,c)", "a")[0][2]
+    assert handwritten.content_reason(packed) == "minified"
+    assert encoding.repair("あ" * 100_000, encoding.PairModel(*[__import__("numpy").zeros(1 << b, int) for b in (encoding.PAIR_BITS, encoding.CHAR_BITS)], 10))[1] == []
+    assert time.time() - began < 60
+
+
 def test_repair_counts_edits():
     got = parse.check("int f() { return 1 }\nint g() { return 2; }\n", "c", thorough=True)
     assert got.cost == 1
