@@ -29,7 +29,7 @@ _DECLARATIONS: dict[str, list[tuple[re.Pattern, str | None]]] = {
     "php": [(re.compile(rf"^[ \t]*(?:abstract\s+|final\s+)?(?P<kind>class|interface|trait|enum)\s+(?P<name>{_ID})", re.M), None), (re.compile(rf"^[ \t]+(?:(?P<pub>public)\s+|(?:private|protected|static|final|abstract)\s+)+function\s+&?(?P<name>{_ID})", re.M), "method"), (re.compile(rf"^function\s+&?(?P<name>{_ID})", re.M), "function")],
 }
 _DECLARATIONS["typescript"] = [*_DECLARATIONS["javascript"], (re.compile(rf"^[ \t]*(?P<pub>export\s+)?(?:declare\s+)?(?:const\s+)?(?P<kind>interface|enum|type)\s+(?P<name>{_ID})", re.M), None)]
-_DECLARATIONS["cpp"] = [(re.compile(rf"^(?!(?:if|for|while|switch|return|else|typedef|#))(?:[A-Za-z_][\w:<>,&]*[ \t*&]+)+(?P<name>(?:{_ID}::)*~?{_ID})\s*\([^;{{}}]*\)[^;{{}}()]*\{{", re.M), "function"), (re.compile(rf"^[ \t]*(?P<kind>class|struct|enum)\s+(?:class\s+)?(?P<name>{_ID})[^;{{}}()]*\{{", re.M), None)]
+_DECLARATIONS["cpp"] = [(re.compile(rf"^(?!(?:if|for|while|switch|return|else|typedef|#))(?:[A-Za-z_][\w:<>,]*[ \t*&]+)+(?P<name>(?:{_ID}::)*~?{_ID})\s*\([^;{{}}]*\)[^;{{}}()]*\{{", re.M), "function"), (re.compile(rf"^[ \t]*(?P<kind>class|struct|enum)\s+(?:class\s+)?(?P<name>{_ID})[^;{{}}()]*\{{", re.M), None)]
 _DECLARATIONS["csharp"] = _DECLARATIONS["java"]
 _BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 
@@ -64,9 +64,11 @@ def entities(source: str, language: str) -> list[tuple[str, str, int, int, bool,
                 found.append((kind, node.name, node.lineno, node.end_lineno, True, "".join(lines[node.lineno - 1 : node.end_lineno])))
         return sorted(found, key=lambda e: (e[2], e[1]))
     code = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
+    # Lines of packed code are no place for the patterns: they would be tried at every place of a very long line.
+    shown = re.sub(r"[^\n]{2000,}", lambda m: " " * len(m.group()), code)
     found = []
     for pattern, kind in _DECLARATIONS.get(language, ()):
-        for m in pattern.finditer(code):
+        for m in pattern.finditer(shown):
             start = m.start() + len(m.group()) - len(m.group().lstrip())
             end = _block_end(code, start)
             exported = {"rust": True, "go": m.group("name")[:1].isupper(), "c": True, "cpp": True}.get(language, bool(m.groupdict().get("pub")))
