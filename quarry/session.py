@@ -72,4 +72,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    context = spark.sparkContext
+    context._quarry_stored = [*getattr(context, "_quarry_stored", []), path]
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables ``stored`` wrote so far; call it once their results have been used. The number deleted."""
+    context = spark.sparkContext
+    paths, context._quarry_stored = getattr(context, "_quarry_stored", []), []
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

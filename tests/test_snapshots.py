@@ -40,6 +40,14 @@ def test_partial_deliveries_are_passed_over(spark):
     assert got == {(1, 3, "a", "changed")}
 
 
+def test_stored_tables_can_be_released(spark):
+    from quarry.session import release, stored
+
+    release(spark)
+    kept = stored(spark.range(3))
+    assert kept.count() == 3 and release(spark) == 1 and release(spark) == 0
+
+
 def test_empty_tables(spark):
     assert found(spark, [], []) == set()
 
