@@ -47,16 +47,20 @@ def word_hashes(text: str | None, known: _Hashes) -> np.ndarray:
     return np.array([known[w] for w in WORD.findall(text or "")], np.uint64)
 
 
-def fingerprints(words: np.ndarray, window: int) -> np.ndarray:
-    """The SimHash of every window of consecutive words (first at index 0)."""
+def fingerprints(words: np.ndarray, window: int, block: int = BATCH_WORDS) -> np.ndarray:
+    """The SimHash of every window of consecutive words (first at index 0); a text of any length is taken in blocks."""
     count = len(words) - window + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.cumsum(bits, axis=0, dtype=np.int32)
-    inside = sums[window - 1 :].copy()
-    inside[1:] -= sums[:count - 1]
-    return np.packbits(inside * 2 > window, axis=1, bitorder="little").view("<u8").ravel()
+    out = np.empty(count, np.uint64)
+    for start in range(0, count, block):
+        part = words[start : start + block + window - 1]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.cumsum(bits, axis=0, dtype=np.int32)
+        inside = sums[window - 1 :].copy()
+        inside[1:] -= sums[: len(inside) - 1]
+        out[start : start + len(inside)] = np.packbits(inside * 2 > window, axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:

@@ -275,6 +275,14 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(documents.limit(0), table).count() == 0 and leakage.leaks(documents, table.limit(0)).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_blocks():
+    import numpy as np
+
+    words = np.random.default_rng(2).integers(0, 2**63, 500).astype(np.uint64)
+    whole = leakage.fingerprints(words, 16)
+    assert len(whole) == 485 and all((leakage.fingerprints(words, 16, b) == whole).all() for b in (1, 7, 484, 485, 486))
+
+
 def test_fingerprints_within_the_radius_are_all_found():
     import numpy as np
 
