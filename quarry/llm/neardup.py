@@ -7,9 +7,10 @@ the rest a class keeps its rarest ones, just so many that two sketches of which
 of values agree must share one of them. Classes that meet in a list are held against each other by
 union-sketch estimation, and what remains by the exact Jaccard coefficient of the whole sets.
 
-A list longer than ``LONG_LIST`` is never paired as it is. Classes that agree in short lists are found
-there; others can be similar only if they agree in as many long ones, so classes with fewer are done, and
-the rest are listed under pairs of their rarest long values, and under triples where such a list is long.
+Classes that agree in a list of at most ``LONG_LIST`` entries are found there; others can be similar only if
+they agree in as many longer ones, so only classes that retain so many long values are paired in long lists,
+and each pair only in the list of the rarest value it shares. What remains quadratic is a group whose
+members differ from each other and yet are nearly all similar, and there the result is.
 """
 
 from __future__ import annotations
@@ -115,21 +116,17 @@ def candidates(reps: DataFrame, threshold: float, long_list: int = LONG_LIST, si
     kept = per_class.select("rep", "n", F.slice("values", F.lit(1), take).alias("values"))
     short = kept.select("rep", "n", F.explode(F.filter("values", lambda v: v["listed"] <= long_list)).alias("v")).select("rep", "n", F.array("v.value").alias("key"))
     pairs = _paired(short, threshold)
-    # Similar classes that share no short list agree in `least` long ones: among their rarest long values they share a pair, and a triple.
+    # Similar classes that share no short list agree in `least` long ones, and the rarest of these is among the first
+    # size - least + 1 long values of both; a pair is kept in the list of just that value.
     many = F.transform(F.filter("values", lambda v: v["listed"] > long_list), lambda v: v["value"])
-    long = per_class.select("rep", "n", "least", many.alias("rest")).where(F.size("rest") >= F.greatest("least", F.lit(2)))
-    reach = F.size("rest") - F.col("least")
-    head = F.slice("rest", F.lit(1), reach + 2)
-    twos = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.array(x, y))))
-    doubles = long.select("rep", "n", "least", F.slice("rest", F.lit(1), reach + 3).alias("head"), F.explode(twos).alias("key"))
-    counts = doubles.groupBy("key").agg(F.count("*").alias("listed")).where("listed > 1")
-    sized = doubles.join(counts, "key")
-    pairs = pairs.unionByName(_paired(sized.where(F.col("listed") <= long_list), threshold))
-    after = F.slice("head", F.array_position("head", F.element_at("key", -1)).cast("int") + 1, F.size("head"))
-    whole = F.when(F.col("least") < 3, F.array("key")).otherwise(F.array())
-    longer = F.concat(F.transform(after, lambda z: F.concat("key", F.array(z))), whole)
-    triples = sized.where(F.col("listed") > long_list).select("rep", "n", F.explode(longer).alias("key"))
-    return pairs.unionByName(_paired(triples, threshold)).distinct()
+    long = per_class.select("rep", "n", "least", many.alias("rest")).where(F.size("rest") >= F.col("least"))
+    keyed = long.select("rep", "n", "least", "rest", F.explode(F.slice("rest", F.lit(1), F.size("rest") - F.col("least") + 1)).alias("key"))
+    one = keyed.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("rest").alias("ra"))
+    two = keyed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("rest").alias("rb"))
+    fits = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    met = one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b", "key", "la", "lb", F.array_intersect("ra", "rb").alias("shared"))
+    rare = met.where((F.size("shared") >= F.least("la", "lb")) & (F.get("shared", F.lit(0)) == F.col("key"))).select("a", "b")
+    return pairs.unionByName(rare).distinct()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, floor: float, size: int) -> DataFrame:
