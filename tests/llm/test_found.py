@@ -316,3 +316,22 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert set(got) == {*broken, 2002}
     assert all(got[k].restored.endswith(t) for k, (t, _) in broken.items()) and got[2002].lost
     assert encoding.garbled(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("language", ["es", "fr", "ru"])
+@pytest.mark.parametrize("clean_too", [True, False])
+def test_a_third_of_the_rows_garbled_alike_does_not_hide_itself(spark, language, clean_too):
+    words = {"es": "función año después también según niño vacía más petición índice", "fr": "déjà créé où façon élève être modèle forêt clé préféré", "ru": "каждый узел проверяется после того блок обновлён затем снова"}[language].split()
+    rng = random.Random(7)
+    make = lambda: " ".join(rng.choice([*words, "node", "value"]) for _ in range(12))
+    garbled = {i: make() for i in range(200)}
+    others = [(1000 + i, make() if clean_too else rng.choice(CLEAN[2:5])) for i in range(400)]
+    rows = [(i, t.encode("utf-8").decode("latin-1")) for i, t in garbled.items()] + others
+    got = {r.doc_id: r.restored for r in encoding.garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t for i, t in garbled.items() if not t.isascii()}
+
+
+def test_runs_of_clean_texts_that_happen_to_be_utf8_stay():
+    model = encoding.PairModel(*[__import__("numpy").zeros(1 << b, int) for b in (encoding.PAIR_BITS, encoding.CHAR_BITS)], 10)
+    for text in ("L’été, l’étang, l’écran, d’Évian", "Её узел и её блок, рад, сам, так", "исправлен только счётчик", "только", "„Spaß“ und „groß“ und „süß“, „Spaß“", "│ ├─ a\n│ └─┐ b ─┤"):
+        assert encoding._evident_repair(text) == (text, []) and not encoding.repair(text, model)[1]
