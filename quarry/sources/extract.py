@@ -50,13 +50,61 @@ def _block_end(code: str, at: int) -> int:
     return len(code)
 
 
+_PY_TEXT = re.compile(r"#[^\n]*|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+_PY_DECLARATION = re.compile(r"[ \t]*(?:(?P<def>(?:async[ \t]+)?def)|class)[ \t]+(?P<name>[^\W\d]\w*)[ \t]*(?=[(:\[\\]|$)")
+
+
+def _by_indentation(source: str) -> list[tuple[str, str, int, int, bool, str]]:
+    """As ``entities`` for Python that does not parse: a declaration lasts while lines are indented deeper than its own."""
+    inside: set[int] = set()
+
+    def blanked(m: re.Match) -> str:
+        if m.group()[0] == "#":
+            return " " * len(m.group())
+        first = source.count("\n", 0, m.start())
+        inside.update(range(first + 1, first + m.group().count("\n") + 1))
+        return re.sub(r"[^\n]", "_", m.group())
+
+    code, lines = _PY_TEXT.sub(blanked, source).split("\n"), source.split("\n")
+    indent = [len(line.expandtabs()) - len(line.expandtabs().lstrip()) if line.strip() else None for line in code]
+    found, opened = [], []  # opened: (indent, kind, name, first line, line that ends the signature)
+
+    def close(least: int, at: int, last: int) -> None:
+        while opened and opened[-1][0] >= least and at > opened[-1][4]:
+            _, kind, name, first, signature = opened.pop()
+            end = max(signature, min(last, at - 1))
+            found.append((kind, name, first + 1, end + 1, True, "\n".join(lines[first : end + 1])))
+
+    last = 0
+    for k, line in enumerate(code):
+        if indent[k] is None or k in inside:
+            last = k if k in inside else last
+            continue
+        close(indent[k], k, last)
+        m = _PY_DECLARATION.match(line)
+        if m:
+            # The signature goes on until its brackets close; one that never does is taken for its first line.
+            signature, depth = k, 0
+            for j in range(k, len(code)):
+                depth += sum(map(code[j].count, "([{")) - sum(map(code[j].count, ")]}"))
+                if j > k and _PY_DECLARATION.match(code[j]):
+                    break
+                if depth <= 0:
+                    signature = j
+                    break
+            opened.append((indent[k], "function" if m["def"] else "class", m["name"], k, signature))
+        last = k
+    close(0, len(code) + 1, last)
+    return sorted(found, key=lambda e: (e[2], e[1]))
+
+
 def entities(source: str, language: str) -> list[tuple[str, str, int, int, bool, str]]:
     """(kind, name, start line, end line, exported, text) of the declarations of a source."""
     if language == "python":
         try:
             tree = ast.parse(source)
         except (SyntaxError, ValueError, RecursionError):
-            return []
+            return _by_indentation(source)
         lines, found = source.splitlines(keepends=True), []
         for node in ast.walk(tree):
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):

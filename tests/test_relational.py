@@ -114,3 +114,10 @@ def test_ignore_rules_and_token_cuts(spark):
     out, back = ignore_regex(["target/", "*.log", "!keep.log", "# x", ""])
     assert re.search(out, "a/target/x.rs") and re.search(out, "b.log") and not re.search(out, "src/targets.rs") and re.search(back, "keep.log")
     assert one(spark, truncate_to_tokens(F.col("t"), 1), t="ééé") == "éé"
+
+
+def test_declarations_of_python_that_does_not_parse():
+    source = 'class A:\n    """doc\ndef no(): pass\n    """\n    def f(\n        self,\n    ):\n        return 1\n\n    # def no():\n    async def g(self):\n        return (1\n\ndef h(x):\n    return x\n\nx = = 1\n'
+    assert [e[:4] for e in extract.entities(source, "python")] == [("class", "A", 1, 12), ("function", "f", 5, 8), ("function", "g", 11, 12), ("function", "h", 14, 15)]
+    whole = 'import os\n\n@cached\ndef a(x, y=")"):\n    def b():\n        pass\n    return b\n\nclass C(B):\n    x = """\nlow\n"""\n\n    def d(self): return 1\n'
+    assert extract._by_indentation(whole) == [(*e[:5], e[5].rstrip("\n")) for e in extract.entities(whole, "python")]
