@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import canonical_route, content_hash, estimate_tokens
@@ -646,10 +646,24 @@ a AS (SELECT * FROM l WHERE snapshot_no = 1), b AS (SELECT * FROM l WHERE snapsh
 SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS status
 FROM a FULL JOIN b ON a.project_id = b.project_id AND a.file_path = b.file_path""")
 def file_state_diff(spark: SparkSession, folder: str) -> DataFrame:
+    states = _file_states(spark, folder)
+    return extract.state_diff(states.where("snapshot_no = 1"), states.where("snapshot_no = 2"))
+
+
+@query()
+def file_state_diffs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each snapshot against the previous one of its project."""
+    states, at = _file_states(spark, folder), ["project_id", "snapshot_no"]
+    following = states.select(*at).distinct().withColumn("next_no", F.lead("snapshot_no").over(Window.partitionBy("project_id").orderBy("snapshot_no"))).where("next_no is not null")
+    stored = states.join(following, at).drop("snapshot_no").withColumnRenamed("next_no", "snapshot_no")
+    current = states.join(following.select("project_id", F.col("next_no").alias("snapshot_no")), at, "left_semi")
+    return extract.state_diff(stored, current, ("project_id", "snapshot_no", "file_path"))
+
+
+def _file_states(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "node_snapshots").select("project_id", "snapshot_no", "file_path", "qualified_name", "content_hash").distinct()
     item = F.concat(F.coalesce("qualified_name", F.lit("")), F.lit(":"), F.coalesce(F.lower("content_hash"), F.lit("")))
-    states = rows.groupBy("project_id", "snapshot_no", F.regexp_replace("file_path", r"\\", "/").alias("file_path")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(item)), ",")).alias("content_hash"))
-    return extract.state_diff(states.where("snapshot_no = 1"), states.where("snapshot_no = 2"))
+    return rows.groupBy("project_id", "snapshot_no", F.regexp_replace("file_path", r"\\", "/").alias("file_path")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(item)), ",")).alias("content_hash"))
 
 
 @query("SELECT DISTINCT id, CAST(floor(strlen(source) * 0.25) AS BIGINT) AS tokens FROM nodes WHERE source IS NOT NULL")

@@ -314,11 +314,11 @@ def test_contracts(nodes: DataFrame) -> DataFrame:
 
 # --- refresh ----------------------------------------------------------------------------------------------
 
-def state_diff(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """(project_id, file_path, status): ``new``, ``changed``, ``same`` or ``deleted`` by content hash between two states of files."""
-    a, b = stored.select("project_id", "file_path", F.col("content_hash").alias("was"), F.lit(True).alias("_a")), current.select("project_id", "file_path", F.col("content_hash").alias("now"), F.lit(True).alias("_b"))
+def state_diff(stored: DataFrame, current: DataFrame, key: tuple[str, ...] = ("project_id", "file_path")) -> DataFrame:
+    """(*key, status): ``new``, ``changed``, ``same`` or ``deleted`` by content hash between two states of files."""
+    a, b = stored.select(*key, F.col("content_hash").alias("was"), F.lit(True).alias("_a")), current.select(*key, F.col("content_hash").alias("now"), F.lit(True).alias("_b"))
     status = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "deleted").when(F.col("was").eqNullSafe(F.col("now")), "same").otherwise("changed")
-    return a.join(b, ["project_id", "file_path"], "full").select("project_id", "file_path", status.alias("status"))
+    return a.join(b, list(key), "full").select(*key, status.alias("status"))
 
 
 def semantic_diff(old: DataFrame, new: DataFrame, least: int = 5) -> DataFrame:

@@ -74,3 +74,21 @@ def test_random_snapshots_against_brute_force(spark, chunk_rows):
                 want.add((key[0], number, key[1], change))
     deliveries = [(p, s, "complete") for p in (7, 8) for s in range(1, 5)]
     assert found(spark, data, deliveries, chunk_rows=chunk_rows) == want
+
+
+def test_file_states_of_all_snapshots_against_brute_force(spark, tmp_path):
+    from quarry import queries
+
+    rng = random.Random(1)
+    data = [(p, s, f"n{f}{k}", "2025-01-01 00:00:00", rng.choice(["aa", "AA", "bb"]), f"d\\f{f}") for p, numbers in ((7, (1, 2, 3, 4)), (8, (2, 5, 6))) for s in numbers for f in range(12) for k in range(2) if rng.random() < 0.6]
+    rows(spark, data).write.parquet(f"{tmp_path}/node_snapshots.parquet")
+    states: dict = {}
+    for p, s, q, _, h, f in data:
+        states.setdefault((p, s), {}).setdefault(f.replace("\\", "/"), set()).add((q, h.lower()))
+    want = set()
+    for p, numbers in ((7, (1, 2, 3, 4)), (8, (2, 5, 6))):
+        for before, after in zip(numbers, numbers[1:], strict=False):
+            old, new = states[p, before], states[p, after]
+            want |= {(p, after, f, "new" if f not in old else "deleted" if f not in new else "same" if old[f] == new[f] else "changed") for f in old.keys() | new.keys()}
+    got = queries.QUERIES["file_state_diffs"](spark, str(tmp_path)).collect()
+    assert {(r.project_id, r.snapshot_no, r.file_path, r.status) for r in got} == want and len(got) == len(want)
