@@ -1,13 +1,14 @@
 """Traversal, paths, PageRank, communities and boundaries over edges as DataFrames.
 
-Iterative operators keep their state in DataFrames and cut the lineage with a reliable checkpoint
-every round; nothing that grows with the graph is collected.
+Iterative operators keep their state in DataFrames and write it to the shared folder every round;
+nothing that grows with the graph is collected.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,36 +107,63 @@ def last_edges(path: DataFrame) -> DataFrame:
 
 # --- PageRank --------------------------------------------------------------------------------------------
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, epsilon: float = 1e-5, previous: DataFrame | None = None) -> DataFrame:
-    """(project_id, node_id, pagerank) of every project; parallel edges count, sinks spread evenly over their project.
+def _rank_project(pdf: pd.DataFrame, damping: float, iterations: int, epsilon: float) -> pd.DataFrame:
+    """The ranks of one project held in a task: rows without ``dst`` are its nodes (``was`` their former rank), the rest its arcs."""
+    is_node = pdf["dst"].isna().to_numpy()
+    own = pdf[is_node].sort_values("src")
+    ids = own["src"].to_numpy()
+    src, dst = pdf["src"].to_numpy()[~is_node], pdf["dst"].to_numpy()[~is_node].astype(np.int64)
+    at, to = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    n, out = len(ids), np.bincount(at, minlength=len(ids))
+    ranks = own["was"].fillna(1.0 / n).to_numpy(float)
+    for _ in range(iterations):
+        got = np.bincount(to, weights=ranks[at] / out[at], minlength=n) if len(at) else np.zeros(n)
+        new = (1 - damping) / n + damping * (got + ranks[out == 0].sum() / n)
+        moved, ranks = np.abs(new - ranks).sum(), new
+        if moved < epsilon:
+            break
+    return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "node_id": ids, "pagerank": ranks})
 
-    ``nodes`` has (project_id, node_id), ``edges`` (project_id, src, dst). A warm start takes ``previous`` ranks
-    where they exist. Stops once no project's ranks move by ``epsilon`` in sum, or after ``iterations``; with
-    epsilon 0 all iterations are done.
-    """
-    members = nodes.select("project_id", "node_id").distinct()
+
+def _rank_distributed(members: DataFrame, arcs: DataFrame, damping: float, iterations: int, epsilon: float) -> DataFrame:
+    """As ``_rank_project`` for projects of any size: one join and aggregation a round, projects that have settled stay."""
     sizes = members.groupBy("project_id").agg(F.count("*").alias("n"))
-    inside = members.select("node_id")
-    arcs = edges.join(inside.withColumnRenamed("node_id", "src"), "src", "left_semi").join(inside.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     degree = arcs.groupBy("src").agg(F.count("*").alias("out"))
-    arcs = cut_lineage(arcs.join(degree, "src").groupBy("src", "dst").agg((F.count("*") / F.first("out")).alias("share")))
+    shares = cut_lineage(arcs.join(degree, "src").groupBy("src", "dst").agg((F.count("*") / F.first("out")).alias("share")))
     base = members.join(sizes, "project_id").join(degree.withColumnRenamed("src", "node_id"), "node_id", "left")
-    if previous is not None:
-        base = base.join(previous.select("node_id", F.col("pagerank").alias("was")), "node_id", "left")
-    start = F.coalesce(F.col("was"), 1 / F.col("n")) if previous is not None else 1 / F.col("n")
-    ranks = cut_lineage(base.select("project_id", "node_id", "n", F.col("out").isNull().alias("sink"), start.alias("pagerank")))
-    for _ in range(iterations):
-        lost = ranks.groupBy("project_id").agg(F.sum(F.when(F.col("sink"), F.col("pagerank")).otherwise(0.0)).alias("lost"))
-        got = ranks.select(F.col("node_id").alias("src"), "pagerank").join(arcs, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        both = ranks.join(got, "node_id", "left").join(lost, "project_id")
-        value = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        new = cut_lineage(both.select("project_id", "node_id", "n", "sink", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved")))
-        ranks = new.drop("moved")
-        if epsilon > 0:
-            most = new.groupBy("project_id").agg(F.sum("moved").alias("moved")).agg(F.max("moved")).first()[0]
-            if most is None or most < epsilon:
-                break
-    return ranks.select("project_id", "node_id", "pagerank")
+    state = cut_lineage(base.select("project_id", "node_id", "n", F.col("out").isNull().alias("sink"), F.coalesce("was", 1 / F.col("n")).alias("pagerank"), F.lit(float("inf")).alias("moved")))
+    for number in range(iterations):
+        lost = state.groupBy("project_id").agg(F.sum(F.when(F.col("sink"), F.col("pagerank")).otherwise(0.0)).alias("lost"), (F.sum("moved") >= epsilon).alias("going"))
+        if number and not lost.agg(F.max("going")).first()[0]:
+            break
+        got = state.select(F.col("node_id").alias("src"), "pagerank").join(shares, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
+        value = F.when(F.col("going"), (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).otherwise(F.col("pagerank"))
+        both = state.join(got, "node_id", "left").join(lost, "project_id")
+        state = cut_lineage(both.select("project_id", "node_id", "n", "sink", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved")), instead_of=state)
+    return state.select("project_id", "node_id", "pagerank")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, epsilon: float = 1e-5, previous: DataFrame | None = None, task_rows: int = 1_000_000) -> DataFrame:
+    """(project_id, node_id, pagerank) of every project; parallel edges count, sinks spread evenly over their project.
+
+    ``nodes`` has (project_id, node_id), ``edges`` (project_id, src, dst); edges to nodes outside their project do
+    not count. A warm start takes ``previous`` ranks where they exist. A project stops once its ranks move by less
+    than ``epsilon`` in sum, or after ``iterations``. Projects of at most ``task_rows`` nodes and arcs are iterated
+    in one task each, larger ones in distributed rounds by the same rule.
+    """
+    members = nodes.select("project_id", "node_id").distinct()
+    inside = members.select("project_id", F.col("node_id").alias("src"))
+    arcs = edges.select("project_id", "src", "dst").join(inside, ["project_id", "src"], "left_semi").join(inside.withColumnRenamed("src", "dst"), ["project_id", "dst"], "left_semi")
+    started = members.join(previous.select("node_id", F.col("pagerank").alias("was")).dropDuplicates(["node_id"]), "node_id", "left") if previous is not None else members.withColumn("was", F.lit(None).cast("double"))
+    rows = cut_lineage(started.select("project_id", F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst"), "was").unionByName(arcs.select("project_id", "src", "dst", F.lit(None).cast("double").alias("was"))))
+    large = rows.groupBy("project_id").agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select("project_id")
+    some_large = not large.isEmpty()
+    small = rows.join(large, "project_id", "left_anti") if some_large else rows
+    ranks = small.groupBy("project_id").applyInPandas(lambda pdf: _rank_project(pdf, damping, iterations, epsilon), "project_id long, node_id long, pagerank double")
+    if some_large:
+        rest = rows.join(large, "project_id", "left_semi")
+        ranks = ranks.unionByName(_rank_distributed(rest.where("dst is null").select("project_id", F.col("src").alias("node_id"), "was"), rest.where("dst is not null").select("src", "dst"), damping, iterations, epsilon))
+    return cut_lineage(ranks)
 
 
 # --- components and communities --------------------------------------------------------------------------
@@ -143,7 +171,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 def components(edges: DataFrame) -> DataFrame:
     """(node_id, component): the least node id connected with each node, edges taken undirected.
 
-    Large-star and small-star rounds; each is checkpointed.
+    Large-star and small-star rounds; each is written to the shared folder.
     """
     arcs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     loops = edges.where("src = dst").select(F.col("src").alias("node_id"))
@@ -168,15 +196,13 @@ def _move_nodes(pdf: pd.DataFrame, sweeps: int, gamma: float) -> pd.DataFrame:
     """Local moves of one connected component, then the connected parts of each community, both in order of node ids."""
     total = float(pdf["m2"].iloc[0])
     near: dict[int, dict[int, float]] = {}
-    order: dict[int, int] = {}
-    for a, b, weight, rank_a, rank_b in zip(pdf["src"], pdf["dst"], pdf["weight"], pdf["src_rank"], pdf["dst_rank"], strict=True):
+    for a, b, weight in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True):
         near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0.0) + weight
         near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0.0) + weight
-        order[a], order[b] = rank_a, rank_b
     nodes = sorted(near)
     degree = {n: sum(near[n].values()) for n in nodes}
-    group = {n: order[n] for n in nodes}
-    load = {order[n]: degree[n] for n in nodes}
+    group = {n: n for n in nodes}
+    load = dict(degree)
     for _ in range(sweeps):
         moved = False
         for n in nodes:
@@ -212,31 +238,72 @@ def _move_nodes(pdf: pd.DataFrame, sweeps: int, gamma: float) -> pd.DataFrame:
     return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "node_id": nodes, "community": [group[n] for n in nodes], "part": [part[n] for n in nodes]})
 
 
+def _ranked(members: DataFrame) -> DataFrame:
+    """(project_id, node_id, rank): the place, from 1, of each node in its project's order of ids, counted by ranges of ids."""
+    spread = members.repartitionByRange("project_id", "node_id").sortWithinPartitions("project_id", "node_id")
+    placed = cut_lineage(spread.select("project_id", "node_id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    counts = placed.groupBy("project_id", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("project_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("project_id", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, ["project_id", "_part"]).select("project_id", "node_id", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("rank"))
+
+
+#: Places of one project's order that share a bucket of the running loads.
+_BUCKET = 50_000
+
+
+def _loads_at(asked: DataFrame, moves: DataFrame) -> DataFrame:
+    """``asked`` (node_id, rank, community, ...) with ``change``: what the moves of nodes of lower rank add to the community's load.
+
+    Running sums in two steps, over buckets of places and within a bucket, so a community of any size is spread over tasks.
+    """
+    events = moves.select("rank", "degree", F.explode(F.array(F.struct(F.col("was").alias("community"), F.lit(-1.0).alias("sign")), F.struct(F.col("now").alias("community"), F.lit(1.0).alias("sign")))).alias("e")).select("rank", F.col("e.community").alias("community"), (F.col("degree") * F.col("e.sign")).alias("delta"))
+    bucket = F.floor(F.col("rank") / _BUCKET)
+    totals = events.groupBy("community", bucket.alias("bucket")).agg(F.sum("delta").alias("total"))
+    places = asked.select("community", "rank").distinct()
+    wanted = places.select("community", bucket.alias("bucket")).distinct()
+    upto = Window.partitionBy("community").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = wanted.join(totals, ["community", "bucket"], "full").select("community", "bucket", F.coalesce(F.sum("total").over(upto), F.lit(0.0)).alias("carried"))
+    within = Window.partitionBy("community", "bucket").orderBy("rank", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    mixed = events.select("community", "rank", F.lit(1).alias("kind"), "delta").unionByName(places.select("community", "rank", F.lit(0).alias("kind"), F.lit(0.0).alias("delta"))).withColumn("bucket", bucket)
+    local = mixed.withColumn("local", F.sum("delta").over(within)).where("kind = 0").join(carried, ["community", "bucket"])
+    return asked.join(local.select("community", "rank", (F.col("local") + F.col("carried")).alias("change")), ["community", "rank"])
+
+
 def _move_distributed(arcs: DataFrame, sweeps: int, gamma: float) -> DataFrame:
-    """As ``_move_nodes`` for components too large for one task: rounds in which a half of the nodes moves at once.
+    """As ``_move_nodes``, with the same result, for components too large for one task.
 
-    The halves change from round to round by a hash, so two neighbours seldom swap places; it ends after two
-    rounds without a move. Results may differ from those of moving nodes one by one.
+    A sweep moves its nodes in order of rank, each seeing the moves of those before it. All moves of a sweep are
+    guessed at once and computed again from the guess until they no longer change: the first node is right after one
+    round, and whatever depends only on right nodes in the next, so what stands still is the sweep done in order.
     """
-    ways = F.array(F.struct(F.col("src").alias("a"), F.col("src_rank").alias("rank"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("dst_rank").alias("rank"), F.col("src").alias("b")))
+    ways = F.array(F.struct(F.col("src").alias("a"), F.col("src_rank").alias("rank"), F.col("dst").alias("b"), F.col("dst_rank").alias("other_rank")), F.struct(F.col("dst").alias("a"), F.col("dst_rank").alias("rank"), F.col("src").alias("b"), F.col("src_rank").alias("other_rank")))
     both = cut_lineage(arcs.select("project_id", "m2", "weight", F.explode(ways).alias("w")).select("project_id", "m2", "weight", "w.*"))
-    state = cut_lineage(both.groupBy("project_id", F.col("a").alias("node_id")).agg(F.first("rank").alias("community"), F.sum("weight").alias("degree"), F.first("m2").alias("m2")))
-    still = 0
-    for number in range(2 * sweeps):
-        load = state.groupBy("project_id", "community").agg(F.sum("degree").alias("load"))
-        near = both.join(state.select(F.col("node_id").alias("b"), "community"), "b").groupBy(F.col("a").alias("node_id"), F.col("community").alias("candidate")).agg(F.sum("weight").alias("pull"))
-        turn = state.where(F.pmod(F.xxhash64("node_id", F.lit(number)), F.lit(2)) == 0)
-        own = near.select("node_id", F.col("candidate").alias("community"), F.col("pull").alias("own_pull"))
-        tried = near.join(turn, "node_id").where("candidate <> community").join(own, ["node_id", "community"], "left")
-        tried = tried.join(load, ["project_id", "community"]).join(load.select("project_id", F.col("community").alias("candidate"), F.col("load").alias("other")), ["project_id", "candidate"])
-        delta = (F.col("pull") - F.coalesce("own_pull", F.lit(0.0))) / F.col("m2") - gamma * F.col("degree") * (F.col("other") - F.col("load") + F.col("degree")) / (F.col("m2") * F.col("m2"))
-        better = tried.withColumn("delta", delta).where((F.col("delta") > 0) | (F.col("delta") == 0) & (F.col("candidate") < F.col("community")))
-        moves = cut_lineage(better.groupBy("node_id").agg(F.min(F.struct(-F.col("delta"), F.col("candidate")))["candidate"].alias("moved")))
-        still = still + 1 if moves.isEmpty() else 0
-        if still == 2:
+    state = cut_lineage(both.groupBy("project_id", F.col("a").alias("node_id"), "rank").agg(F.sum("weight").alias("degree"), F.first("m2").alias("m2")).withColumn("community", F.col("node_id")))
+    for _ in range(sweeps):
+        load = cut_lineage(state.groupBy("community").agg(F.sum("degree").alias("load")))
+        guess = cut_lineage(state.select("node_id", "rank", "degree", F.col("community").alias("was"), F.col("community").alias("now")).limit(0))
+        while True:
+            shown = state.select(F.col("node_id").alias("b"), "community").join(guess.select(F.col("node_id").alias("b"), "now"), "b", "left")
+            seen = F.when(F.col("other_rank") < F.col("rank"), F.coalesce("now", "community")).otherwise(F.col("community"))
+            near = both.join(shown, "b").groupBy(F.col("a").alias("node_id"), seen.alias("candidate")).agg(F.sum("weight").alias("pull"))
+            tried = near.join(state, "node_id")
+            home = tried.where("candidate = community").select("node_id", F.col("pull").alias("own_pull"))
+            asked = tried.select("node_id", "rank", F.col("candidate").alias("community")).unionByName(state.select("node_id", "rank", "community")).distinct()
+            loads = _loads_at(asked, guess).join(load, "community").select("node_id", "community", (F.col("load") + F.col("change")).alias("load"))
+            held = tried.where("candidate <> community").join(home, "node_id", "left").join(loads, ["node_id", "community"])
+            held = held.join(loads.select("node_id", F.col("community").alias("candidate"), F.col("load").alias("other")), ["node_id", "candidate"])
+            delta = (F.col("pull") - F.coalesce("own_pull", F.lit(0.0))) / F.col("m2") - F.lit(gamma) * F.col("degree") * (F.col("other") - F.col("load") + F.col("degree")) / (F.col("m2") * F.col("m2"))
+            better = held.withColumn("delta", delta).where((F.col("delta") > 0) | (F.col("delta") == 0) & (F.col("candidate") < F.col("community")))
+            best = better.groupBy("node_id", "rank", "degree", F.col("community").alias("was")).agg(F.min(F.struct(-F.col("delta"), F.col("candidate")))["candidate"].alias("now"))
+            fresh = cut_lineage(best)
+            same = fresh.select("node_id", "now").exceptAll(guess.select("node_id", "now")).isEmpty() and guess.select("node_id", "now").exceptAll(fresh.select("node_id", "now")).isEmpty()
+            guess = fresh
+            if same:
+                break
+        if guess.isEmpty():
             break
-        if not still:
-            state = cut_lineage(state.join(moves, "node_id", "left").select("project_id", "node_id", F.coalesce("moved", "community").alias("community"), "degree", "m2"))
+        state = cut_lineage(state.join(guess.select("node_id", "now"), "node_id", "left").withColumn("community", F.coalesce("now", "community")).drop("now"), instead_of=state)
     a, b = state.select(F.col("node_id").alias("src"), F.col("community").alias("ca")), state.select(F.col("node_id").alias("dst"), F.col("community").alias("cb"))
     inner = arcs.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst")
     whole = state.join(components(inner), "node_id", "left").select("project_id", "node_id", "community", F.coalesce("component", "node_id").alias("component"))
@@ -245,27 +312,27 @@ def _move_distributed(arcs: DataFrame, sweeps: int, gamma: float) -> DataFrame:
     return whole.join(parts, ["project_id", "community", "component"]).select("project_id", "node_id", "community", "part")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 50, gamma: float = 1.0, smallest: int = 2, most_arcs: int = 1_000_000) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 50, gamma: float = 1.0, smallest: int = 2, task_arcs: int = 1_000_000) -> DataFrame:
     """(project_id, node_id, cluster_id) of every project: local moves by modularity, disconnected communities split.
 
     Moves depend only on a node's connected component and its project's total weight, so components are
     handled apart, with results equal to those of the whole. Communities below ``smallest`` and isolated
-    nodes get cluster 0; a project without edges keeps one cluster a node. A component of up to ``most_arcs``
-    pairs is one task; larger ones move in distributed rounds.
+    nodes get cluster 0; a project without edges keeps one cluster a node. A component of up to ``task_arcs``
+    pairs is one task; larger ones move in distributed rounds that give the same result.
     """
     members = nodes.select("project_id", "node_id").distinct()
-    by_id = Window.partitionBy("project_id").orderBy("node_id")
-    ranked = cut_lineage(members.withColumn("rank", F.row_number().over(by_id).cast("long")))
+    ranked = cut_lineage(_ranked(members))
     arcs = edges.where("src <> dst").select("project_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("project_id", "src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    a, b = ranked.select(F.col("node_id").alias("src"), F.col("rank").alias("src_rank")), ranked.select(F.col("node_id").alias("dst"), F.col("rank").alias("dst_rank"))
-    arcs = cut_lineage(arcs.join(a, "src").join(b, "dst"))
+    a, b = ranked.select("project_id", F.col("node_id").alias("src"), F.col("rank").alias("src_rank")), ranked.select("project_id", F.col("node_id").alias("dst"), F.col("rank").alias("dst_rank"))
+    arcs = cut_lineage(arcs.join(a, ["project_id", "src"]).join(b, ["project_id", "dst"]))
     total = arcs.groupBy("project_id").agg((2 * F.sum("weight")).alias("m2"))
     located = cut_lineage(arcs.join(total, "project_id").join(components(arcs).withColumnRenamed("node_id", "src"), "src"))
-    large = cut_lineage(located.groupBy("project_id", "component").agg(F.count("*").alias("n")).where(F.col("n") > most_arcs).drop("n"))
+    large = cut_lineage(located.groupBy("project_id", "component").agg(F.count("*").alias("n")).where(F.col("n") > task_arcs).drop("n"))
     grouped = located.join(large, ["project_id", "component"], "left_anti").groupBy("project_id", "component").applyInPandas(lambda pdf: _move_nodes(pdf, sweeps, gamma), "project_id long, node_id long, community long, part int")
     if not large.isEmpty():
         grouped = grouped.unionByName(_move_distributed(located.join(large, ["project_id", "component"], "left_semi"), sweeps, gamma))
-    moved = cut_lineage(grouped)
+    # A community is named by a node; from here on by that node's rank.
+    moved = cut_lineage(grouped.join(ranked.select("project_id", F.col("node_id").alias("community"), "rank"), ["project_id", "community"]).select("project_id", "node_id", F.col("rank").alias("community"), "part"))
     # Later parts of a community get fresh ids after all others, in order of community and part.
     fresh = moved.where("part > 0").select("project_id", "community", "part").distinct()
     numbered = fresh.withColumn("fresh", F.row_number().over(Window.partitionBy("project_id").orderBy("community", "part")))

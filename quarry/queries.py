@@ -13,7 +13,8 @@ from quarry.plans import pattern
 from quarry.sources import extract
 from quarry.tables import table
 
-PAGERANK_ROUNDS = 10
+#: The operator's own bounds; the SQL unrolls as many rounds and stops by the same rule.
+PAGERANK_ROUNDS, PAGERANK_EPSILON = 30, 1e-5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -47,7 +48,7 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, folder: str) -> DataFrame:
     members = model.nodes(spark, folder, "id", "project_id").select("project_id", F.col("id").alias("node_id"))
-    return graph.pagerank(members, graph.dependency_edges(model.edges(spark, folder)), iterations=PAGERANK_ROUNDS, epsilon=0)
+    return graph.pagerank(members, graph.dependency_edges(model.edges(spark, folder)), iterations=PAGERANK_ROUNDS, epsilon=PAGERANK_EPSILON)
 
 
 def _relative(nodes: DataFrame, projects: DataFrame) -> DataFrame:
@@ -61,13 +62,15 @@ M AS (SELECT N.* REPLACE (CASE WHEN starts_with(file_path, root || '/') THEN sub
 
 
 def _pagerank_sql(rounds: int) -> str:
-    """The rank iteration unrolled."""
+    """The rank iteration unrolled; a project that has settled stays."""
     steps = [f"{WITH_E}, V AS (SELECT DISTINCT project_id, id FROM nodes), sz AS (SELECT project_id, count(*) AS n FROM V GROUP BY 1)",
-             "A AS (SELECT source_node_id AS src, target_node_id AS dst FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on') AND source_node_id IN (SELECT id FROM V) AND target_node_id IN (SELECT id FROM V))",
+             "A AS (SELECT source_node_id AS src, target_node_id AS dst FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on') AND (project_id, source_node_id) IN (SELECT (project_id, id) FROM V) AND (project_id, target_node_id) IN (SELECT (project_id, id) FROM V))",
              "D AS (SELECT src, count(*) AS o FROM A GROUP BY 1), W AS MATERIALIZED (SELECT A.src, dst, count(*) / any_value(o) AS share FROM A JOIN D ON A.src = D.src GROUP BY 1, 2)",
              "r0 AS MATERIALIZED (SELECT V.project_id, V.id, n, o IS NULL AS sink, 1.0::DOUBLE / n AS pr FROM V JOIN sz USING (project_id) LEFT JOIN D ON D.src = V.id)"]
     for k in range(rounds):
-        steps.append(f"r{k + 1} AS MATERIALIZED (SELECT r.project_id, r.id, n, sink, 0.15 / n + 0.85 * (coalesce(g.got, 0) + l.lost / n) AS pr FROM r{k} r LEFT JOIN (SELECT dst, sum(pr * share) AS got FROM r{k} JOIN W ON W.src = r{k}.id GROUP BY 1) g ON g.dst = r.id JOIN (SELECT project_id, sum(CASE WHEN sink THEN pr ELSE 0 END) AS lost FROM r{k} GROUP BY 1) l ON l.project_id = r.project_id)")
+        going = f"sum(moved) >= {PAGERANK_EPSILON}" if k else "true"
+        value = "0.15 / n + 0.85 * (coalesce(g.got, 0) + l.lost / n)"
+        steps.append(f"r{k + 1} AS MATERIALIZED (SELECT r.project_id, r.id, n, sink, CASE WHEN go THEN {value} ELSE pr END AS pr, CASE WHEN go THEN abs({value} - pr) ELSE 0 END AS moved FROM r{k} r LEFT JOIN (SELECT dst, sum(pr * share) AS got FROM r{k} JOIN W ON W.src = r{k}.id GROUP BY 1) g ON g.dst = r.id JOIN (SELECT project_id, sum(CASE WHEN sink THEN pr ELSE 0 END) AS lost, {going} AS go FROM r{k} GROUP BY 1) l ON l.project_id = r.project_id)")
     return "WITH " + ",\n".join(steps)
 
 
@@ -345,18 +348,33 @@ def impact_analysis(spark: SparkSession, folder: str) -> DataFrame:
     return graph.impact(model.edges(spark, folder), model.nodes(spark, folder), _ranks(spark, folder), _seeds(spark, folder), 5)
 
 
+PATH_DEPTH = 10
+
+
 @query(f"""WITH RECURSIVE {WITH_E}, A AS (SELECT DISTINCT source_node_id AS src, target_node_id AS dst FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on')),
 S AS (SELECT DISTINCT id AS seed FROM nodes WHERE id % 100 = 0),
-T AS (SELECT seed, dst AS node_id, 1 AS hops FROM S JOIN A ON src = seed UNION SELECT seed, A.dst, hops + 1 FROM T JOIN A ON A.src = T.node_id WHERE hops < 4),
+T AS (SELECT seed, dst AS node_id, 1 AS hops FROM S JOIN A ON src = seed UNION SELECT seed, A.dst, hops + 1 FROM T JOIN A ON A.src = T.node_id WHERE hops < {PATH_DEPTH}),
 M AS (SELECT seed, node_id AS goal, min(hops) AS hops FROM T GROUP BY 1, 2)
-SELECT seed, goal, CAST(hops AS INTEGER) AS edges FROM M WHERE goal % 100 = 0 AND seed <> goal""")
+SELECT seed, goal, CAST(hops AS INTEGER) AS edges FROM M WHERE seed <> goal""")
 def path_lengths(spark: SparkSession, folder: str) -> DataFrame:
     arcs = graph.dependency_edges(model.edges(spark, folder)).select("src", "dst")
-    found = graph.reachable(arcs, _seeds(spark, folder), 4).where("node_id % 100 = 0 and node_id <> seed").select("seed", F.col("node_id").alias("goal"))
-    way = graph.paths(arcs, found, 4)
+    found = graph.reachable(arcs, _seeds(spark, folder), PATH_DEPTH).where("node_id <> seed").select("seed", F.col("node_id").alias("goal"))
+    way = graph.paths(arcs, found, PATH_DEPTH)
     return way.groupBy("seed", "goal").agg(F.count("*").cast("int").alias("edges"))
 
 
+@query(f"""WITH RECURSIVE {WITH_E}, A AS (SELECT DISTINCT source_node_id AS src, target_node_id AS dst FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on')),
+S AS (SELECT DISTINCT id AS seed FROM nodes WHERE id % 100 = 0),
+T AS (SELECT seed, dst AS node_id, 1 AS hops FROM S JOIN A ON src = seed UNION SELECT seed, A.dst, hops + 1 FROM T JOIN A ON A.src = T.node_id WHERE hops < {PATH_DEPTH}),
+M AS (SELECT seed, node_id, min(hops) AS hops FROM T GROUP BY 1, 2 UNION ALL SELECT seed, seed, 0 FROM S),
+B AS (SELECT m.seed, m.node_id AS goal, min(p.node_id) AS src FROM M m JOIN A ON A.dst = m.node_id JOIN M p ON p.seed = m.seed AND p.node_id = A.src AND p.hops = m.hops - 1 WHERE m.node_id <> m.seed GROUP BY 1, 2)
+SELECT seed, goal, src, goal AS dst FROM B""")
+def path_last_edges(spark: SparkSession, folder: str) -> DataFrame:
+    arcs = graph.dependency_edges(model.edges(spark, folder)).select("src", "dst")
+    found = graph.reachable(arcs, _seeds(spark, folder), PATH_DEPTH).where("node_id <> seed").select("seed", F.col("node_id").alias("goal"))
+    return graph.last_edges(graph.paths(arcs, found, PATH_DEPTH))
+
+
 @query(f"{WITH_RANKS} SELECT project_id, id AS node_id, round(pr, 6) AS pagerank FROM r{PAGERANK_ROUNDS}")
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
     return _ranks(spark, folder).select("project_id", "node_id", F.round("pagerank", 6).alias("pagerank"))
@@ -642,16 +660,11 @@ def resolved_tests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""WITH l AS (SELECT project_id, snapshot_no, replace(file_path, '\', '/') AS file_path, md5(string_agg(coalesce(qualified_name, '') || ':' || coalesce(lower(content_hash), ''), ',' ORDER BY coalesce(qualified_name, '') || ':' || coalesce(lower(content_hash), ''))) AS h FROM (SELECT DISTINCT project_id, snapshot_no, file_path, qualified_name, content_hash FROM node_snapshots) GROUP BY 1, 2, 3),
-a AS (SELECT * FROM l WHERE snapshot_no = 1), b AS (SELECT * FROM l WHERE snapshot_no = 2)
-SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS status
-FROM a FULL JOIN b ON a.project_id = b.project_id AND a.file_path = b.file_path""")
+d AS (SELECT project_id, snapshot_no, lead(snapshot_no) OVER (PARTITION BY project_id ORDER BY snapshot_no) AS next_no FROM (SELECT DISTINCT project_id, snapshot_no FROM l)),
+a AS (SELECT l.project_id, next_no AS snapshot_no, file_path, h FROM l JOIN d USING (project_id, snapshot_no) WHERE next_no IS NOT NULL), b AS (SELECT l.* FROM l JOIN d ON d.project_id = l.project_id AND d.next_no = l.snapshot_no)
+SELECT coalesce(a.project_id, b.project_id) AS project_id, CAST(coalesce(a.snapshot_no, b.snapshot_no) AS INTEGER) AS snapshot_no, coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.project_id = b.project_id AND a.snapshot_no = b.snapshot_no AND a.file_path = b.file_path""")
 def file_state_diff(spark: SparkSession, folder: str) -> DataFrame:
-    states = _file_states(spark, folder)
-    return extract.state_diff(states.where("snapshot_no = 1"), states.where("snapshot_no = 2"))
-
-
-@query()
-def file_state_diffs(spark: SparkSession, folder: str) -> DataFrame:
     """Each snapshot against the previous one of its project."""
     states, at = _file_states(spark, folder), ["project_id", "snapshot_no"]
     following = states.select(*at).distinct().withColumn("next_no", F.lead("snapshot_no").over(Window.partitionBy("project_id").orderBy("snapshot_no"))).where("next_no is not null")

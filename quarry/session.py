@@ -48,25 +48,19 @@ def ship_code(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a folder of this machine is used instead.
+    Only where the setting is absent in a local session (tests, a laptop) a folder of this machine is used instead.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(context, "_quarry_shared", None):
         context._quarry_shared = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
     return context._quarry_shared
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once and reliably checkpointed to the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: columnar, prunable, free of lineage."""
     spark = df.sparkSession
@@ -74,14 +68,35 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     context = spark.sparkContext
     context._quarry_stored = [*getattr(context, "_quarry_stored", []), path]
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` computed once and written to the shared folder; then the table ``instead_of`` it, if any, is deleted."""
+    out = stored(df)
+    if instead_of is not None:
+        _delete(df.sparkSession, [instead_of._quarry_path])
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables ``stored`` wrote so far; call it once their results have been used. The number deleted."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     context = spark.sparkContext
-    paths, context._quarry_stored = getattr(context, "_quarry_stored", []), []
     for path in paths:
         place = context._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    gone = set(paths)
+    context._quarry_stored = [p for p in getattr(context, "_quarry_stored", []) if p not in gone]
+
+
+def mark(spark: SparkSession) -> int:
+    """A point in the sequence of stored tables, for ``release``."""
+    return len(getattr(spark.sparkContext, "_quarry_stored", []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables stored since a ``mark`` (all by default), once the results built on them have been used. The number deleted."""
+    paths = getattr(spark.sparkContext, "_quarry_stored", [])[since:]
+    _delete(spark, paths)
     return len(paths)

@@ -54,11 +54,26 @@ def test_community_goldens(spark):
     assert clusters(spark, [1], []) == {1: 1}
 
 
-def test_distributed_moves_split_cliques(spark):
-    clique = lambda xs: [(a, b) for a in xs for b in xs if a != b]
-    pairs = clique([1, 2, 3, 4]) + clique([5, 6, 7, 8]) + [(4, 5)]
-    got = {r.node_id: r.cluster_id for r in graph.communities(members(spark, range(1, 10)), edges(spark, pairs), most_arcs=0).collect()}
-    assert len({got[i] for i in (1, 2, 3, 4)}) == 1 and len({got[i] for i in (5, 6, 7, 8)}) == 1 and got[1] != got[5] and got[9] == 0
+def test_communities_do_not_depend_on_the_route(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_BUCKET", 3)
+    rng = random.Random(1)
+    ids = rng.sample(range(-500, 500), 14)
+    pairs = [tuple(rng.sample(ids[:12], 2)) for _ in range(22)]
+    one, two = ({r.node_id: r.cluster_id for r in graph.communities(members(spark, ids), edges(spark, pairs), task_arcs=n).collect()} for n in (1_000_000, 0))
+    assert one == two and len(one) == 14
+
+
+def test_pagerank_does_not_depend_on_the_route(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(30), rng.randrange(40)) for _ in range(80)]
+    one, two = (ranks(spark, range(32), pairs, task_rows=n) for n in (1_000_000, 0))
+    assert one == pytest.approx(two, abs=1e-12) and len(one) == 32
+
+
+def test_places_are_counted_by_ranges(spark):
+    got = graph._ranked(spark.createDataFrame([(p, i * 7 % 101) for p in (1, 2) for i in range(60)], "project_id long, node_id long").repartition(7)).collect()
+    for p in (1, 2):
+        assert [r.rank for r in sorted((r for r in got if r.project_id == p), key=lambda r: r.node_id)] == list(range(1, 61))
 
 
 def test_modularity_golden(spark):

@@ -90,5 +90,5 @@ def test_file_states_of_all_snapshots_against_brute_force(spark, tmp_path):
         for before, after in zip(numbers, numbers[1:], strict=False):
             old, new = states[p, before], states[p, after]
             want |= {(p, after, f, "new" if f not in old else "deleted" if f not in new else "same" if old[f] == new[f] else "changed") for f in old.keys() | new.keys()}
-    got = queries.QUERIES["file_state_diffs"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["file_state_diff"](spark, str(tmp_path)).collect()
     assert {(r.project_id, r.snapshot_no, r.file_path, r.status) for r in got} == want and len(got) == len(want)
