@@ -1,8 +1,9 @@
 """Source files that do not parse: the least syntax repair of each file, and rates per project and language.
 
 Every file is lexed and its bracket spans parsed from the inside out against the grammar of its language
-(``quarry.llm.syntax``). A file whose repair costs nothing is valid. With ``located`` the repair of the
-others is computed too; where its edits lie tells truncation, merge conflict and wrong language apart.
+(``quarry.llm.syntax``). A file whose repair costs nothing is valid. The chart is filled by levels of cost:
+level 0 alone tells whether the cost is above 0; with ``located`` the levels up to the least cost are filled,
+and where its edits lie tells truncation, merge conflict and wrong language apart.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def checked_files(files: DataFrame, located: bool = False) -> DataFrame:
 
     A null language is that of the extension; a language without a grammar, a null or empty source and a
     file of comments only are valid. ``edits`` and ``cause`` are null unless ``located``; then ``edits`` is the
-    repair's cost, from a few edits a span on an estimate from below, and ``cause`` one of ``truncation``,
-    ``conflict``, ``mismatch`` and ``damage``. Rows with a null id are left out. No row depends on another.
+    least cost of a repair and ``cause`` one of ``truncation``, ``conflict``, ``mismatch`` and ``damage``. Rows
+    with a null id are left out. No row depends on another.
     """
     rows = files.where("file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), F.col("project_id").cast("long").alias("project_id"), "file_path", "language", "source")
     return rows.mapInArrow(lambda batches: _checked(batches, located), _SCHEMA).distinct()

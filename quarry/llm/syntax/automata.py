@@ -3,14 +3,15 @@
 A grammar gives, for every kind of bracket content, a rule over tokens in which a nested bracket pair is
 one symbol that carries the kinds its own content was found to match. Parsing fills a chart of (bracket
 span, kind) from the inside out. A rule is a position automaton whose positions are terminals or calls of
-other rules; the calls open at a place form a stack. Sets of stacks are the states of an automaton that
-is made deterministic only as far as texts need it, so a known sequence of symbols costs one look-up each.
+rules, its own among them; the calls open at a place form a stack. Sets of stacks are the states of an
+automaton that is made deterministic only as far as texts need it, so a known sequence of symbols costs one
+look-up each. The repair fills the same chart level by level: level c holds what c edits can reach.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
+from array import array
 
 _ITEM = re.compile(r"\s*(?:'([^']+)'|<(\w+)>|([A-Za-z_]\w*)|([|*+?()]))")
 #: States kept for one grammar; beyond it the table starts anew.
@@ -20,7 +21,8 @@ MOST_STATES = 60_000
 class Grammar:
     """Rules ``name = expression``; upper-case names are lexical classes, ``<kind>`` a bracket pair of that content."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, insertable: str = ""):
+        self.insertable = insertable.split()
         self.text: dict[str, list] = {}
         for line in filter(None, re.sub(r"\n[ \t]+", " ", text).split("\n")):
             name, _, body = line.partition("=")
@@ -142,6 +144,11 @@ class Grammar:
         self._accept: list[bool] = []
         self._next: list[dict[int, int]] = []
         self._starts: dict[str, int] = {}
+        self._named: dict[tuple[int, str], int] = {}
+        self._unions: dict[tuple[int, int], int] = {}
+        self._grown: dict[int, int] = {}
+        self._inserted: dict[int, frozenset[int]] = {}
+        self._spans_at: dict[int, tuple[str, ...]] = {}
 
     def _stack(self, position: int, parent: int) -> int:
         key = (position, parent)
@@ -230,8 +237,6 @@ class Grammar:
 
     def accepts(self, rule: str, symbols: list[int], names: list[frozenset[str]]) -> bool:
         """Whether the symbols spell a word of the rule; ``names[symbol]`` are the terminals a symbol stands for."""
-        if len(self._sets) > MOST_STATES:
-            self._reset()
         state, table = self.start(rule), self._next
         for symbol in symbols:
             after = table[state].get(symbol)
@@ -242,60 +247,178 @@ class Grammar:
             state = after
         return self._accept[state]
 
-    def prefix_length(self, rule: str, symbols: list[int], names: list[frozenset[str]]) -> int:
-        """How many symbols can begin a word of the rule."""
-        state = self.start(rule)
-        for k, symbol in enumerate(symbols):
-            after = self._next[state].get(symbol)
-            if after is None:
-                after = self._step(state, symbol, names[symbol])
-            if after < 0:
-                return k
+    def tidy(self) -> None:
+        """Begin the tables anew once they hold too much; called between texts."""
+        if len(self._sets) > MOST_STATES or len(self._stacks) > 10 * MOST_STATES:
+            self._reset()
+
+    # --- repair ------------------------------------------------------------------------------------
+
+    def by_symbol(self, state: int, symbol: int, names: frozenset[str]) -> int:
+        """The state after a symbol, -1 if none."""
+        after = self._next[state].get(symbol)
+        return self._step(state, symbol, names) if after is None else after
+
+    def by_name(self, state: int, name: str) -> int:
+        """The state after one terminal, -1 if none."""
+        key = (state, name)
+        after = self._named.get(key)
+        if after is None:
+            reached = {h for s in self._sets[state] for h in self.reach(s)[0].get(name, ())}
+            after = self._named[key] = self._state(frozenset(reached)) if reached else -1
+        return after
+
+    def union(self, a: int, b: int) -> int:
+        """The state of the stacks of either state."""
+        if a == b or b < 0:
+            return a
+        if a < 0:
+            return b
+        key = (a, b) if a < b else (b, a)
+        both = self._unions.get(key)
+        if both is None:
+            both = self._unions[key] = self._state(self._sets[a] | self._sets[b])
+        return both
+
+    def inserted(self, state: int) -> int:
+        """The state after the insertion of any one insertable terminal, -1 if none fits."""
+        after = self._grown.get(state)
+        if after is None:
+            reached = frozenset().union(*map(self._insertions, self._sets[state]))
+            after = self._grown[state] = self._state(reached) if reached else -1
+        return after
+
+    def _insertions(self, stack: int) -> frozenset[int]:
+        """The stacks after the insertion of any one insertable terminal."""
+        known = self._inserted.get(stack)
+        if known is None:
+            out = self.reach(stack)[0]
+            known = self._inserted[stack] = frozenset(h for name in self.insertable for h in out.get(name, ()))
+        return known
+
+    def spans_at(self, state: int) -> tuple[str, ...]:
+        """The kinds of bracket pair that a state can go on with."""
+        kinds = self._spans_at.get(state)
+        if kinds is None:
+            kinds = self._spans_at[state] = tuple(sorted({name[1:-1] for s in self._sets[state] for name in self.reach(s)[0] if name[0] == "<" and name[1:-1] in self.text}))
+        return kinds
+
+
+class Span(int):
+    """The symbol of a bracket pair with what its repair needs: the kinds it can be of, content, whether its end is missing, its tokens."""
+
+    def __new__(cls, symbol: int, bracket: str, kinds: list[str], content: list[int], missing: bool) -> Span:
+        self = super().__new__(cls, symbol)
+        self.kinds, self.content, self.missing = kinds, content, missing
+        self.size = 1 + (not missing and bracket != "INDENT") + sum(x.size if isinstance(x, Span) else 1 for x in content)
+        self.entries = {}
+        return self
+
+
+class Repair:
+    """The chart entry of (content, rule): for every number of edits and every place the stacks that can be reached.
+
+    Edits cost 1 each: deleting a token, inserting a token of the grammar's insertable terminals, or replacing a
+    token by one. A bracket pair may be repaired inside, at the cost of its own entry for the kind that is wanted, or
+    deleted with all its tokens. Levels are filled only up to the least cost that spells a word of the rule, so the cost
+    is exact; the work is the number of symbols times the cost, and inside pairs likewise.
+    """
+
+    def __init__(self, grammar: Grammar, rule: str, content: list[int], names: list[frozenset[str]], extra: int = 0):
+        self.grammar, self.rule, self.content, self.names, self.extra = grammar, rule, content, names, extra
+        self.rows: list[array] = []
+        self.cost: int | None = None
+
+    def at_most(self, limit: int) -> int | None:
+        """The cost if it is at most ``limit``, else None."""
+        while self.cost is None and len(self.rows) + self.extra <= limit:
+            self._fill()
+        return self.cost if self.cost is not None and self.cost <= limit else None
+
+    def least(self) -> int:
+        """The cost."""
+        while self.cost is None:
+            self._fill()
+        return self.cost
+
+    def entry(self, span: Span, kind: str) -> Repair:
+        found = span.entries.get(kind)
+        if found is None:
+            found = span.entries[kind] = Repair(self.grammar, kind, span.content, self.names, int(span.missing))
+        return found
+
+    def _fill(self) -> None:
+        grammar, names, rows, level = self.grammar, self.names, self.rows, len(self.rows)
+        union, inserted, by_symbol = grammar.union, grammar.inserted, grammar.by_symbol
+        row, before = array("i"), rows[-1] if level else None
+        state = grammar.start(self.rule)
+        if level:
+            state = union(before[0], inserted(before[0]) if before[0] >= 0 else -1)
+        row.append(state)
+        for k, symbol in enumerate(self.content):
+            after = by_symbol(state, symbol, names[symbol]) if state >= 0 else -1
+            if level:
+                above = before[k]
+                if isinstance(symbol, Span):
+                    if above >= 0:
+                        for kind in grammar.spans_at(above):
+                            if kind in symbol.kinds and f"<{kind}>" not in names[symbol]:
+                                price = self.entry(symbol, kind).at_most(level)
+                                if price is not None and rows[level - price][k] >= 0:
+                                    after = union(after, grammar.by_name(rows[level - price][k], f"<{kind}>"))
+                    if level >= symbol.size:
+                        after = union(after, rows[level - symbol.size][k])
+                elif above >= 0:
+                    after = union(union(after, above), inserted(above))
+                beside = before[k + 1]
+                if beside >= 0:
+                    after = union(union(after, beside), inserted(beside))
+            row.append(after)
             state = after
-        return len(symbols)
-
-    def repair(self, rule: str, symbols: list[int], names: list[frozenset[str]], limit: int, effort: int = 20_000) -> tuple[int, list[int], bool]:
-        """(cost, places, found) of the least insertions, deletions and replacements of symbols that give a word of the rule.
-
-        The chart of (place, stack) is filled in order of cost. Beyond ``limit`` edits or ``effort`` entries the
-        cost found so far, a lower bound, is returned with the furthest place reached.
-        """
-        (begin,) = self._sets[self.start(rule)]
-        heap = [(0, 0, begin)]
-        best = {(0, begin): 0}
-        came: dict[tuple[int, int], tuple[int, int, bool]] = {}
-        furthest, cost = 0, 0
-        while heap and effort:
-            effort -= 1
-            cost, back, stack = heapq.heappop(heap)
-            at = -back
-            if best[(at, stack)] < cost:
+        rows.append(row)
+        if state >= 0 and grammar._accept[state]:
+            self.cost = level + self.extra
+
+    def places(self) -> list[float]:
+        """Where the edits of one least repair lie, as shares of the content; those inside bracket pairs lie in their share."""
+        grammar, rows, names, width = self.grammar, self.rows, self.names, max(1, len(self.content))
+        level, k = self.least() - self.extra, len(self.content)
+        out = [1.0] * self.extra
+        stack = next(s for s in sorted(grammar._sets[rows[level][k]]) if grammar.reach(s)[1])
+        held = lambda c, i: grammar._sets[rows[c][i]] if rows[c][i] >= 0 else ()
+
+        def source(c: int, i: int, terminals) -> int | None:  # noqa: ANN001
+            return next((s for s in held(c, i) if any(stack in grammar.reach(s)[0].get(t, ()) for t in terminals)), None)
+
+        while k or level:
+            if level and stack in held(level - 1, k):
+                level -= 1
                 continue
-            furthest = max(furthest, at)
-            out, ends = self.reach(stack)
-            if at == len(symbols) and ends:
-                places, key = [], (at, stack)
-                while key in came:
-                    was, under, edit = came[key]
-                    if edit:
-                        places.append(was)
-                    key = (was, under)
-                return cost, places[::-1], True
-            moves: list[tuple[int, int, int]] = []
-            if at < len(symbols):
-                for name in names[symbols[at]]:
-                    moves += [(at + 1, s, 0) for s in out.get(name, ())]
-                if cost < limit:
-                    moves.append((at + 1, stack, 1))
-            if cost < limit:
-                for hits in out.values():
-                    for s in hits:
-                        moves.append((at, s, 1))
-                        if at < len(symbols):
-                            moves.append((at + 1, s, 1))
-            for to, s, add in moves:
-                if cost + add < best.get((to, s), 1 << 30):
-                    best[(to, s)] = cost + add
-                    came[(to, s)] = (at, stack, bool(add))
-                    heapq.heappush(heap, (cost + add, -to, s))
-        return max(1, min(cost, limit)), [min(furthest, max(0, len(symbols) - 1))], False
+            symbol = self.content[k - 1] if k else None
+            if symbol is not None and (was := source(level, k - 1, names[symbol])) is not None:
+                stack, k = was, k - 1
+                continue
+            if isinstance(symbol, Span):
+                if level >= symbol.size and stack in held(level - symbol.size, k - 1):
+                    out += [(k - 1) / width] * symbol.size
+                    level, k = level - symbol.size, k - 1
+                    continue
+                for kind, entry in symbol.entries.items():
+                    if entry.cost is not None and 0 < entry.cost <= level and (was := source(level - entry.cost, k - 1, (f"<{kind}>",))) is not None:
+                        out += [(k - 1 + p) / width for p in entry.places()]
+                        stack, level, k = was, level - entry.cost, k - 1
+                        break
+                else:
+                    stack, level = source(level - 1, k, grammar.insertable), level - 1
+                    out.append(k / width)
+                continue
+            if symbol is not None and stack in held(level - 1, k - 1):
+                out.append((k - 1) / width)
+                level, k = level - 1, k - 1
+            elif symbol is not None and (was := source(level - 1, k - 1, grammar.insertable)) is not None:
+                out.append((k - 1) / width)
+                stack, level, k = was, level - 1, k - 1
+            else:
+                stack, level = source(level - 1, k, grammar.insertable), level - 1
+                out.append(k / width)
+        return out[::-1]

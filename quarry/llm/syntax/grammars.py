@@ -27,10 +27,10 @@ SOFT = {
     "javascript": "async await from as of get set static let yield",
     "typescript": "async await from as of get set static let yield abstract declare enum implements interface is keyof module namespace private protected public readonly type infer satisfies override asserts unique accessor",
     "rust": "union default macro_rules auto raw",
-    "java": "var record sealed permits yield non when",
+    "java": "var record sealed permits yield non when super this",
     "csharp": "var async await get set init add remove partial where yield record when and or not required file with select from value global managed scoped on equals by into let orderby join group ascending descending",
-    "c": "asm",
-    "cpp": "override final auto requires concept import module",
+    "c": "asm __asm__ __asm __volatile__",
+    "cpp": "override final auto requires concept import module asm __asm__ __asm __volatile__",
     "php": "enum from mixed",
 }
 RESERVED["typescript"] = RESERVED["javascript"]
@@ -91,17 +91,12 @@ member = ';' | decorators ('static' | 'async' | 'get' | 'set' | '*')* key (<para
 TYPESCRIPT = Grammar(_JS_COMMON + """
 tname = NAME ('.' NAME)* | STR | NUM | '-' NUM | <typebody> | <tuple> | <tparen> | 'void' | 'typeof' ID ('.' NAME)*
 tmark = 'keyof' | 'readonly' | 'unique' | 'infer' | 'asserts' | 'typeof' | 'new' | 'abstract'
-tatom0 = (tmark | <params> '=>')* tname (<array>)*
-type0 = '|'? tatom0 (('|' | '&' | 'extends' | '=>' | 'is') tatom0)* ('?' tatom0 ':' tatom0)*
-g0 = '<' type0 ('=' type0)? (',' type0 ('=' type0)?)* ','? '>'
-tatom1 = (tmark | g0? <params> '=>')* tname g0? (<array>)*
-type1 = '|'? tatom1 (('|' | '&' | 'extends' | '=>' | 'is') tatom1)* ('?' tatom1 ':' tatom1)*
-g1 = '<' 'const'? type1 ('=' type1)? (',' type1 ('=' type1)?)* ','? '>'
-tatom2 = (tmark | g1? <params> '=>')* tname g1? (<array>)*
-type = '|'? tatom2 (('|' | '&' | 'extends' | '=>' | 'is') tatom2)* ('?' tatom2 ':' tatom2)*
-generics = g1
+tatom = (tmark | gen? <params> '=>')* tname gen? (<array>)*
+type = '|'? tatom (('|' | '&' | 'extends' | '=>' | 'is') tatom)* ('?' tatom ':' tatom)*
+gen = '<' 'const'? type ('=' type)? (',' type ('=' type)?)* ','? '>'
+generics = gen
 assertion = '<' (type | 'const') '>'
-typed = '!' | g1 <args> | ('as' | 'satisfies') ('const' | type)
+typed = '!' | gen <args> | ('as' | 'satisfies') ('const' | type)
 returns = ':' type
 annotation = ':' type
 definite = '!' | '?'
@@ -115,7 +110,7 @@ modifier = 'public' | 'private' | 'protected' | 'static' | 'async' | 'get' | 'se
 params = (param (',' param)* ','?)?
 param = decorators ('public' | 'private' | 'protected' | 'readonly' | 'override')* '...'? pattern '?'? annotation? ('=' expr)?
 classbody = member*
-member = ';' | decorators modifier* key ('?' | '!')? (generics? <params> returns? (<block> | ';') | annotation? ('=' expr)? ';') | 'static' <block>
+member = ';' | decorators modifier* key ('?' | '!')? (generics? <params> returns? (<block> | ';') | annotation? ('=' expr)? ';') | 'static' <block> | modifier* <index> annotation ';'
 typebody_sep = ';' | ','
 tmember = ('readonly' | 'get' | 'set' | '+' | '-')* (key '?'? (generics? <params> returns? | annotation)? | generics? <params> returns? | 'new' <params> returns? | <index> ('?' | '+' '?' | '-' '?')? annotation)
 index = ID (':' type | 'in' type ('as' type)?)
@@ -125,8 +120,7 @@ typebody = (tmember (typebody_sep tmember)* typebody_sep?)?
 GO = Grammar("""
 tmod = '*' | <len> | 'chan' '<-'? | '<-' 'chan' | 'map' <mapkey> | '...' | <paren>
 tname = ID ('.' ID)? <args>? | ID ('.' ID)? <targs> | 'struct' <fields> | 'interface' <methods> | 'func' <params> result? | <paren>
-type = (('*' | <len> | 'chan' '<-'? | '<-' 'chan' | 'map' <mapkey>))* (ID ('.' ID)? <targs>? | 'struct' <fields> | 'interface' <methods> | 'func' <params> resultt? | <tparen>)
-resultt = <params> | ('*' | <len> | 'map' <mapkey> | 'chan')* ID ('.' ID)?
+type = (('*' | <len> | 'chan' '<-'? | '<-' 'chan' | 'map' <mapkey>))* (ID ('.' ID)? <targs>? | 'struct' <fields> | 'interface' <methods> | 'func' <params> result? | <tparen>)
 result = <params> | type
 literal = 'func' <params> result? <block>
 typelit = (<len>+ | 'map' <mapkey> | '*' | 'chan' '<-'?)* ('struct' <fields> | 'interface' <methods> | ID ('.' ID)?) | 'map' <mapkey> type | <len>+ type | 'chan' type
@@ -178,15 +172,9 @@ element = ((expr | <composite>) ':')? (expr | <composite>)
 
 RUST = Grammar("""
 life = LIFE
-path = ('::')? (ID | 'dyn' | 'as') ('::' (ID | gen0))*
-tbase0 = ('&' life? 'mut'? | '*' ('const' | 'mut') | 'dyn' | 'impl' | '?' | 'for' '<' life '>')* (ID ('::' ID)* (<types> ('->' ID)?)? | <types> | <arrayt> | '!' | life | ('unsafe' | 'extern' STR?)* 'fn' <types> ('->' ID)?)
-type0 = tbase0 ('+' tbase0)*
-gen0 = '<' garg0 (',' garg0)* ','? '>'
-garg0 = (ID '=')? type0 | NUM | <block> | life
-tbase1 = ('&' life? 'mut'? | '*' ('const' | 'mut') | 'dyn' | 'impl' | '?' | 'for' '<' life '>')* (('<' type0 ('as' type0)? '>' '::')? ID ('::'? gen0)? ('::' ID ('::'? gen0)?)* (<types> ('->' tbase0)?)? | <types> | <arrayt> | '!' | life | ('unsafe' | 'extern' STR?)* 'fn' <types> ('->' tbase0)?)
-type1 = tbase1 ('+' tbase1)*
-gen1 = '<' ((ID '=')? type1 | NUM | <block> | life) (',' ((ID '=')? type1 | NUM | <block> | life))* ','? '>'
-tbase = ('&' '&'? life? 'mut'? | '&&' | '*' ('const' | 'mut') | 'dyn' | 'impl' | '?' | 'for' '<' life '>')* (('<' type1 ('as' type1)? '>' '::')? ID ('::'? gen1)? ('::' ID ('::'? gen1)?)* (<types> ('->' tbase1)?)? | <types> | <arrayt> | '!' | life | ('unsafe' | 'extern' STR?)* 'fn' <types> ('->' tbase1)?)
+gen = '<' (garg (',' garg)* ','?)? '>'
+garg = (ID '=')? type | NUM | <block> | life
+tbase = ('&' '&'? life? 'mut'? | '&&' life? 'mut'? | '*' ('const' | 'mut') | 'dyn' | 'impl' | '?' | 'for' '<' (life (',' life)*)? '>')* (('<' type ('as' type)? '>' '::' | '::')? ID ('::'? gen)? ('::' ID ('::'? gen)?)* (<types> ('->' tbase)?)? | <types> | <arrayt> | '!' | life | ('unsafe' | 'extern' STR?)* 'fn' <types> ('->' tbase)?)
 type = tbase ('+' tbase)*
 tparam = 'const'? (ID | life) (':' type?)? ('=' (type | NUM))?
 tparams = '<' (tparam (',' tparam)* ','?)? '>'
@@ -196,13 +184,13 @@ pnum = '-'? (NUM | STR) (('..=' | '..' | '...') ('-'? (NUM | STR))?)? | ID ('::'
 pat = '|'? patom ('|' patom)*
 closure = 'async'? 'move'? ('||' | '|' (pat (':' type)? (',' pat (':' type)?)*)? '|') ('->' type)?
 prefix = '!' | '-' | '*' | '&' 'mut'? | '&&' 'mut'? | '..' | '..=' | closure | 'return' | 'break' life? | 'box' | 'yield'
-pathx = ('::')? ID ('::' (ID | gen1))* | '<' type ('as' type)? '>' ('::' (ID | gen1))+
+pathx = ('::')? ID ('::' (ID | gen))* | '<' type ('as' type)? '>' ('::' (ID | gen))+
 condition = cond
 simpleop = prefix* (pathx ('!' (<args> | <slice>))? | NUM | STR | <paren> | <slice>) postfix*
 cond = ('let' pat '=')? simpleop ((binary | assign) ('let' pat '=')? simpleop)*
 control = (life ':')? ('if' cond <block> ('else' 'if' cond <block>)* ('else' <block>)? | 'match' cond <arms> | 'loop' <block> | 'while' cond <block> | 'for' pat 'in' cond <block> | ('unsafe' | 'async' 'move'? | 'const')* <block>)
 atom = pathx ('!' (<args> | <slice> | <block>) | <struct>)? | NUM | STR | <paren> | <slice> | control
-postfix = <args> | <slice> | '.' (ID ('::' gen1)? | NUM | 'await') | '?' | 'as' type
+postfix = <args> | <slice> | '.' (ID ('::' gen)? | NUM | 'await') | '?' | 'as' type
 operand = prefix* atom postfix* | prefix* ('return' | 'break' life? | 'continue' life? | '..')
 binary = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '<<' | '>' '>' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '..' | '..='
 assign = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>='
@@ -243,14 +231,9 @@ uses = (usepath (',' usepath)* ','?)?
 
 JAVA = Grammar("""
 ann = ('@' ID ('.' ID)* <args>?)*
-tbase0 = ann ID ('.' ID)*
-targ0 = '?' (('extends' | 'super') tbase0 dims)? | tbase0 dims ('&' tbase0)*
-dims = (<empty>)*
-g0 = '<' (targ0 (',' targ0)*)? '>'
-tbase1 = ann ID g0? ('.' ann ID g0?)* dims
-g1 = '<' (('?' (('extends' | 'super') tbase1)? | tbase1) (',' ('?' (('extends' | 'super') tbase1)? | tbase1))*)? '>'
-tbase2 = ann ID g1? ('.' ann ID g1?)* dims
-g = '<' (('?' (('extends' | 'super') tbase2)? | tbase2) (',' ('?' (('extends' | 'super') tbase2)? | tbase2))*)? '>'
+dims = (ann <empty>)*
+g = '<' (targ (',' targ)*)? '>'
+targ = ann '?' (('extends' | 'super') type)? | type
 type = ann ID g? ('.' ann ID g?)* dims
 tparams = '<' ann ID ('extends' type ('&' type)*)? (',' ann ID ('extends' type ('&' type)*)?)* '>'
 prefix = '!' | '~' | '-' | '+' | '++' | '--' | <cast> | (ID | <lambda>) '->'
@@ -294,12 +277,7 @@ switch = (case ':' stmt* | case '->' (expr ';' | <block> | 'throw' expr ';'))*
 
 CSHARP = Grammar("""
 attrs = (<attr>)*
-t0 = ('global' '::')? ID ('.' ID)* ('?' | '*' | <rank>)* | <tuple> ('?' | <rank>)*
-g0 = '<' (t0? (',' t0?)*) '>'
-t1 = ('global' '::')? ID g0? ('.' ID g0?)* ('?' | '*' | <rank>)* | <tuple> ('?' | <rank>)*
-g1 = '<' (t1? (',' t1?)*) '>'
-t2 = ('global' '::')? ID g1? ('.' ID g1?)* ('?' | '*' | <rank>)* | <tuple> ('?' | <rank>)*
-g = '<' (t2? (',' t2?)*) '>'
+g = '<' (type? (',' type?)*) '>'
 type = ('ref' 'readonly'?)? (('global' '::')? ID g? ('.' ID g?)* ('?' | '*' | <rank>)* | <tuple> ('?' | <rank>)*)
 tparams = '<' attrs ('in' | 'out')? ID (',' attrs ('in' | 'out')? ID)* '>'
 where = ('where' ID ':' (type | 'class' '?'? | 'struct' | 'new' <args> | ID) (',' (type | 'class' '?'? | 'struct' | 'new' <args>))*)*
@@ -369,8 +347,8 @@ inner = chain ('?' chain ':' chain)*
 expr = (chain ('?' inner ':' chain)* | <init>)
 exprs = expr (',' expr)*
 dname = stars (ID ('::' ID tmpl?)* tmpl? | <dparen> | 'operator' OPERATOR | ID '::' '~' ID | <index>) (<index> | <empty> | <params>)*
-declarator = dname (':' expr)? ('=' expr | <init> | <args>)?
-simple = exprs | basetype declarator (',' declarator)* | basetype | 'return' exprs? | 'co_return' exprs? | 'break' | 'continue' | 'goto' ID | usingdecl
+declarator = dname (':' expr)? marks ('=' expr | <init> | <args>)?
+simple = exprs | basetype declarator (',' declarator)* | basetype | 'return' exprs? | 'co_return' exprs? | 'break' | 'continue' | 'goto' '*'? ID | usingdecl | asm
 head = 'if' 'constexpr'? <paren> | 'else' | 'for' <for> | 'while' <paren> | 'do' | ID ':' | 'case' expr ('...' expr)? ':' | 'default' ':' | 'switch' <paren> | 'try' | 'catch' <params>
 stmt = head* (attr simple ';' | <block> | ';')
 block = stmt* head*
@@ -390,30 +368,34 @@ for = (basetype declarator (',' declarator)* | exprs)? ';' (exprs | basetype dec
 
 C = Grammar(_C_COMMON + """
 name = ID
+marks = (ID <attrargs>)*
+asm = ('asm' | '__asm__' | '__asm') ('volatile' | '__volatile__' | 'goto' | 'inline')* <asmargs>
+asmargs = ANY*
 tmpl = '#never'
 attr = (ID <attrargs>)?
 attrargs = <paren>
 atom = ID | NUM | STR+ | <paren> | <cast> <init>
 usingdecl = '#never'
 structbody = (basetype (declarator (',' declarator)*)? ';' | ';')*
-top = basetype declarator (',' declarator)* ';' | basetype ';' | basetype? dname (basetype declarator ';')* <block> | ';' | ID <args> ';'?
+top = basetype declarator (',' declarator)* ';' | basetype ';' | basetype? dname marks (basetype declarator ';')* <block> | ';' | ID <args> ';'? | asm ';'
 file = (top | 'extern' STR (<externc> | top))*
 externc = top*
 """)
 
 CPP = Grammar(_C_COMMON + """
-ta0 = ('const' | 'typename')* ID ('::' ID)* stars ('...')? | NUM | STR
-tmpl0 = '<' (ta0 (',' ta0)*)? '>'
-ta1 = ('const' | 'typename')* ID tmpl0? ('::' ID tmpl0?)* ('const')? stars (<params>)? '...'? | NUM | STR | <paren>
-tmpl1 = '<' (ta1 (',' ta1)*)? '>'
-ta2 = ('const' | 'typename')* ID tmpl1? ('::' ID tmpl1?)* ('const')? stars (<params>)? '...'? | NUM | STR | <paren>
-tmpl = '<' (ta2 (',' ta2)*)? '>'
+ta = ('const' | 'typename' | 'volatile')* ('::'? ID tmpl? ('::' 'template'? ID tmpl?)* | 'decltype' <args>) 'const'? stars (<params> | <dparen>)* (<index> | <empty>)* '...'? | '-'? NUM | STR | <paren> | '!' ID
+tmpl = '<' (ta (',' ta)*)? '>'
 name = '::'? ID tmpl? ('::' 'template'? ID tmpl?)*
 attr = (<attrs>)*
 attrs = ANY*
+marks = (ID <args>)*
+asm = ('asm' | '__asm__' | '__asm') ('volatile' | '__volatile__' | 'goto' | 'inline')* <asmargs>
+asmargs = ANY*
+fold = expr binary '...' (binary expr)? | '...' binary expr
+requirements = (exprs ';' | 'typename' name ';' | <init> 'noexcept'? ('->' basetype stars)? ';' | 'requires' exprs ';' | ';')*
 capture = (('&' | '=' | '*'? ID | '&' ID | '...') '...'? ('=' expr | <init>)? (',' ('=' | '*'? ID | '&' ID | '...') '...'? ('=' expr | <init>)?)*)?
 lambda = <capture> (<params> ('mutable' | 'constexpr' | 'noexcept')* ('->' basetype stars)?)? <block>
-atom = '::'? ID tmpl? ('::' (ID tmpl? | '~' ID | 'operator' OPERATOR))* | NUM | STR+ | <paren> | lambda | 'new' <args>? (basetype stars | <cast>) (<args> | <init> | <index>)* | 'decltype' <args> | 'typename' name | 'noexcept' <args>
+atom = <fold> | '::'? ID tmpl? ('::' (ID tmpl? | '~' ID | 'operator' OPERATOR))* | NUM | STR+ | <paren> | lambda | 'new' <args>? (basetype stars | <cast>) (<args> | <init> | <index>)* | 'decltype' <args> | 'typename' name | 'noexcept' <args> | 'requires' <params>? <requirements>
 usingdecl = 'using' ('namespace'? name | ID '=' basetype stars | 'typename' name | 'enum' name) | 'static_assert' <args>
 template = ('template' '<' (tparam (',' tparam)*)? '>' ('requires' exprs)?)*
 tparam = ('typename' | 'class') '...'? ID? ('=' basetype stars)? | basetype stars ID? ('=' expr)? | 'template' '<' (('typename' | 'class') ID? (',' ('typename' | 'class') ID?)*)? '>' ('typename' | 'class') ID?
@@ -521,7 +503,14 @@ tparams = ('*' | '**')? ID (':' expr)? ('=' expr)? (',' ('*' | '**')? ID (':' ex
 """)
 
 # A reserved word as the name of a package or module is taken for a name, not for damage: the clause is whole.
+#: The tokens a repair may insert or put in another's place: names, separators, what a rule cannot do without.
+_INSERTABLE = {
+    "javascript": "ID ; , : = => from", "typescript": "ID ; , : = => from", "go": "ID ; , : = := package", "rust": "ID ; , : = => -> fn let", "java": "ID ; , : = -> class",
+    "csharp": "ID ; , : = => class in", "c": "ID ; , : =", "cpp": "ID ; , : = >", "php": "ID VAR ; , : = => as $", "python": "ID NL , : = in import",
+}
 GRAMMARS = {"javascript": JAVASCRIPT, "typescript": TYPESCRIPT, "go": GO, "rust": RUST, "java": JAVA, "csharp": CSHARP, "c": C, "cpp": CPP, "php": PHP, "python": PYTHON}
+for _language, _terminals in _INSERTABLE.items():
+    GRAMMARS[_language].insertable = _terminals.split()
 
 #: The kinds a bracket pair's content is tried for, by opening bracket.
 KINDS = {
@@ -531,8 +520,8 @@ KINDS = {
     "rust": {"(": "args paren params types pats tuplefields anyp", "[": "slice arrayt attr any", "{": "block struct patfields fields variants arms items uses any"},
     "java": {"(": "args paren params lambda cast for res catch", "[": "index empty", "{": "block classbody enum list switch"},
     "csharp": {"(": "args paren params lambda cast tuple for foreach res catch", "[": "index rank attr params", "{": "block classbody enum accessors init switch arms items"},
-    "c": {"(": "paren args cast params dparen for attrargs", "[": "index empty", "{": "block init structbody enum externc"},
-    "cpp": {"(": "paren args cast params dparen for", "[": "index empty attrs capture", "{": "block init structbody enum items"},
+    "c": {"(": "paren args cast params dparen for attrargs asmargs", "[": "index empty", "{": "block init structbody enum externc"},
+    "cpp": {"(": "paren args cast params dparen for fold asmargs", "[": "index empty attrs capture", "{": "block init structbody enum items requirements"},
     "php": {"(": "paren args params uses for foreach catch cast array type", "[": "array attrs", "{": "block classbody switch arms braced names any"},
     "python": {"(": "paren args params names withs", "[": "list index tparams args", "{": "dict", "INDENT": "suite cases"},
 }

@@ -1,10 +1,16 @@
-"""Lexing into bracket spans and filling the chart of (span, kind); the cost and places of the repair."""
+"""Lexing into bracket spans and filling the chart of (span, kind); the cost and places of the repair.
+
+Brackets are paired first: a closing bracket ends the nearest open one of its kind, brackets open above that lack
+their end, and one that ends nothing is left over. Each missing end and each left-over token is one edit. Given the
+pairs, the cost is the least number of edits of tokens that makes the text a word of its language's grammar.
+"""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
+from quarry.llm.syntax.automata import Repair, Span
 from quarry.llm.syntax.grammars import EXTENSIONS, GRAMMARS, KINDS, RESERVED, SOFT
 
 BY_EXTENSION = {e: language for language, extensions in EXTENSIONS.items() for e in extensions}
@@ -12,8 +18,6 @@ CLOSER = {"(": ")", "[": "]", "{": "}"}
 #: Known contents of bracket pairs kept for one language, so that what repeats is parsed once, and the longest of them.
 MOST_SPANS, LONGEST_KEPT = 50_000, 60
 MOST_TOKENS = 100_000
-#: Edits looked for in one span, chart entries spent on it, and pieces it is cut into, when a broken file is repaired.
-SPAN_EDITS, SPAN_EFFORT, SPAN_PIECES = 2, 1_500, 12
 
 _CONFLICT = r"^(?:<{7}|={7}|>{7}|\|{7})(?=[ \t\r]|$)[^\n]*"
 _LINE, _BLOCK = r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)"
@@ -83,6 +87,7 @@ class Parser:
         self.kinds = {bracket: kinds.split() for bracket, kinds in KINDS[language].items()}
         self.semicolon, self.nl = self.symbol({";", "ANY"}), self.symbol({"NL"})
         self.html = self.symbol({"HTML", ";"})
+        self.left_over, self.without_end = self.symbol({"LEFT OVER"}), self.symbol({"WITHOUT END"})
         self.newlines = language in ("javascript", "typescript", "go", "python")
 
     def symbol(self, names: set[str]) -> int:
@@ -180,52 +185,32 @@ class Parser:
     def is_bad(self, number: int) -> bool:
         return not any(n[0] == "<" and len(n) > 2 for n in self.names[number])
 
-    _STARTS_NO_STATEMENT = frozenset(". , ; ) ] ? : = + - * / % & | ^ < > ( [ { ?. => == === != !== <= >= && || ?? ** += -= *= /= %= &= |= ^= << ... else catch finally in of instanceof as extends implements satisfies from is }".split()) - {"...", "of", "from", "is"}
+    _STARTS_NO_STATEMENT = frozenset(". , ; ) ] ? : = + - * / % & | ^ < > ( [ { ?. => == === != !== <= >= && || ?? ** += -= *= /= %= &= |= ^= << ... catch finally in of instanceof as extends implements satisfies from is }".split()) - {"...", "of", "from", "is"}
     _ENDS_NO_STATEMENT = frozenset("const let var function class import export extends new typeof void delete throw case in instanceof if for while do else try finally switch with default implements , ; . ( [ { ? : = + - * / % & | ^ < ! ~ => == === != !== <= >= && || ?? ** += -= *= /= %= &= |= ^= << ... @ # ?.".split()) - {"default"}
     _GO_ENDS = frozenset("break continue fallthrough return ++ --".split())
 
     def parse(self, text: str, thorough: bool = False) -> Result:
-        """The least repair of a text; without ``thorough`` only whether one is needed (cost 0 or 1)."""
+        """The least repair of a text; without ``thorough`` the chart is filled only until the cost is known to be 0 or more (then 1)."""
+        self.grammar.tidy()
         text = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
         result = Result(lines=text.count("\n") + 1)
-        if self.language == "python":
-            tokens = self._python(text, result, thorough)
-        else:
-            tokens = self._bracketed(text, result, thorough)
+        tokens = self._python(text, result, thorough) if self.language == "python" else self._bracketed(text, result, thorough)
         if tokens is None or not tokens and not result.cost:
             return result
-        if self.grammar.accepts("file", tokens, self.names):
-            return result
         if not thorough:
-            result.cost = 1
+            result.cost = 0 if self.grammar.accepts("file", tokens, self.names) else 1
             return result
-        self._mend("file", tokens, 0.0, 1.0, result)
-        result.cost = max(1, result.cost)
+        repair = Repair(self.grammar, "file", tokens, self.names)
+        result.cost += repair.least()
+        result.places += repair.places()
         return result
 
-    def _mend(self, kind: str, content: list[int], start: float, end: float, result: Result) -> None:
-        """Add the repair of one span's content to the result: of the whole if it takes few edits, else piece by piece."""
-
-        def note(low: int, cost: int, places: list[int]) -> None:
-            result.cost += max(1, cost)
-            result.places += [start + (end - start) * (low + p) / max(1, len(content)) for p in (places or [len(content)])]
-
-        cost, places, found = self.grammar.repair(kind, content, self.names, SPAN_EDITS, SPAN_EFFORT)
-        if found:
-            note(0, cost, places)
-            return
-        rest = "block" if kind == "file" and "block" in self.grammar.text else kind
-        at = spent = 0
-        while at < len(content) and spent < SPAN_PIECES:
-            rule = kind if at == 0 else rest
-            reach = at + self.grammar.prefix_length(rule, content[at:], self.names)
-            if reach >= len(content) and self.grammar.accepts(rule, content[at:], self.names):
-                break
-            note(reach, 1, [0])
-            spent += 1
-            at = max(reach, at) + 1
-        if at < len(content):
-            result.cost += (len(content) - at) // 12
+    def _closed(self, bracket: str, content: list[int], thorough: bool, missing: bool = False) -> int | None:
+        """The symbol of a pair; None if its content is of no kind and only whether there is damage is asked."""
+        if not thorough:
+            symbol = self.span(bracket, content)
+            return None if self.is_bad(symbol) else symbol
+        return Span(self.without_end if missing else self.span(bracket, content), bracket, self.kinds[bracket], content, missing)
 
     def _bracketed(self, text: str, result: Result, thorough: bool) -> list[int] | None:
         language, classify, known, names = self.language, self._classify, self._tokens, self.names
@@ -241,14 +226,14 @@ class Parser:
         if js and text.startswith("#!"):
             text = text[text.find("\n") + 1 :] if "\n" in text else ""
         current: list[int] = []
-        opened: list[tuple[str, list[int], int]] = []
+        opened: list[tuple[str, list[int]]] = []
+        depth = dict.fromkeys(")]}", 0)
         newline, bracket = False, ""
-        size = max(1, len(text))
         for match in self.lexer.finditer(text):
             token = match.group()
             if token == "\n":
                 newline = True
-                if go and current and self._go_ends(current[-1]):
+                if go and current and (self._go_ends(current[-1]) or self._go_clause(current)):
                     current.append(self.semicolon)
                 continue
             number = known.get(token)
@@ -271,36 +256,40 @@ class Parser:
                 continue
             if number == -4:
                 if token in "([{":
-                    opened.append((bracket, current, match.start()))
+                    depth[CLOSER[token]] += 1
+                    opened.append((bracket, current))
                     bracket, current = token, []
                     continue
-                if bracket and CLOSER[bracket] == token:
-                    symbol = self.span(bracket, current)
-                    if self.is_bad(symbol):
-                        if not thorough:
+                if token in depth:
+                    while depth[token] and CLOSER[bracket] != token and thorough:
+                        depth[CLOSER[bracket]] -= 1
+                        result.unclosed += 1
+                        symbol = self._closed(bracket, current, True, True)
+                        bracket, current = opened.pop()
+                        current.append(symbol)
+                    if depth[token] and CLOSER[bracket] == token:
+                        depth[token] -= 1
+                        symbol = self._closed(bracket, current, thorough)
+                        if symbol is None:
                             result.cost = 1
                             return None
-                        before, outer, start = opened[-1]
-                        self._mend("block" if bracket == "{" and "block" in self.kinds["{"] else self.kinds[bracket][0], current, start / size, match.end() / size, result)
-                        symbol = self.symbol({f"<{k}>" for k in self.kinds[bracket]} | {"ANY"})
-                    bracket, current, _ = opened.pop()
-                    current.append(symbol)
-                    continue
-            result.cost += 1
-            result.places.append(match.start() / size)
+                        bracket, current = opened.pop()
+                        current.append(symbol)
+                        continue
             result.conflict |= number == -3
             if not thorough:
+                result.cost = 1
                 return None
+            current.append(self.left_over)
         if go and current and self._go_ends(current[-1]):
             current.append(self.semicolon)
         while opened:
-            result.cost += 1
-            result.unclosed += 1
             if not thorough:
+                result.cost = 1
                 return None
-            result.places.append(1.0)
-            symbol = self.symbol({f"<{k}>" for k in self.kinds[bracket]} | {"ANY"})
-            bracket, current, _ = opened.pop()
+            result.unclosed += 1
+            symbol = self._closed(bracket, current, True, True)
+            bracket, current = opened.pop()
             current.append(symbol)
         return current
 
@@ -308,26 +297,26 @@ class Parser:
         names = self.names[number]
         return "ID" in names or "NUM" in names or "STR" in names or "OPERATOR" not in names and ";" not in names and not (names & self.reserved) or bool(names & self._GO_ENDS) or any(n[0] == "<" and len(n) > 2 and n.endswith(">") for n in names)
 
+    def _go_clause(self, current: list[int]) -> bool:
+        """Whether the tokens are a package clause, whose name may be any word (see the grammars)."""
+        return len(current) == 2 and "package" in self.names[current[0]] and "NAME" in self.names[current[1]]
+
     def _js_open(self, number: int) -> bool:
         return bool(self.names[number] & self._ENDS_NO_STATEMENT) and "ID" not in self.names[number]
 
     def _python(self, text: str, result: Result, thorough: bool) -> list[int] | None:
-        known, size = self._tokens, max(1, len(text))
+        known = self._tokens
         current: list[int] = []
-        opened: list[tuple[str, list[int], int]] = []
+        opened: list[tuple[str, list[int]]] = []
         bracket, fresh = "", True
         indents: list[int] = [0]
 
-        def close_suite(start: int, end: int) -> bool:
+        def close(missing: bool = False) -> bool:
             nonlocal current, bracket
-            symbol = self.span("INDENT", current)
-            if self.is_bad(symbol):
-                if not thorough:
-                    return False
-                self._mend("suite", current, start / size, end / size, result)
-                symbol = self.symbol({"<suite>", "<cases>", "ANY"})
-            bracket, outer, _ = opened.pop()
-            current = outer
+            symbol = self._closed(bracket, current, thorough, missing)
+            if symbol is None:
+                return False
+            bracket, current = opened.pop()
             current.append(symbol)
             return True
 
@@ -352,7 +341,7 @@ class Parser:
                 continue
             if number == -3:
                 result.cost, result.conflict = result.cost + 1, True
-                result.places.append(match.start() / size)
+                result.places.append(match.start() / max(1, len(text)))
                 if not thorough:
                     return None
                 continue
@@ -360,17 +349,16 @@ class Parser:
                 fresh = False
                 if pending > indents[-1]:
                     indents.append(pending)
-                    opened.append((bracket, current, match.start()))
+                    opened.append((bracket, current))
                     bracket, current = "INDENT", []
                 while pending < indents[-1]:
-                    start = opened[-1][2]
                     indents.pop()
-                    if not close_suite(start, match.start()):
+                    if not close():
                         result.cost = 1
                         return None
                 if pending != indents[-1]:
                     result.cost += 1
-                    result.places.append(match.start() / size)
+                    result.places.append(match.start() / max(1, len(text)))
                     if not thorough:
                         return None
                     indents[-1] = pending if len(indents) > 1 else 0
@@ -379,36 +367,28 @@ class Parser:
                 continue
             if number == -4:
                 if token in "([{":
-                    opened.append((bracket, current, match.start()))
+                    opened.append((bracket, current))
                     bracket, current = token, []
                     continue
                 if bracket in CLOSER and CLOSER[bracket] == token:
-                    symbol = self.span(bracket, current)
-                    if self.is_bad(symbol):
-                        if not thorough:
-                            result.cost = 1
-                            return None
-                        self._mend(self.kinds[bracket][0], current, opened[-1][2] / size, match.end() / size, result)
-                        symbol = self.symbol({f"<{k}>" for k in self.kinds[bracket]} | {"ANY"})
-                    bracket, current, _ = opened.pop()
-                    current.append(symbol)
+                    if not close():
+                        result.cost = 1
+                        return None
                     continue
-            result.cost += 1
-            result.places.append(match.start() / size)
             if not thorough:
+                result.cost = 1
                 return None
+            current.append(self.left_over)
         while bracket in CLOSER:
-            result.cost, result.unclosed = result.cost + 1, result.unclosed + 1
+            result.unclosed += 1
             if not thorough:
+                result.cost = 1
                 return None
-            result.places.append(1.0)
-            symbol = self.symbol({f"<{k}>" for k in self.kinds[bracket]} | {"ANY"})
-            bracket, current, _ = opened.pop()
-            current.append(symbol)
+            close(missing=True)
         if not fresh:
             current.append(self.nl)
         while bracket == "INDENT":
-            if not close_suite(opened[-1][2], size):
+            if not close():
                 result.cost = 1
                 return None
         return current

@@ -81,6 +81,43 @@ def test_very_long_texts_end_soon():
 def test_repair_counts_edits():
     got = parse.check("int f() { return 1 }\nint g() { return 2; }\n", "c", thorough=True)
     assert got.cost == 1
+    assert parse.check("int f(int a] { return a; }\n", "c", thorough=True).unclosed == 1
+    many = "int f() { " + "a = b; " * 900 + "return 1 }\n"
+    assert parse.check(many, "c", thorough=True).cost == 1 and parse.check(many.replace("a = b;", "a = = b;", 3), "c", thorough=True).cost == 4
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_repair_is_the_least_of_all(seed):
+    from quarry.llm.syntax.automata import Grammar, Repair
+
+    rng = random.Random(seed)
+    grammar = Grammar("file = (item ';')* item?\nitem = 'a' 'b'* | 'c' item 'd' | '(' list ')'\nlist = item (',' item)*", "a b ; ,")
+    alphabet, words = ["a", "b", "c", "d", ";", ",", "(", ")"], [frozenset([x]) for x in "abcd;,()"]
+    text = [rng.randrange(8) for _ in range(rng.randrange(0, 6))]
+    accepts = lambda t: grammar.accepts("file", list(t), words)
+    seen, frontier, cost = {tuple(text)}, [tuple(text)], 0
+    while not any(map(accepts, frontier)):
+        new = set()
+        for t in frontier:
+            new |= {t[:k] + t[k + 1 :] for k in range(len(t))}
+            new |= {t[:k] + (alphabet.index(x),) + t[k + r :] for k in range(len(t) + 1) for r in (0, 1) if k + r <= len(t) for x in grammar.insertable}
+        frontier, cost = list(new - seen), cost + 1
+        seen |= new
+    repair = Repair(grammar, "file", text, words)
+    assert repair.least() == cost and len(repair.places()) == cost
+
+
+MORE_VALID = {
+    "javascript": "if (a)\n  b()\nelse\n  c()\n", "java": "class A { void f(List<? super T> x, Map<K, List<Set<Map<A, B>>>> y) { super.f(this); } }\n", "rust": "fn f() { let x = y.collect::<Result<Vec<_>, _>>(); let z: HashMap<A, Vec<Option<Arc<B>>>> = g(); }\n",
+    "go": "package package\n\ntype T struct {\n\tf func(int) <-chan int\n\tg func(a func(b int) error) (int, error)\n}\n", "typescript": "class A { [key: string]: Map<string, Array<Set<Record<A, B<C>>>>>; x = 1; }\n",
+    "cpp": "template <typename... T> auto f(T... a) { return (a + ...); }\ntemplate <typename T> concept C = requires(T t) { t.f(); { t.g() } -> D; typename T::x; };\nstd::map<int, std::vector<std::pair<int, std::set<A>>>> m;\n",
+    "c": "int f(int a) __attribute__((pure));\nint g(void) { __asm__ volatile (\"nop\" : : \"r\"(a) : \"memory\"); return 0; }\n", "csharp": "class A { Dictionary<string, List<Dictionary<int, List<A>>>> m; }\n",
+}
+
+
+@pytest.mark.parametrize("language", sorted(MORE_VALID))
+def test_less_common_constructs_are_valid(language):
+    assert parse.check(MORE_VALID[language], language).cost == 0
 
 
 # --- 2: documentation ------------------------------------------------------------------------------------
