@@ -2,13 +2,16 @@
 
 Each function row offers comment candidates: its ``doc_comment``, the docstring and the comments of its
 source. Candidates and the functions found in the source are matched by minimum-cost assignment; the cost
-falls with shared parameter tags and name words and rises with the distance between comment and signature.
-Links above a limit are implausible and dropped. What is left is cleaned of comment signs, tags and tool
+falls with shared parameter tags and name words and rises with the distance between comment and signature,
+and a comment delivered with a function costs nothing for it and fits no other. Links above a limit are
+implausible and dropped; what remains is assigned within each group of functions and comments that links
+connect, so a file of any length takes time in proportion to it. What is left is cleaned of comment signs, tags and tool
 directives, and kept if it says more than the function's own name.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -144,8 +147,16 @@ _FUNCTION = re.compile(
          (?:[\w$:<>,\[\]?.]+[ \t*&]+)*(?P<b>~?[A-Za-z_$][\w$]*)\s*\([^;{}]*\)[^;{}()=]*(?=\{))""",
     re.X | re.M,
 )
-#: Lines in which no further function is looked for: no one documents what stands on them, and packed code has them.
+#: A line so long holds packed code, where functions begin after a brace or semicolon as well; of bounded nesting, so that it takes linear time.
 _LONG_LINE = re.compile(r"[^\n]{2000,}")
+_ROUND = r"\((?:[^;{}()]++|\((?:[^;{}()]++|\([^;{}()]*+\))*+\))*+\)"
+_PACKED = re.compile(
+    rf"""(?:^|(?<=[;{{}}]))[ \t]*(?:[A-Za-z_]\w*+[ \t*&]++)*?
+        (?:(?:def|fn|func|function)\b\s*\*?\s*(?:\([^()]*+\)\s*)?(?P<a>[A-Za-z_$][\w$]*+)?\s*{_ROUND}
+        |(?!(?:if|for|while|switch|return|else|catch|foreach|match|new|throw|await|yield|do|using|lock|in|not|and|or|print|assert|del|with|elif|except|case|sizeof|typeof)\b)(?P<b>~?[A-Za-z_$][\w$]*+)\s*{_ROUND}[^;{{}}()=]*+(?=\{{))""",
+    re.X | re.M,
+)
+_SIGNATURE = re.compile(r"(?:(?!:[ \t]*\n)[^{;])*+")
 _PARAMETER = re.compile(r"(?:[@\\](?:param|arg|tparam)\s+(?:\{[^}]*\}\s*)?\[?|:param\s+(?:[\w\[\], ]+\s)?|<param\s+name=\")([\w$]+)", re.I)
 _BETWEEN = re.compile(r"^(?:\s|@[\w.]+(?:\([^)\n]*\))?|#!?\[[^\]\n]*\]|\[[^\]\n]*\]|template\s*<[^>\n]*>)*$")
 
@@ -154,10 +165,10 @@ BASE, TAG_GAIN, NAME_GAIN, LINE_COST, IMPLAUSIBLE = 1.0, 0.5, 0.3, 0.6, 2.0
 
 
 class Comment:
-    __slots__ = ("text", "start", "end", "docstring")
+    __slots__ = ("text", "start", "end", "docstring", "delivered")
 
-    def __init__(self, text: str, start: int, end: int, docstring: bool):
-        self.text, self.start, self.end, self.docstring = text, start, end, docstring
+    def __init__(self, text: str, start: int, end: int, docstring: bool, delivered: bool = False):
+        self.text, self.start, self.end, self.docstring, self.delivered = text, start, end, docstring, delivered
 
 
 def comments(source: str, hash_comments: bool, triple: bool) -> list[Comment]:
@@ -170,7 +181,7 @@ def comments(source: str, hash_comments: bool, triple: bool) -> list[Comment]:
             continue
         line_start = source.rfind("\n", 0, m.start()) + 1
         alone = not source[line_start : m.start()].strip()
-        if not alone and not m.group("doc"):
+        if not alone and not m.group("doc") and not (m.group("block") and source[line_start : m.start()].rstrip()[-1] in ";{}" and re.compile(r"[ \t]*[^\s]").match(source, m.end())):
             continue
         last = found[-1] if found else None
         if m.group("line") and last and not last.docstring and not source[last.end : m.start()].strip() and source.count("\n", last.end, m.start()) <= 1 and not last.text.lstrip().startswith("/*"):
@@ -180,10 +191,10 @@ def comments(source: str, hash_comments: bool, triple: bool) -> list[Comment]:
     return found
 
 
-def _body_start(source: str, at: int) -> int:
-    """The place after the colon or brace that ends the signature beginning at ``at``."""
-    depth = 0
-    for k in range(at, len(source)):
+def _body_start(source: str, at: int, end: int | None = None) -> int:
+    """The place after the colon or brace that ends the signature beginning at ``at``, else ``end``."""
+    depth, end = 0, len(source) if end is None else end
+    for k in range(at, end):
         c = source[k]
         if c in "([":
             depth += 1
@@ -191,15 +202,15 @@ def _body_start(source: str, at: int) -> int:
             depth -= 1
         elif depth <= 0 and c in "{:" and source[k : k + 2] != "::":
             return k + 1
-    return len(source)
+    return end
 
 
-def link_cost(comment: Comment, source: str, at: int, name: str, parameters: set[str]) -> float:
-    """The cost of taking ``comment`` for the documentation of the function whose signature begins at ``at``."""
+def link_cost(comment: Comment, source: str, at: int, name: str, parameters: set[str], body: int | None = None) -> float:
+    """The cost of taking ``comment`` for the documentation of the function whose signature begins at ``at`` and whose body at ``body``."""
     tags = set(_PARAMETER.findall(comment.text))
     cost = BASE - TAG_GAIN * bool(tags & parameters) - (NAME_GAIN if name and re.search(rf"\b{re.escape(name)}\b", comment.text) else 0)
     if comment.docstring:
-        start = _body_start(source, at)
+        start = _body_start(source, at) if body is None else body
         return cost if not source[start : comment.start].strip() and comment.start >= start and _body_string(source, comment) else IMPLAUSIBLE + 1
     if comment.end > at:
         return IMPLAUSIBLE + 1
@@ -252,17 +263,75 @@ def assign(cost: list[list[float]]) -> list[int]:
     return [j if j < width else -1 for j in out]
 
 
-def documented_functions(source: str, path: str | None, signature: str | None = None, name: str | None = None) -> list[tuple[str, int, list[str]]]:
-    """(name, offset, documentation texts) of the functions of a source; the given signature, if any, is the first."""
+def _links(functions: list[tuple[str, int, set[str]]], found: list[Comment], source: str) -> dict[tuple[int, int], float]:
+    """(function, comment) to its cost, for all links that are not implausible.
+
+    Nothing but white space and attributes may stand between a comment and its function, so those before a
+    function are tried from the nearest on until one is too far; a docstring must be the first thing of a body.
+    """
+    links: dict[tuple[int, int], float] = {}
+    before = sorted((j for j, c in enumerate(found) if not c.docstring and not c.delivered), key=lambda j: found[j].end)
+    ends = [found[j].end for j in before]
+    inside = sorted((j for j, c in enumerate(found) if c.docstring), key=lambda j: found[j].start)
+    starts = [found[j].start for j in inside]
+    order = sorted(at for _, at, _ in functions)
+    for k, (name, at, parameters) in enumerate(functions):
+        if k == 0:
+            links |= {(0, j): 0.0 for j, c in enumerate(found) if c.delivered}
+        for p in range(bisect.bisect_right(ends, at) - 1, -1, -1):
+            cost = link_cost(found[before[p]], source, at, name, parameters)
+            if cost > IMPLAUSIBLE:
+                break
+            links[k, before[p]] = cost
+        if inside:
+            following = bisect.bisect_right(order, at)
+            body = _body_start(source, at, order[following] if following < len(order) else len(source))
+            p = bisect.bisect_left(starts, body)
+            if p < len(inside) and (cost := link_cost(found[inside[p]], source, at, name, parameters, body)) < IMPLAUSIBLE:
+                links[k, inside[p]] = cost
+    return {link: cost for link, cost in links.items() if cost < IMPLAUSIBLE}
+
+
+def _assigned(links: dict[tuple[int, int], float]) -> dict[int, int]:
+    """Function to comment by minimum-cost assignment, in each group that links connect."""
+    groups: dict[int, list[int]] = {}
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, j in links:
+        root[find(k)] = find(~j)
+    for k in {k for k, _ in links}:
+        groups.setdefault(find(k), []).append(k)
+    beside: dict[int, set[int]] = {}
+    for k, j in links:
+        beside.setdefault(find(k), set()).add(j)
+    out: dict[int, int] = {}
+    for group, rows in groups.items():
+        columns = sorted(beside[group])
+        for k, j in zip(rows, assign([[links.get((k, j), IMPLAUSIBLE + 1) for j in columns] for k in rows]), strict=True):
+            if j >= 0 and (k, columns[j]) in links:
+                out[k] = columns[j]
+    return out
+
+
+def documented_functions(source: str, path: str | None, signature: str | None = None, name: str | None = None, delivered: str | None = None) -> list[tuple[str, int, list[str]]]:
+    """(name, offset, documentation texts) of the functions of a source; the given signature, if any, is the first.
+
+    A ``delivered`` comment is one that came with the first function; it is then the function's only text.
+    """
     extension = (path or "").rsplit(".", 1)[-1].lower()
     python = extension in ("py", "pyi", "pyw") or (not extension and bool(re.match(r"\s*(async\s+)?def\b", source)))
     found = comments(source, python or extension in ("php", "phtml", "rb", "sh", "r", "pl"), python)
-    spans = [(c.start, c.end) for c in found]
-    hidden = list(source)
-    for start, end in spans:
-        hidden[start:end] = [ch if ch == "\n" else " " for ch in source[start:end]]
-    code = "".join(hidden)
-    shown = _LONG_LINE.sub(lambda m: " " * len(m.group()), code)
+    pieces, done = [], 0
+    for c in found:
+        pieces += [source[done : c.start], re.sub(r"[^\n]", " ", source[c.start : c.end])]
+        done = c.end
+    code = "".join([*pieces, source[done:]])
     functions: list[tuple[str, int, set[str]]] = []
     if signature is not None or name is not None:
         first = re.search(r"\S", code)
@@ -270,21 +339,22 @@ def documented_functions(source: str, path: str | None, signature: str | None =
         if at < 0:
             at = _skip_attributes(code, first.start() if first else len(code))
         functions.append((name or "", at, set(re.findall(r"[A-Za-z_$][\w$]*", signature or ""))))
-    for m in _FUNCTION.finditer(shown):
+    heads = list(_FUNCTION.finditer(_LONG_LINE.sub(lambda m: " " * len(m.group()), code)))
+    heads += [m for line in _LONG_LINE.finditer(code) for m in _PACKED.finditer(code, line.start(), line.end())]
+    for m in heads:
         at = m.start() + len(m.group()) - len(m.group().lstrip())
-        if not functions or at > functions[0][1] + 1:
-            functions.append((m.group("a") or m.group("b") or "", at, set(re.findall(r"[A-Za-z_$][\w$]*", code[m.start() : m.start() + 400].split("{")[0]))))
+        if not functions or at > functions[0][1] + 1 or signature is None and name is None:
+            functions.append((m.group("a") or m.group("b") or "", at, set(re.findall(r"[A-Za-z_$][\w$]*", _SIGNATURE.match(code, at).group()))))
     if not functions:
         return []
+    if delivered is not None:
+        found.append(Comment(delivered, -1, -1, False, True))
+    links = _links(functions, found, source)
     texts: list[list[str]] = [[] for _ in functions]
+    # A function may have a docstring and a comment before it, so the two kinds are assigned apart.
     for docstring in (True, False):
-        group = [c for c in found if c.docstring == docstring]
-        if not group:
-            continue
-        cost = [[link_cost(c, source, at, name, names) for c in group] for name, at, names in functions]
-        for k, j in enumerate(assign(cost)):
-            if j >= 0 and cost[k][j] < IMPLAUSIBLE:
-                texts[k].append(group[j].text)
+        for k, j in _assigned({link: cost for link, cost in links.items() if found[link[1]].docstring == docstring}).items():
+            texts[k] = [found[j].text] if found[j].delivered else [*texts[k], found[j].text]
     return [(name, at, t) for (name, at, _), t in zip(functions, texts, strict=True)]
 
 
@@ -305,16 +375,12 @@ def called(signature: str | None) -> str | None:
 def documentation(source: str, path: str | None, signature: str | None, name: str | None, kind: str | None, doc_comment: str | None) -> str | None:
     """The cleaned documentation of one function row, or None where there is none or it is trivial.
 
-    A ``doc_comment`` that is not blank decides; else the docstring and the comment before the signature are
-    candidates and the first that says something holds.
+    A ``doc_comment`` that is not blank is a candidate delivered with the row and decides; else the docstring and
+    the comment before the signature are candidates and the first that says something holds.
     """
     name = name or called(signature) or called(source)
-    if doc_comment and doc_comment.strip():
-        candidates = [doc_comment]
-    else:
-        linked = documented_functions(source, path, signature or "", name)
-        candidates = linked[0][2] if linked else []
-    for text in candidates:
+    linked = documented_functions(source, path, signature or "", name, doc_comment if doc_comment and doc_comment.strip() else None)
+    for text in linked[0][2] if linked else []:
         if not is_trivial(text, name, kind):
             return clean(text)
     return None

@@ -141,6 +141,28 @@ def test_candidates_are_linked_to_the_right_function():
     assert docpairs.assign([[1.0, 0.0], [0.0, 5.0]]) == [1, 0]
 
 
+def test_delivered_comments_enter_the_matching():
+    source = "/* Reads all rows twice. */\nint a() {\n}\n"
+    assert docpairs.documented_functions(source, "f.c", "int a()", "a", "Keeps the order of rows.")[0][2] == ["Keeps the order of rows."]
+    nested = "function a() {\n/* Opens the inner gate. */\nfunction b() {\n}\n}\n"
+    assert [t for _, _, t in docpairs.documented_functions(nested, "f.js", "function a()", "a", "Keeps the order.")] == [["Keeps the order."], ["/* Opens the inner gate. */"]]
+
+
+def test_functions_on_very_long_lines_and_of_long_files():
+    import time
+
+    packed = "/* Keeps the order of rows. */\nfunction a(b,c){" + "d(b&&c,e*f&g);" * 300 + "}/* Counts what is left. */function z(q){return q}"
+    got = {n: t for n, _, t in docpairs.documented_functions(packed, "a.js")}
+    assert got["a"] == ["/* Keeps the order of rows. */"] and got["z"] == ["/* Counts what is left. */"]
+    c_line = "/* Keeps the order of rows. */\nint a(int b) { " + "f(b); " * 400 + "}\n"
+    assert docpairs.documented_functions(c_line, "a.c")[0][0::2] == ("a", ["/* Keeps the order of rows. */"])
+    wide = "/** Adds. @param last x */\nint a(" + ", ".join(f"int p{k}" for k in range(90)) + ", int last) {\n}\n"
+    assert docpairs.documented_functions(wide, "a.c")[0][2]
+    began = time.time()
+    many = "".join(f"// Keeps row {k} in order.\nfunction f{k}(a) {{\n  return a;\n}}\n" for k in range(4000))
+    assert all(len(t) == 1 for _, _, t in docpairs.documented_functions(many, "a.js")) and time.time() - began < 20
+
+
 def test_documented_pairs_with_nulls_and_extra_columns(spark):
     cols = "id long, kind string, file_path string, name string, signature string, doc_comment string, source string, node_id long"
     rows = [(1, "function", None, None, None, "Keeps the order of rows.", "x", 9), (1, "function", None, None, None, "Keeps the order of rows.", "x", 9), (2, "method", "a.py", "f", None, None, "", 9), (3, "class", "a", "f", "s", "Keeps the order of rows.", "x", 9), (None, "function", "a", "f", "s", "Keeps the order of rows.", "x", 9), (4, "function", "a.py", "f", "def f():", "", "def f():\r\n    '''Keeps the order of rows.'''\r\n", 9)]
