@@ -60,12 +60,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_pairs(leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
 
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), window=None)
+    return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.round(F.max("similarity"), 6).alias("similarity"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled(table(spark, folder, "documents")).select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 
 
 P5_SQL = """

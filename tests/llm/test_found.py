@@ -334,6 +334,51 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(documents.limit(0), table).count() == 0 and leakage.leaks(documents, table.limit(0)).count() == 0
 
 
+def test_whole_items_and_weighted_similarity(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    passage = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, passage(n)) for i, n in enumerate([5, 16, 23, 40, 40])]
+    docs = [(10 + i, " ".join(passage(30) + p + passage(30))) for i, p in items] + [(99, " ".join(passage(200)))]
+    table = spark.createDataFrame([(i, " ".join(p)) for i, p in items] + [(7, ""), (8, None)], "item_id long, passage string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), table, window=None).collect()}
+    assert got == {(10 + i, i): 1.0 for i, _ in items}
+
+    import numpy as np
+
+    index = leakage.ItemIndex([(1, " ".join(items[3][1])), (2, " ".join(items[4][1] + items[3][1][:9]))], 16, 3)
+    known = leakage._Hashes()
+    hashes = lambda ws: leakage.word_hashes(" ".join(ws), known)
+    grams = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    other = items[3][1][:14] + passage(2)
+    weight = lambda g: 1 / max(1, sum(g in grams(p) for p in (items[3][1], items[4][1] + items[3][1][:9])))
+    a, b = grams(other), grams(items[3][1][:16])
+    similarity, equal = index.verify(hashes(other), np.array([0]), np.array([0]))
+    assert similarity[0] == pytest.approx(sum(map(weight, a & b)) / sum(map(weight, a | b))) and not equal[0]
+
+
+def test_repeated_words_do_not_multiply():
+    import time
+
+    import pyarrow as pa
+
+    began = time.time()
+    index = leakage.ItemIndex([(1, "la " * 400), (2, "la le " * 200)], 16, 3)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5], "text": ["la " * 20_000]})
+    rows = [r for b in leakage._search([index], iter([batch]), 0.8) for r in b.to_pylist()]
+    assert rows == [{"doc_id": 5, "item_id": 1, "windows": 19_985 * 385, "equal_windows": 19_985 * 385, "similarity": 1.0}] and time.time() - began < 2
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 16, 24, 40])
+def test_fingerprints_against_counting(window):
+    import numpy as np
+
+    words = np.random.default_rng(3).integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2)
+    bits = (words[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    want = [sum(1 << b for b in range(64) if bits[k : k + window, b].sum() * 2 > window) for k in range(61 - window)]
+    assert leakage.fingerprints(words, window).tolist() == want
+
+
 def test_fingerprints_do_not_depend_on_blocks():
     import numpy as np
 
