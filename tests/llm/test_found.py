@@ -435,6 +435,34 @@ def test_a_third_of_the_rows_garbled_alike_does_not_hide_itself(spark, language,
     assert got == {i: t for i, t in garbled.items() if not t.isascii()}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_maximal_segments_against_brute_force(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    values = [rng.choice([-4, -3, -1, 0, 1, 2, 5]) for _ in range(rng.randrange(0, 14))]
+
+    def maximal(low, high):
+        """By definition: the best segment of a range, the shortest of equals, then those left and right of it."""
+        best = max(((sum(values[i:j]), i - j, i, j) for i in range(low, high) for j in range(i + 1, high + 1)), default=(0, 0, 0, 0))
+        if best[0] <= 0:
+            return []
+        return [*maximal(low, best[2]), (best[2], best[3]), *maximal(best[3], high)]
+
+    got = encoding.maximal_segments(np.array(values, float))
+    score = lambda segments: [sum(values[i:j]) for i, j in segments]
+    assert score(got) == score(maximal(0, len(values))) and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+    assert encoding.maximal_segments(np.array([5.0, -4.0, 1.0])) == [(0, 1), (2, 3)]
+
+
+def test_text_garbled_many_times_is_restored():
+    text = bad = "Größenänderung für Schlüssel"
+    for _ in range(6):
+        bad = bad.encode("utf-8").decode("latin-1")
+    model = encoding.PairModel(*[__import__("numpy").zeros(1 << b, int) for b in (encoding.PAIR_BITS, encoding.CHAR_BITS)], 10)
+    assert encoding.repair(bad, model)[0] == text
+
+
 def test_runs_of_clean_texts_that_happen_to_be_utf8_stay():
     model = encoding.PairModel(*[__import__("numpy").zeros(1 << b, int) for b in (encoding.PAIR_BITS, encoding.CHAR_BITS)], 10)
     for text in ("L’été, l’étang, l’écran, d’Évian", "Её узел и её блок, рад, сам, так", "исправлен только счётчик", "только", "„Spaß“ und „groß“ und „süß“, „Spaß“", "│ ├─ a\n│ └─┐ b ─┤"):
