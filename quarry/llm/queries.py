@@ -44,6 +44,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("node_id")).distinct()
 
 
+def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many files each evidence marks, and in how many projects."""
+    nodes = table(spark, folder, "nodes")
+    found = handwritten.not_handwritten(nodes, table(spark, folder, "projects"))
+    own = nodes.where("kind = 'file'").select("id", "project_id").distinct()
+    return found.join(own, "id").groupBy("reason").agg(F.countDistinct("id").alias("files"), F.countDistinct("project_id").alias("projects"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.all_pairs(*neardup.near_duplicates(table(spark, folder, "nodes")))
 
@@ -70,7 +78,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_file_pairs": p2_file_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 
 
 P5_SQL = """

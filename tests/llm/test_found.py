@@ -226,7 +226,7 @@ def test_cooccurrence_against_brute_force(spark, monkeypatch):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("// Code generated by x. DO NOT EDIT.\npackage a\n", "generated"), ("# Not generated: please edit this file freely.\nx = 1\n", None), ("// Maintained by hand; the generated stubs live elsewhere.\nint a;\n", None),
-    ("// Do not edit offset values without a review.\nint a;\n", None), ("// Bundled copy of x 1.2; send patches upstream.\nint a;\n", "vendored"), ("x = [1, 2, 3]\n" * 2 + "def f():\n    return x\n", None),
+    ("// Do not edit offset values without a review.\nint a;\n", None), ("// Bundled copy of x 1.2.\nint a;\n", "vendored"), ("x = [1, 2, 3]\n" * 2 + "def f():\n    return x\n", None),
     ("T = [\n" + "  0x1f, 22, 33,\n" * 60 + "]\n", "data"), ("function a(b){" + "c(b);" * 200 + "}\n", "minified"), (None, None), ("", None), ("// x\n" + "// Code generated by x. DO NOT EDIT.\n", "generated"),
 ])
 def test_content_evidence(text, want):
@@ -240,10 +240,44 @@ def test_paths_and_attributes(spark):
             f(7, "lib/.gitattributes", "*.c linguist-generated\nkeep/** -linguist-generated\n"), f(8, "lib/z.c"), f(9, "lib/keep/z.c"), f(10, "other/z.c"), f(11, "lib/vendor/z.h"), f(12, "lib/keep/vendor/q.c"), f(13, "x.c", "int a;\n", None)]
     projects = spark.createDataFrame([(1, "/srv/vendor/p/")], "id long, root_path string")
     got = {r.id: r.reason for r in handwritten.not_handwritten(spark.createDataFrame(rows, node), projects).collect()}
-    assert got == {2: "path", 4: "path", 6: "path", 8: "declared", 11: "path"}
+    assert got == {2: "convention", 4: "convention", 6: "convention", 8: "declared", 11: "convention"}
     assert handwritten.not_handwritten(spark.createDataFrame([], node), projects).count() == 0
 
 
+def test_attribute_files_of_declared_repositories(spark):
+    node = "id long, project_id long, kind string, file_path string, source string"
+    f = lambda i, path, source="int a;\n": (i, 1, "file", path, source)
+    text = 'vendor/** linguist-vendored\nvendor/** -linguist-generated\n"with blank/*.c" linguist-generated\nbuild/ linguist-generated\nout/* linguist-generated=true\nout/keep.c !linguist-generated\nthird_party/own/** -linguist-vendored\n*.x.js linguist-generated\n# *.h linguist-generated\ndocs linguist-generated\n'
+    rows = [f(1, ".gitattributes", text), f(2, "vendor/a/b.c"), f(3, "with blank/a.c"), f(4, "build/a.c"), f(5, "out/a.c"), f(6, "out/keep.c"), f(7, "third_party/own/a.c"), f(8, "third_party/other/a.c"), f(9, "src/q.x.js"), f(10, "a.h"), f(11, "src/docs"), f(12, "out/deep/a.c")]
+    got = {r.id: r.reason for r in handwritten.not_handwritten(spark.createDataFrame(rows, node), spark.createDataFrame([(1, "/p")], "id long, root_path string")).collect()}
+    assert got == {2: "declared", 3: "declared", 5: "declared", 8: "convention", 9: "declared", 11: "declared"}
+
+
+def test_patterns_are_mined_from_declared_and_marked_files(spark):
+    node = "id long, project_id long, kind string, file_path string, source string"
+    rows, number = [], 0
+
+    def add(project, path, source="int a;\n"):
+        nonlocal number
+        number += 1
+        rows.append((number, project, "file", path, source))
+        return number
+
+    for p in range(1, 6):
+        add(p, ".gitattributes", "autocode/** linguist-generated\n")
+        for k in range(4):
+            add(p, f"autocode/{k}.c")
+            add(p, f"vendor/{k}.c", "// Snapshot of the widget library kept as is\nint a;\n")
+            add(p, f"lib/gen{k}.c", "// Code generated by x. DO NOT EDIT.\nint a;\n")
+            add(p, f"vendor/gen{k}.c", "// Code generated by x. DO NOT EDIT.\nint a;\n")
+            for j in range(4):
+                add(p, f"src/{k}{j}.c", "// Licensed under the usual terms\nint a;\n")
+    by_path, by_comment, plain = add(9, "autocode/z.c"), add(9, "src/z.c", "// Snapshot of the widget library kept as is\nint b;\n"), add(9, "src/y.c", "// Licensed under the usual terms\nint b;\n")
+    projects = spark.createDataFrame([(p, f"/p{p}") for p in range(1, 10)], "id long, root_path string")
+    got = {r.id: r.reason for r in handwritten.not_handwritten(spark.createDataFrame(rows, node), projects).collect()}
+    assert got[by_path] == "mined path" and got[by_comment] == "mined comment" and plain not in got
+
+
 @pytest.mark.parametrize(("glob", "path", "hit"), [("*.c", "a.c", True), ("a/*.c", "a/b/c.c", False), ("a/**/c.c", "a/b/d/c.c", True), ("/x", "x", True), ("d/**", "d/e/f", True), ("[ab].c", "b.c", True), ("?.c", "ab.c", False)])
 def test_globs(glob, path, hit):
     regex, base = handwritten.glob_to_regex(glob)
