@@ -9,8 +9,9 @@ union-sketch estimation, and what remains by the exact Jaccard coefficient of th
 
 Classes that agree in a list of at most ``LONG_LIST`` entries are found there; others can be similar only if
 they agree in as many longer ones, so only classes that retain so many long values are paired in long lists,
-and each pair only in the list of the rarest value it shares. What remains quadratic is a group whose
-members differ from each other and yet are nearly all similar, and there the result is.
+each pair only in the list of the rarest value it shares, and only if the values that follow it in both suffice
+for the agreement. A list is held against itself in blocks of bounded size, so no task has a whole one. What
+remains quadratic is a group whose members nearly all share a great part of their content.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ AGREEING = 14
 #: How far below the threshold the union-sketch estimate may lie: more than four standard deviations at k = 48.
 SLACK = 0.32
 LONG_LIST = 200
+#: Classes of a long list in one block, and members of a class in one block.
+BLOCK = 2_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,12 +123,20 @@ def candidates(reps: DataFrame, threshold: float, long_list: int = LONG_LIST, si
     # size - least + 1 long values of both; a pair is kept in the list of just that value.
     many = F.transform(F.filter("values", lambda v: v["listed"] > long_list), lambda v: v["value"])
     long = per_class.select("rep", "n", "least", many.alias("rest")).where(F.size("rest") >= F.col("least"))
-    keyed = long.select("rep", "n", "least", "rest", F.explode(F.slice("rest", F.lit(1), F.size("rest") - F.col("least") + 1)).alias("key"))
-    one = keyed.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("rest").alias("ra"))
-    two = keyed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("rest").alias("rb"))
-    fits = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    met = one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b", "key", "la", "lb", F.array_intersect("ra", "rb").alias("shared"))
-    rare = met.where((F.size("shared") >= F.least("la", "lb")) & (F.get("shared", F.lit(0)) == F.col("key"))).select("a", "b")
+    placed = F.posexplode(F.slice("rest", F.lit(1), F.size("rest") - F.col("least") + 1)).alias("at", "key")
+    keyed = long.select("rep", "n", "least", "rest", placed).join(shared.where(F.col("listed") > long_list).withColumnRenamed("value", "key"), "key")
+    # Blocks of a list meet each other once: the row of block i goes to the cells (i, j) and (j, i) with the lower number first.
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("listed") / BLOCK)).cast("int")
+    own = keyed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    left = own.select("key", "block", "rep", "n", "least", "rest", "at", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    right = own.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"), "rep", "n", "least", "rest", "at")
+    one = left.select("key", "block", "other", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("rest").alias("ra"), F.col("at").alias("pa"))
+    two = right.select("key", "block", "other", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("rest").alias("rb"), F.col("at").alias("pb"))
+    fits = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")) & ((F.col("block") < F.col("other")) | (F.col("a") < F.col("b")))
+    # The key and what follows it in both: if it is the first they share, they share no more than that.
+    enough = F.least(F.size("ra") - F.col("pa"), F.size("rb") - F.col("pb")) >= F.least("la", "lb")
+    met = one.join(two, ["key", "block", "other"]).where((F.col("a") != F.col("b")) & fits & enough).select("a", "b", "key", "la", "lb", F.array_intersect("ra", "rb").alias("shared"))
+    rare = met.where((F.size("shared") >= F.least("la", "lb")) & (F.get("shared", F.lit(0)) == F.col("key"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.unionByName(rare).distinct()
 
 
@@ -171,34 +182,23 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """(node_a, node_b), node_a < node_b, of all records whose classes are linked or equal."""
     a, b = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    sized = members.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep")
-    several = members.join(sized, "rep", "left_semi")
-    one, two = several.select(F.col("id").alias("x"), "rep"), several.select(F.col("id").alias("y"), "rep")
-    within = one.join(two, "rep").where("x < y").select("x", "y")
+    # A class is held against itself in blocks, so that one of very many copies is no single task.
+    sized = members.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    several = members.join(sized, "rep").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    one = several.select(F.col("id").alias("x"), "rep", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    two = several.select(F.col("id").alias("y"), "rep", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"))
+    within = one.join(two, ["rep", "block", "other"]).where("block < other or x < y").select("x", "y")
     return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b")).distinct()
 
 
 def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id, class_id, group_id, links) of every compared record: its class, its connected group, its class's links.
 
-    Groups are connected components of the links, found by large-star and small-star rounds; both keep the
-    number of edges and halve the distance to the least id, and each round is checkpointed.
+    Groups are the connected components of the links.
     """
-    from quarry.session import cut_lineage
-
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u > v")
-        floor = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        new = cut_lineage(small.select("e.*").where("u > v").distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
-        edges = new
+    from quarry.operators.graph import components
+
+    root = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node_id").alias("rep"), F.col("component").alias("root"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    root = edges.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     joined = members.join(root, "rep", "left").join(degree, "rep", "left")
     return joined.select("id", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

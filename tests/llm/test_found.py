@@ -222,6 +222,21 @@ def test_cooccurrence_against_brute_force(spark, monkeypatch):
     assert cooccurrence.together(df.limit(0)).count() == 0
 
 
+def test_significance_decides_where_conditions_are_weak(spark):
+    cols = "node_a long, node_b long, count_a long, count_b long, together long, baskets long, llr double"
+    import math
+
+    def llr(a, b, k, n):
+        cells = [(k, a * b), (a - k, a * (n - b)), (b - k, (n - a) * b), (n - a - b + k, (n - a) * (n - b))]
+        return 2 * sum(x * math.log(x * n / e) for x, e in cells if x and e)
+
+    rows = [(1, 2, 10, 12, 2, 100, llr(10, 12, 2, 100)), (3, 4, 10, 12, 6, 100, llr(10, 12, 6, 100))]
+    got = cooccurrence.beyond_chance(spark.createDataFrame(rows, cols), min_together=2, min_lift=1).collect()
+    assert [(r.node_a, r.node_b) for r in got] == [(3, 4)]
+    weakest = min(llr(a, b, k, n) for n in (8, 20, 50, 200, 1000, 20_000) for k in range(4, 40) for a in range(k, n, max(1, n // 60)) for b in range(k, n, max(1, n // 60)) if k * n >= 3 * a * b and a + b - k <= n)
+    assert weakest >= cooccurrence.SIGNIFICANT
+
+
 # --- 6: files not written by hand ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize(("text", "want"), [
@@ -288,6 +303,7 @@ def test_globs(glob, path, hit):
 
 @pytest.mark.parametrize("long_list", [2, 200])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, long_list):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
     monkeypatch.setattr(neardup.candidates, "__defaults__", (long_list, *neardup.candidates.__defaults__[1:]))
     rng = random.Random(8)
     words = [f"w{i}" for i in range(300)]
@@ -307,6 +323,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, long_list):
     assert len({r.group_id for r in neardup.groups(links, members).collect()}) <= len(sets)
 
 
+def test_a_hot_list_is_spread_over_blocks(spark, monkeypatch):
+    """Records that share boilerplate and are not similar meet in long lists; they are told apart there, and copies are kept."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(40)]
+    texts = [" ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(300)]
+    texts += [texts[5].rsplit(" ", 3)[0] + " x y z", texts[7], texts[7]]
+    df = spark.createDataFrame([(i, "function", t) for i, t in enumerate(texts)], "id long, kind string, source string")
+    got = {tuple(r) for r in neardup.all_pairs(*neardup.near_duplicates(df)).collect()}
+    assert got == {(5, 300), (7, 301), (7, 302), (301, 302)}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id long, kind string, source string")
     assert neardup.all_pairs(*neardup.near_duplicates(df)).count() == 0
