@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.order import places
 from quarry.session import cut_lineage
 
 
@@ -239,13 +240,8 @@ def _move_nodes(pdf: pd.DataFrame, sweeps: int, gamma: float) -> pd.DataFrame:
 
 
 def _ranked(members: DataFrame) -> DataFrame:
-    """(project_id, node_id, rank): the place, from 1, of each node in its project's order of ids, counted by ranges of ids."""
-    spread = members.repartitionByRange("project_id", "node_id").sortWithinPartitions("project_id", "node_id")
-    placed = cut_lineage(spread.select("project_id", "node_id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
-    counts = placed.groupBy("project_id", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy("project_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("project_id", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(offsets, ["project_id", "_part"]).select("project_id", "node_id", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("rank"))
+    """(project_id, node_id, rank): the place, from 1, of each node in its project's order of ids."""
+    return places(members, "project_id", F.col("node_id")).withColumnRenamed("place", "rank")
 
 
 #: Places of one project's order that share a bucket of the running loads.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,17 @@ def symbol_everywhere(nodes: DataFrame, name: str) -> DataFrame:
     return found.join(projects)
 
 
+def shared_names(nodes: DataFrame) -> DataFrame:
+    """(name, projects, nodes) of the names that several projects have."""
+    return nodes.where("name is not null").groupBy("name").agg(F.countDistinct("project_id").alias("projects"), F.count("*").alias("nodes")).where("projects > 1")
+
+
+def status(nodes: DataFrame, edges: DataFrame, commits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(metric, value): the sizes of the tables, and how many nodes have no vector."""
+    parts = [rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value") for name, rows in (("nodes", nodes), ("edges", edges), ("commits", commits), ("vectors", vectors), ("pending", pending(nodes, vectors)))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def project_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, metric, value): a count for each kind of node, all nodes, edges and distinct files."""
     per_kind = nodes.groupBy("project_id", F.col("kind").alias("metric")).agg(F.count("*").alias("value"))

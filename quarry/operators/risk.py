@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.order import places
+
 # Keywords of a change's intent and the share of coupling risk it keeps, in order of precedence.
 INTENTS = {
     "documentation": (0.15, ("doc", "document", "comment", "readme", "typo", "spelling", "javadoc", "markdown", "wiki")),
@@ -17,6 +19,14 @@ INTENTS = {
     "performance": (1.0, ("performance", "perf", "optimize", "speed", "latency", "slow", "cache", "memory", "throughput", "alloc")),
 }
 
+# Strategies that are false alarms where the stated intent of a change is of a category.
+PRUNED = {
+    "documentation": ("account_change_coupling", "add_test_contract", "add_self_test", "interface_segregation", "extract_interface", "isolate_call_chain"),
+    "logging": ("account_change_coupling", "add_test_contract", "add_self_test"),
+    "formatting": ("account_change_coupling", "add_test_contract", "add_self_test", "interface_segregation", "extract_interface", "divide_and_conquer", "refactor_hotspot", "partition_changes", "isolate_call_chain"),
+    "refactor": ("add_test_contract", "add_self_test"),
+}
+
 
 def intent(text: Column) -> Column:
     """(intent, confidence, multiplier): the category with the most of its keywords in the text; the first of equals."""
@@ -40,7 +50,8 @@ def node_features(nodes: DataFrame, edges: DataFrame, links: DataFrame, ranks: D
     """One row a node: pagerank, files and untested nodes among its callers within two hops, churn, complexity, coupling.
 
     Callers are found for all nodes at once by two joins on the call edges; the second hop starts from distinct
-    pairs of the first. ``coupling`` has (node_id, couplings, strength, max_co_changes).
+    pairs of the first. ``coupling`` has (node_id, couplings, strength, max_co_changes); functions and methods have the
+    coupling of their file's node, if there is one.
     """
     calls = edges.where("kind = 'calls'").select(F.col("source_node_id").alias("caller"), F.col("target_node_id").alias("node_id")).distinct()
     second = calls.select("node_id", F.col("caller").alias("middle")).join(calls.select(F.col("node_id").alias("middle"), "caller"), "middle").select("caller", "node_id")
@@ -51,18 +62,23 @@ def node_features(nodes: DataFrame, edges: DataFrame, links: DataFrame, ranks: D
     churned = links.groupBy("node_id").agg(F.countDistinct("hash").alias("git_churn"))
     own = tested.select(F.col("caller").alias("node_id"), F.lit(True).alias("self_tested"))
     rows = nodes.select("project_id", F.col("id").alias("node_id"), "kind", "name", "file_path", F.coalesce("complexity", F.lit(1)).alias("complexity"))
-    for part in (ranks.select("node_id", "pagerank"), around, churned, own, coupling.select("node_id", F.col("strength").alias("change_coupling_count"))):
+    files = nodes.where("kind = 'file'").groupBy("project_id", "file_path").agg(F.min("id").alias("_file"))
+    rows = rows.join(files, ["project_id", "file_path"], "left").withColumn("_coupled", F.when(F.col("kind").isin("function", "method"), F.coalesce("_file", "node_id")).otherwise(F.col("node_id")))
+    rows = rows.join(coupling.select(F.col("node_id").alias("_coupled"), F.col("strength").alias("change_coupling_count")), "_coupled", "left").drop("_coupled", "_file")
+    for part in (ranks.select("node_id", "pagerank"), around, churned, own):
         rows = rows.join(part, "node_id", "left")
     zero = {"pagerank": 0.0, "blast_radius_files": 0, "untested_dependents": 0, "git_churn": 0, "change_coupling_count": 0, "self_tested": False}
     return rows.fillna(zero)
 
 
 def baselines(nodes: DataFrame, ranks: DataFrame, coupling: DataFrame) -> DataFrame:
-    """Per project: greatest pagerank and complexity, files, greatest co-change, and the pagerank at 80 % of the falling order."""
-    shape = nodes.groupBy("project_id").agg(F.greatest(F.max("complexity"), F.lit(1)).alias("max_complexity"), F.greatest(F.countDistinct("file_path"), F.lit(1)).alias("total_files"))
-    # A sketch of bounded size: exact up to 100,000 nodes of a project, within a hundred-thousandth of the ranks beyond.
-    place = F.percentile_approx("pagerank", 0.2, 100_000)
-    top = ranks.groupBy("project_id").agg(F.greatest(F.max("pagerank"), F.lit(0.001)).alias("max_pagerank"), F.greatest(place, F.lit(0.001)).alias("pagerank_percentile_80"))
+    """Per project: greatest pagerank and complexity, file nodes, greatest co-change, and the pagerank at 80 % of the falling order."""
+    files = F.countDistinct(F.when(F.col("kind") == "file", F.col("file_path")))
+    shape = nodes.groupBy("project_id").agg(F.greatest(F.max("complexity"), F.lit(1)).alias("max_complexity"), F.greatest(files, F.lit(1)).alias("total_files"))
+    sizes = ranks.groupBy("project_id").agg(F.count("*").alias("n"))
+    placed = places(ranks.select("project_id", "node_id", "pagerank"), "project_id", F.col("pagerank").desc(), F.col("node_id"))
+    at = placed.join(sizes, "project_id").where(F.col("place") == F.floor(F.col("n") * 0.8) + 1).select("project_id", F.greatest("pagerank", F.lit(0.001)).alias("pagerank_percentile_80"))
+    top = ranks.groupBy("project_id").agg(F.greatest(F.max("pagerank"), F.lit(0.001)).alias("max_pagerank")).join(at, "project_id", "left")
     most = coupling.groupBy("project_id").agg(F.max("co_changes").alias("max_co_changes"))
     joined = shape.join(top, "project_id", "left").join(most, "project_id", "left")
     return joined.fillna({"max_pagerank": 0.001, "pagerank_percentile_80": 0.05, "max_co_changes": 0})
@@ -111,22 +127,28 @@ def confidence(nodes: DataFrame, commits: DataFrame) -> DataFrame:
     return tests.join(history, "project_id", "left").select("project_id", (1.0 - F.when(F.col("history").isNull(), 0.3).otherwise(0.0) - F.when(F.col("tests") == 1, 0.0).otherwise(0.2)).alias("confidence"))
 
 
-def strategies(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """(project_id, node_id, strategy, delta, priority): what would lower the risk of each node, by rules on its features."""
+def strategies(rows: DataFrame, base: DataFrame, interfaces: DataFrame, alternatives: DataFrame, central: DataFrame) -> DataFrame:
+    """(project_id, node_id, strategy, delta, priority): what would lower the risk of each node, by rules on its features.
+
+    ``rows`` are features with ``score``; ``interfaces``, ``alternatives`` and ``central`` (callers) have (node_id) of the nodes
+    that have any. A node of no name has no interface to extract or extend.
+    """
     c = F.col
     joined = rows.join(base, "project_id")
-    central = c("pagerank") / c("max_pagerank")
-    weight = c("complexity") / c("max_complexity")
+    for part, name in ((interfaces, "_interfaces"), (alternatives, "_alternatives"), (central, "_central")):
+        joined = joined.join(part.select("node_id").distinct().withColumn(name, F.lit(True)), "node_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    rank, weight = c("pagerank") / c("max_pagerank"), c("complexity") / c("max_complexity")
     joint = F.when(c("max_co_changes") > 0, F.least(c("change_coupling_count") / F.nullif(F.least(c("max_co_changes").cast("double"), F.lit(20.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    exposed = ((rank > 0.3) | (c("blast_radius_files") > 5)) & c("name").isNotNull()
+    churned = F.round(0.15 * F.least(c("git_churn") / 15, F.lit(1.0)) * 0.4, 3)
+    untested = F.when(c("blast_radius_files") > 0, F.round(0.2 * c("untested_dependents") / F.nullif(c("blast_radius_files"), F.lit(0).cast("long")), 3)).otherwise(0.0)
     found = [
-        ("extract_interface", (central > 0.3) | (c("blast_radius_files") > 5), F.lit(0.06)),
-        ("add_test_contract", c("untested_dependents") > 0, F.round(0.2 * c("untested_dependents") / F.greatest(c("blast_radius_files"), F.lit(1)), 3)),
-        ("add_self_test", ~c("self_tested") & (c("score") >= 0.4), F.lit(0.1)),
-        ("partition_changes", c("git_churn") > 7, F.round(0.15 * F.least(c("git_churn") / 15, F.lit(1.0)) * 0.4, 3)),
-        ("divide_and_conquer", weight > 0.5, F.round(0.1 * F.least(weight, F.lit(1.0)) / 2, 3)),
-        ("isolate_call_chain", central > 0.2, F.lit(0.07)),
-        ("account_change_coupling", joint > 0, F.round(0.15 * joint, 3)),
-    ]
+        ("interface_segregation", exposed & c("_interfaces"), F.lit(0.08)), ("extract_interface", exposed & ~c("_interfaces"), F.lit(0.06)),
+        ("add_test_contract", c("untested_dependents") > 0, untested), ("add_self_test", ~c("self_tested") & (c("score") >= 0.4), F.lit(0.1)),
+        ("refactor_hotspot", (c("git_churn") > 7) & c("_alternatives"), churned), ("partition_changes", (c("git_churn") > 7) & ~c("_alternatives"), churned),
+        ("divide_and_conquer", weight > 0.5, F.round(0.1 * F.least(weight, F.lit(1.0)) / 2, 3)), ("isolate_call_chain", (rank > 0.2) & c("_central"), F.lit(0.07)),
+        ("account_change_coupling", F.round(0.15 * joint, 3) > 0, F.round(0.15 * joint, 3)),
+    ]
     listed = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("strategy"), delta.cast("double").alias("delta"))) for name, when, delta in found]))
     out = joined.select("project_id", "node_id", F.explode(listed).alias("s")).select("project_id", "node_id", "s.*")
     return out.withColumn("priority", F.when(F.col("delta") >= 0.10, "HIGH").when(F.col("delta") >= 0.05, "MEDIUM").otherwise("LOW"))
@@ -142,10 +164,18 @@ def guarded_files(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, least_ra
 
 
 def alternatives(nodes: DataFrame, limit: int = 5) -> DataFrame:
-    """(node_id, alternative_id, rank): other functions of the same name or of it with ``_alt`` or ``_v2``, names of four bytes or more."""
-    rows = nodes.where(F.col("kind").isin("function", "method") & (F.octet_length("name") >= 4)).select("id", "name")
-    wanted = rows.select(F.col("id").alias("node_id"), F.explode(F.array(F.col("name"), F.concat("name", F.lit("_alt")), F.concat("name", F.lit("_v2")))).alias("name"))
-    found = wanted.join(rows.select(F.col("id").alias("alternative_id"), "name"), "name").where("node_id <> alternative_id").select("node_id", "alternative_id").distinct()
+    """(node_id, alternative_id, rank): other functions named like a node's name without ``_alt``, ``_v2`` and ``_old``, or with one of the first two.
+
+    Nodes of a name below four bytes have none. Of each name only its ``limit`` + 1 least ids can be listed, so names
+    are cut to these before they meet.
+    """
+    rows = nodes.where(F.col("kind").isin("function", "method") & F.col("name").isNotNull()).select("id", "name").distinct()
+    base = F.col("name")
+    for ending in ("_alt", "_v2", "_old"):
+        base = F.regexp_replace(base, f"({ending})+$", "")
+    wanted = rows.where(F.octet_length("name") >= 4).select(F.col("id").alias("node_id"), F.explode(F.array(base, F.concat(base, F.lit("_alt")), F.concat(base, F.lit("_v2")))).alias("name"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("_n") <= limit + 1).select(F.col("id").alias("alternative_id"), "name")
+    found = wanted.join(first, "name").where("node_id <> alternative_id").select("node_id", "alternative_id").distinct()
     order = Window.partitionBy("node_id").orderBy("alternative_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -96,10 +96,13 @@ def snapshot_changes(rows: DataFrame, deliveries: DataFrame, chunk_rows: int = C
     """
     from quarry.session import stored
 
-    named = chunked(latest_rows(rows), chunk_rows)
+    pairs = complete_pairs(deliveries)
+    ends = F.explode(F.array("snapshot_no", "previous_no")).alias("snapshot_no")
+    # Deliveries that are compared with none are left out before anything is shuffled.
+    used = rows.join(pairs.select("project_id", ends).distinct(), ["project_id", "snapshot_no"], "left_semi")
+    named = chunked(latest_rows(used), chunk_rows)
     # The range borders are sampled, so the cut rows are written once and both uses read the same cut.
     cut = stored(named)
-    pairs = complete_pairs(deliveries)
     sums = cut.groupBy("project_id", "part", "chunk", "snapshot_no").agg(
         F.bit_xor("h1").alias("d1"), F.bit_xor("h2").alias("d2"), F.count("*").alias("n")
     )

@@ -116,15 +116,11 @@ def project_stats(spark: SparkSession, folder: str) -> DataFrame:
     return relational.project_stats(model.nodes(spark, folder), model.edges(spark, folder))
 
 
-@query(f"""WITH {WITH_N}, {WITH_E}, {WITH_C} SELECT (SELECT count(*) FROM N) AS nodes, (SELECT count(*) FROM E) AS edges, (SELECT count(*) FROM C) AS commits,
-(SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM N WHERE id NOT IN (SELECT vec_id FROM embeddings)) AS pending""")
+@query(f"""WITH {WITH_N}, {WITH_E}, {WITH_C} SELECT 'nodes' AS metric, count(*) AS value FROM N UNION ALL SELECT 'edges', count(*) FROM E UNION ALL SELECT 'commits', count(*) FROM C
+UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'pending', count(*) FROM N WHERE id NOT IN (SELECT vec_id FROM embeddings)""")
 def status(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, vectors = model.nodes(spark, folder), table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"))
-    counts = [x.agg(F.count("*").alias(n)) for x, n in ((nodes, "nodes"), (model.edges(spark, folder), "edges"), (model.commits(spark, folder), "commits"), (vectors, "vectors"), (relational.pending(nodes, vectors), "pending"))]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.join(c)
-    return out
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"))
+    return relational.status(model.nodes(spark, folder), model.edges(spark, folder), model.commits(spark, folder), vectors)
 
 
 @query(f"""WITH {WITH_N}, {WITH_L}, s AS (SELECT project_id, id, name, kind, file_path, coalesce(complexity, 1) AS complexity FROM N WHERE kind IN ('function', 'method', 'class', 'struct')),
@@ -249,11 +245,14 @@ def search_symbol(spark: SparkSession, folder: str) -> DataFrame:
     return relational.search_symbol(model.nodes(spark, folder), "render").select("id", "project_id", "name", "match")
 
 
-@query(f"""WITH {WITH_N}, s AS (SELECT DISTINCT name FROM N WHERE name IS NOT NULL), f AS (SELECT name, count(DISTINCT project_id) AS projects, count(*) AS nodes FROM N WHERE name IS NOT NULL GROUP BY 1)
-SELECT name, projects, nodes FROM f WHERE projects > 1""")
+@query(f"""WITH {WITH_N}, f AS (SELECT * FROM N WHERE name = 'run' OR qualified_name ILIKE '%::run') SELECT id, project_id, name, (SELECT count(DISTINCT project_id) FROM f) AS projects FROM f""")
+def symbol_everywhere(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.symbol_everywhere(model.nodes(spark, folder), "run").select("id", "project_id", "name", "projects")
+
+
+@query(f"WITH {WITH_N} SELECT name, count(DISTINCT project_id) AS projects, count(*) AS nodes FROM N WHERE name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT project_id) > 1")
 def symbols_everywhere(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = model.nodes(spark, folder, "id", "project_id", "name").where("name is not null")
-    return nodes.groupBy("name").agg(F.countDistinct("project_id").alias("projects"), F.count("*").alias("nodes")).where("projects > 1")
+    return relational.shared_names(model.nodes(spark, folder))
 
 
 @query(f"""WITH {WITH_E} , k AS (SELECT source_node_id AS a, target_node_id AS b, coalesce(TRY_CAST(metadata ->> '$.jaccard_score' AS DOUBLE), 0) AS s FROM E WHERE kind = 'similar_to')
@@ -390,7 +389,9 @@ def pagerank_top(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("project_id", "node_id", F.round("pagerank", 6).alias("pagerank"), (F.col("pagerank") > 0.05).alias("is_hub"), "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {WITH_E}, A AS (SELECT source_node_id AS s, target_node_id AS d FROM E WHERE kind IN ('imports', 'calls', 'references', 'depends_on')),
+B AS (SELECT s, d FROM A UNION SELECT d, s FROM A), T AS (SELECT s AS node_id, s AS other FROM B UNION SELECT T.node_id, B.d FROM T JOIN B ON B.s = T.other)
+SELECT node_id, min(other) AS component FROM T GROUP BY 1""")
 def graph_components(spark: SparkSession, folder: str) -> DataFrame:
     return graph.components(graph.dependency_edges(model.edges(spark, folder)).select("src", "dst"))
 
@@ -493,16 +494,16 @@ def search_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "node_id", F.round("similarity", 5).alias("similarity"), "rank")
 
 
-@query(f"""WITH {WITH_BM25}, {WITH_COSINE.format(where='q.vec_id IN (SELECT id FROM projects)')},
+@query(f"""{WITH_RANKS}, {WITH_BM25}, {WITH_COSINE.format(where='q.vec_id IN (SELECT id FROM projects)')},
 lists AS (SELECT query_id, doc AS item, rank FROM B WHERE rank <= 20 UNION ALL SELECT query_id, node_id, rank FROM Y WHERE rank <= 20 AND similarity > 0),
-f AS (SELECT query_id, item, sum(1.0 / (60 + rank)) AS score FROM lists GROUP BY 1, 2)
+f AS (SELECT query_id, item, sum(1.0 / (60 + rank)) * (1 + 5 * coalesce(any_value(pr), 0)) AS score FROM lists LEFT JOIN r{PAGERANK_ROUNDS} r ON r.id = item GROUP BY 1, 2)
 SELECT query_id, item, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item) AS rank FROM f) WHERE rank <= 20""")
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     text = search.bm25(table(spark, folder, "documents"), "doc_id", "text", _project_queries(spark, folder)).withColumnRenamed("doc", "item")
     rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
     asked = rows.join(table(spark, folder, "projects").select(F.col("id").alias("node_id")), "node_id").select(F.col("node_id").alias("query_id"), "embedding")
     vectors = search.vector_search(rows, asked, 20).withColumnRenamed("node_id", "item")
-    return search.fuse([text, vectors]).select("query_id", "item", F.round("score", 6).alias("score"), "rank")
+    return search.fuse([text, vectors], _ranks(spark, folder)).select("query_id", "item", F.round("score", 6).alias("score"), "rank")
 
 
 # --- similarity ------------------------------------------------------------------------------------------------------------
@@ -552,10 +553,10 @@ def plan_risk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("plan_id", "targets", F.round("score", 6).alias("score"), F.round("top_score", 6).alias("top_score"), "level")
 
 
-def _risk_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _risk_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges, links, ranks = model.nodes(spark, folder), model.edges(spark, folder), model.links(spark, folder), _ranks(spark, folder)
     coupling = relational.change_coupling(nodes, links, min_co_changes=2)
-    return risk.node_features(nodes, edges, links, ranks, relational.coupling_strength(coupling)), risk.baselines(nodes, ranks, coupling)
+    return risk.node_features(nodes, edges, links, ranks, relational.coupling_strength(coupling)), risk.baselines(nodes, ranks, coupling), ranks
 
 
 WITH_FEATURES = f"""{WITH_RANKS}, {WITH_N}, {WITH_L}, {WITH_COUPLING},
@@ -565,8 +566,9 @@ TT AS (SELECT DISTINCT target_node_id AS id FROM E WHERE kind = 'test_of'),
 AR AS (SELECT W2.node_id, count(DISTINCT c.file_path) AS blast, count(*) FILTER (TT.id IS NULL) AS untested FROM W2 JOIN N c ON c.id = W2.caller LEFT JOIN TT ON TT.id = W2.caller GROUP BY 1),
 CH AS (SELECT node_id, count(DISTINCT hash) AS churn FROM L GROUP BY 1),
 CS AS (SELECT node_id, sum(c) AS strength FROM (SELECT source_node_id AS node_id, target_node_id AS o, max(co_changes) AS c FROM (SELECT source_node_id, target_node_id, co_changes FROM P UNION ALL SELECT target_node_id, source_node_id, co_changes FROM P) GROUP BY 1, 2) GROUP BY 1),
-FT AS (SELECT N.project_id, N.id AS node_id, coalesce(N.complexity, 1) AS cx, pr, coalesce(blast, 0) AS blast, coalesce(untested, 0) AS untested, coalesce(churn, 0) AS churn, TT.id IS NOT NULL AS self, coalesce(strength, 0) AS cc FROM N JOIN r{PAGERANK_ROUNDS} r ON r.id = N.id LEFT JOIN AR ON AR.node_id = N.id LEFT JOIN CH ON CH.node_id = N.id LEFT JOIN CS ON CS.node_id = N.id LEFT JOIN TT ON TT.id = N.id),
-BS AS (SELECT project_id, greatest(max(complexity), 1) AS mx, greatest(count(DISTINCT file_path), 1) AS files FROM N GROUP BY 1),
+FL AS (SELECT project_id, file_path, min(id) AS file_id FROM N WHERE kind = 'file' GROUP BY 1, 2),
+FT AS (SELECT N.project_id, N.id AS node_id, N.name, coalesce(N.complexity, 1) AS cx, pr, coalesce(blast, 0) AS blast, coalesce(untested, 0) AS untested, coalesce(churn, 0) AS churn, TT.id IS NOT NULL AS self, coalesce(strength, 0) AS cc FROM N JOIN r{PAGERANK_ROUNDS} r ON r.id = N.id LEFT JOIN AR ON AR.node_id = N.id LEFT JOIN CH ON CH.node_id = N.id LEFT JOIN FL ON FL.project_id = N.project_id AND FL.file_path = N.file_path LEFT JOIN CS ON CS.node_id = CASE WHEN N.kind IN ('function', 'method') THEN coalesce(file_id, N.id) ELSE N.id END LEFT JOIN TT ON TT.id = N.id),
+BS AS (SELECT project_id, greatest(max(complexity), 1) AS mx, greatest(count(DISTINCT file_path) FILTER (kind = 'file'), 1) AS files FROM N GROUP BY 1),
 MP AS (SELECT project_id, greatest(max(pr), 0.001) AS mp FROM r{PAGERANK_ROUNDS} GROUP BY 1), MC AS (SELECT project_id, max(co_changes) AS mc FROM P GROUP BY 1)"""
 
 
@@ -574,15 +576,37 @@ MP AS (SELECT project_id, greatest(max(pr), 0.001) AS mp FROM r{PAGERANK_ROUNDS}
  + 0.15 * CASE WHEN blast > 0 THEN untested / blast WHEN self THEN 0 ELSE 0.5 END + 0.10 * least(cx / mx, 1) + 0.15 * CASE WHEN coalesce(mc, 0) > 0 THEN least(cc / least(mc, 20), 1) ELSE 0 END, 5) AS score
 FROM FT JOIN BS USING (project_id) JOIN MP USING (project_id) LEFT JOIN MC USING (project_id)""")
 def node_risk(spark: SparkSession, folder: str) -> DataFrame:
-    features, base = _risk_parts(spark, folder)
+    features, base, _ = _risk_parts(spark, folder)
     return risk.node_risk(features, base).select("project_id", "node_id", F.round("score", 5).alias("score"))
 
 
-@query()
+WITH_ALTERNATIVES = """AF AS (SELECT DISTINCT id, name FROM N WHERE kind IN ('function', 'method') AND name IS NOT NULL),
+AB AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(name, '(_alt)+$', ''), '(_v2)+$', ''), '(_old)+$', '') AS base FROM AF WHERE strlen(name) >= 4),
+AW AS (SELECT id, base AS name FROM AB UNION ALL SELECT id, base || '_alt' FROM AB UNION ALL SELECT id, base || '_v2' FROM AB),
+AJ AS (SELECT DISTINCT AW.id AS node_id, AF.id AS alternative_id FROM AW JOIN AF ON AF.name = AW.name AND AF.id <> AW.id)"""
+WITH_INTERFACES = """IU AS (SELECT source_node_id AS o, target_node_id AS i FROM E WHERE kind IN ('implements', 'extends')),
+IR AS (SELECT o AS node_id, i AS interface_id FROM IU UNION SELECT E.target_node_id, i FROM E JOIN IU ON IU.o = E.source_node_id WHERE E.kind = 'contains')"""
+WITH_CENTRAL = f"""PC AS (SELECT project_id, greatest(max(CASE WHEN rn = floor(n * 0.8) + 1 THEN pr END), 0.001) AS least FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY pr DESC, id) AS rn FROM r{PAGERANK_ROUNDS}) GROUP BY 1),
+CC AS (SELECT DISTINCT E.target_node_id AS node_id, E.source_node_id AS caller_id FROM E JOIN r{PAGERANK_ROUNDS} r ON r.id = E.source_node_id JOIN PC ON PC.project_id = r.project_id WHERE E.kind = 'calls' AND r.pr >= least)"""
+_JOINT = "CASE WHEN coalesce(mc, 0) > 0 THEN least(cc / least(mc, 20), 1) ELSE 0 END"
+
+
+@query(f"""{WITH_FEATURES}, {WITH_ALTERNATIVES}, {WITH_INTERFACES}, {WITH_CENTRAL}, S AS (SELECT FT.*, pr / mp AS central, cx / mx AS weight, {_JOINT} AS joint, node_id IN (SELECT node_id FROM IR) AS has_i, node_id IN (SELECT node_id FROM AJ) AS has_a, node_id IN (SELECT node_id FROM CC) AS has_c,
+0.25 * least(ln(1 + pr * 100) / ln(1 + mp * 100), 1) + 0.20 * least(blast / least(greatest(files * 0.3, 5), 20), 1) + 0.15 * least(churn / 15, 1) + 0.15 * CASE WHEN blast > 0 THEN untested / blast WHEN self THEN 0 ELSE 0.5 END + 0.10 * least(cx / mx, 1) + 0.15 * {_JOINT} AS score
+FROM FT JOIN BS USING (project_id) JOIN MP USING (project_id) LEFT JOIN MC USING (project_id)),
+X AS (SELECT project_id, node_id, CASE WHEN has_i THEN 'interface_segregation' ELSE 'extract_interface' END AS strategy, CASE WHEN has_i THEN 0.08 ELSE 0.06 END::DOUBLE AS delta FROM S WHERE (central > 0.3 OR blast > 5) AND name IS NOT NULL
+UNION ALL SELECT project_id, node_id, 'add_test_contract', CASE WHEN blast > 0 THEN round(0.2::DOUBLE * untested / blast, 3) ELSE 0 END FROM S WHERE untested > 0
+UNION ALL SELECT project_id, node_id, 'add_self_test', 0.1 FROM S WHERE NOT self AND score >= 0.4
+UNION ALL SELECT project_id, node_id, CASE WHEN has_a THEN 'refactor_hotspot' ELSE 'partition_changes' END, round(0.15::DOUBLE * least(churn / 15, 1) * 0.4, 3) FROM S WHERE churn > 7
+UNION ALL SELECT project_id, node_id, 'divide_and_conquer', round(0.1::DOUBLE * least(weight, 1) / 2, 3) FROM S WHERE weight > 0.5
+UNION ALL SELECT project_id, node_id, 'isolate_call_chain', 0.07 FROM S WHERE central > 0.2 AND has_c
+UNION ALL SELECT project_id, node_id, 'account_change_coupling', round(0.15::DOUBLE * joint, 3) FROM S WHERE round(0.15::DOUBLE * joint, 3) > 0)
+SELECT project_id, node_id, strategy, delta, CASE WHEN delta >= 0.10 THEN 'HIGH' WHEN delta >= 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM X""")
 def risk_strategies(spark: SparkSession, folder: str) -> DataFrame:
-    features, base = _risk_parts(spark, folder)
+    features, base, ranks = _risk_parts(spark, folder)
+    nodes, edges = model.nodes(spark, folder), model.edges(spark, folder)
     scored = features.join(risk.node_risk(features, base).select("node_id", "score"), "node_id")
-    return risk.strategies(scored, base)
+    return risk.strategies(scored, base, risk.interfaces(edges), risk.alternatives(nodes), risk.central_callers(edges, ranks, base))
 
 
 @query(f"""WITH {WITH_N}, {WITH_C}, t AS (SELECT project_id, max(CAST(kind = 'test' AS INTEGER)) AS tests FROM N GROUP BY 1), h AS (SELECT DISTINCT project_id FROM C)
@@ -591,11 +615,11 @@ def confidence(spark: SparkSession, folder: str) -> DataFrame:
     return risk.confidence(model.nodes(spark, folder), model.commits(spark, folder)).select("project_id", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
 
 
-@query(f"""{WITH_RANKS}, {WITH_N}, {WITH_L}, {WITH_COUPLING}, BS AS (SELECT project_id, greatest(max(complexity), 1) AS max_complexity, greatest(count(DISTINCT file_path), 1) AS total_files FROM N GROUP BY 1),
-MP AS (SELECT project_id, greatest(max(pr), 0.001) AS max_pagerank, greatest(quantile_disc(pr, 0.2), 0.001) AS pagerank_percentile_80 FROM r{PAGERANK_ROUNDS} GROUP BY 1), MC AS (SELECT project_id, max(co_changes) AS mc FROM P GROUP BY 1)
+@query(f"""{WITH_RANKS}, {WITH_N}, {WITH_L}, {WITH_COUPLING}, BS AS (SELECT project_id, greatest(max(complexity), 1) AS max_complexity, greatest(count(DISTINCT file_path) FILTER (kind = 'file'), 1) AS total_files FROM N GROUP BY 1),
+MP AS (SELECT project_id, greatest(max(pr), 0.001) AS max_pagerank, greatest(max(CASE WHEN rn = floor(n * 0.8) + 1 THEN pr END), 0.001) AS pagerank_percentile_80 FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY pr DESC, id) AS rn FROM r{PAGERANK_ROUNDS}) GROUP BY 1), MC AS (SELECT project_id, max(co_changes) AS mc FROM P GROUP BY 1)
 SELECT project_id, max_complexity, total_files, round(max_pagerank, 6) AS max_pagerank, round(pagerank_percentile_80, 6) AS pagerank_percentile_80, coalesce(mc, 0) AS max_co_changes FROM BS JOIN MP USING (project_id) LEFT JOIN MC USING (project_id)""")
 def risk_baselines(spark: SparkSession, folder: str) -> DataFrame:
-    _, base = _risk_parts(spark, folder)
+    _, base, _ = _risk_parts(spark, folder)
     return base.select("project_id", F.col("max_complexity").cast("long").alias("max_complexity"), F.col("total_files").cast("long").alias("total_files"), F.round("max_pagerank", 6).alias("max_pagerank"), F.round("pagerank_percentile_80", 6).alias("pagerank_percentile_80"), "max_co_changes")
 
 
@@ -606,10 +630,7 @@ def guarded_files(spark: SparkSession, folder: str) -> DataFrame:
     return risk.guarded_files(model.nodes(spark, folder), model.edges(spark, folder), _ranks(spark, folder)).withColumn("pagerank", F.round("pagerank", 6))
 
 
-@query(f"""WITH {WITH_N}, f AS (SELECT id, name FROM N WHERE kind IN ('function', 'method') AND strlen(name) >= 4),
-w AS (SELECT id, name FROM f UNION ALL SELECT id, name || '_alt' FROM f UNION ALL SELECT id, name || '_v2' FROM f),
-j AS (SELECT DISTINCT w.id AS node_id, f.id AS alternative_id FROM w JOIN f ON f.name = w.name AND f.id <> w.id)
-SELECT node_id, alternative_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY alternative_id) AS rank FROM j) WHERE rank <= 5""")
+@query(f"""WITH {WITH_N}, {WITH_ALTERNATIVES} SELECT node_id, alternative_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY alternative_id) AS rank FROM AJ) WHERE rank <= 5""")
 def alternative_implementations(spark: SparkSession, folder: str) -> DataFrame:
     return risk.alternatives(model.nodes(spark, folder))
 
@@ -619,14 +640,13 @@ def extraction_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return risk.extraction_candidates(model.nodes(spark, folder), model.edges(spark, folder))
 
 
-@query()
+@query(f"{WITH_RANKS}, {WITH_CENTRAL} SELECT node_id, caller_id FROM CC")
 def central_callers(spark: SparkSession, folder: str) -> DataFrame:
-    _, base = _risk_parts(spark, folder)
-    return risk.central_callers(model.edges(spark, folder), _ranks(spark, folder), base)
+    _, base, ranks = _risk_parts(spark, folder)
+    return risk.central_callers(model.edges(spark, folder), ranks, base)
 
 
-@query(f"""WITH {WITH_E}, u AS (SELECT source_node_id AS o, target_node_id AS i FROM E WHERE kind IN ('implements', 'extends'))
-SELECT o AS node_id, i AS interface_id FROM u UNION SELECT E.target_node_id, i FROM E JOIN u ON u.o = E.source_node_id WHERE E.kind = 'contains'""")
+@query(f"WITH {WITH_E}, {WITH_INTERFACES} SELECT node_id, interface_id FROM IR")
 def related_interfaces(spark: SparkSession, folder: str) -> DataFrame:
     return risk.interfaces(model.edges(spark, folder))
 
@@ -647,7 +667,19 @@ def extracted_routes(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract_routes(_files(spark, folder))
 
 
-@query()
+_FOLDER, _EXT = r"regexp_extract(file_path, '^(.*)/[^/]*$', 1)", r"lower(regexp_extract(file_path, '\.([A-Za-z0-9+]+)$', 1))"
+
+
+@query(rf"""WITH M AS (SELECT DISTINCT id, project_id, replace(file_path, '\', '/') AS file_path, kind, name, is_exported, source FROM nodes WHERE kind IN ('function', 'method')),
+R AS (SELECT DISTINCT project_id, id, file_path, unnest(regexp_extract_all(source, '((?:\.\s*)?\b[A-Za-z_][A-Za-z0-9_]*)\s*\(', 1)) AS c FROM M WHERE source IS NOT NULL),
+K AS (SELECT DISTINCT project_id, id, file_path, {_FOLDER} AS folder, {_EXT} AS ext, regexp_replace(c, '^\.\s*', '') AS called, starts_with(c, '.') AS is_method FROM R),
+C AS (SELECT * FROM K WHERE called NOT IN ({', '.join(repr(w) for w in extract.NO_CALLS)})),
+V AS (SELECT project_id, id, file_path, {_FOLDER} AS folder, {_EXT} AS ext, name AS called, kind, is_exported FROM M WHERE name IS NOT NULL),
+TF AS (SELECT project_id, file_path, called, arg_min(id, (kind <> 'function', id)) AS t_file, min(id) FILTER (kind = 'method') AS t_method FROM V GROUP BY 1, 2, 3),
+TD AS (SELECT project_id, folder, ext, called, arg_min(id, (kind <> 'function', id)) AS t_folder FROM V GROUP BY 1, 2, 3, 4),
+TP AS (SELECT project_id, called, min(id) FILTER (is_exported) AS t_project FROM V GROUP BY 1, 2 HAVING count(*) = 1),
+J AS (SELECT C.project_id, C.id AS source_node_id, CASE WHEN is_method THEN t_method ELSE coalesce(t_file, t_folder, t_project) END AS target_node_id FROM C LEFT JOIN TF USING (project_id, file_path, called) LEFT JOIN TD USING (project_id, folder, ext, called) LEFT JOIN TP USING (project_id, called))
+SELECT DISTINCT project_id, source_node_id, target_node_id, 'calls' AS kind FROM J WHERE target_node_id IS NOT NULL AND source_node_id <> target_node_id""")
 def resolved_calls(spark: SparkSession, folder: str) -> DataFrame:
     return extract.resolve_calls(model.nodes(spark, folder, "id", "project_id", "file_path", "kind", "name", "is_exported", "source"))
 
