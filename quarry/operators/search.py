@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,60 +19,77 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-_STEPS = (("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("biliti", "ble"), ("aliti", "al"), ("iviti", "ive"), ("ation", "ate"), ("alism", "al"), ("izer", "ize"), ("ator", "ate"), ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", ""))
+# The endings of steps 2, 3 and 4 of Porter's algorithm (M. F. Porter, 1980) and what they become.
+_STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "logi": "log", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
-def _measure(stem: str) -> int:
-    flags = "".join("v" if c in "aeiou" or c == "y" and k and stem[k - 1] not in "aeiou" else "c" for k, c in enumerate(stem))
-    return flags.count("vc")
+def _shape(word: str) -> str:
+    """``v`` for every vowel and ``c`` for every consonant; y is a vowel after a consonant."""
+    out = ""
+    for k, letter in enumerate(word):
+        out += "v" if letter in "aeiou" or letter == "y" and k and out[-1] == "c" else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    return _shape(word).count("vc")
+
+
+def _closed(word: str) -> bool:
+    """Whether a word ends consonant, vowel, consonant, the last not w, x or y."""
+    return len(word) > 2 and _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+
+
+def _longest(word: str, endings) -> str | None:  # noqa: ANN001
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
 
 
 def stem(word: str) -> str:
-    """An English word without its endings, by the steps of Porter's algorithm."""
-    if len(word) <= 2 or not word.isascii():
+    """An English word without its endings, by Porter's algorithm with its published departures (bli, logi)."""
+    if len(word) <= 2 or not (word.isascii() and word.isalpha()):
         return word
-    vowel = lambda s: any(c in "aeiou" or c == "y" and k for k, c in enumerate(s))
-    if word.endswith("sses"):
-        word = word[:-2]
-    elif word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    if word.endswith("eed"):
-        word = word[:-1] if _measure(word[:-3]) > 0 else word
-    else:
-        for end in ("ed", "ing"):
-            if word.endswith(end) and vowel(word[: -len(end)]):
-                word = word[: -len(end)]
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz":
-                    word = word[:-1]
-                elif _measure(word) == 1 and len(word) > 2 and word[-1] not in "aeiouwxy" and word[-2] in "aeiouy" and word[-3] not in "aeiou":
-                    word += "e"
-                break
-    if word.endswith("y") and vowel(word[:-1]):
+    end = _longest(word, ("sses", "ies", "ss", "s"))
+    word = word[:-2] if end in ("sses", "ies") else word[:-1] if end == "s" else word
+    end = _longest(word, ("eed", "ed", "ing"))
+    if end == "eed":
+        word = word[:-1] if _measure(word[:-3]) else word
+    elif end and "v" in _shape(word[: -len(end)]):
+        word = word[: -len(end)]
+        if word.endswith(("at", "bl", "iz")):
+            word += "e"
+        elif len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
+            word = word[:-1]
+        elif _measure(word) == 1 and _closed(word):
+            word += "e"
+    if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    for end, rest in _STEPS:
-        if word.endswith(end):
-            word = word[: -len(end)] + rest if _measure(word[: -len(end)]) > 0 else word
-            break
-    for end in ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"):
-        if word.endswith(end):
-            word = word[: -len(end)] if _measure(word[: -len(end)]) > 1 else word
-            break
-    else:
-        if word.endswith("ion") and word[:-3].endswith(("s", "t")) and _measure(word[:-3]) > 1:
-            word = word[:-3]
-    if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not (len(word) > 3 and word[-2] not in "aeiouwxy" and word[-3] in "aeiouy" and word[-4] not in "aeiou")):
+    for step in (_STEP_2, _STEP_3):
+        end = _longest(word, step)
+        if end and _measure(word[: -len(end)]):
+            word = word[: -len(end)] + step[end]
+    end = _longest(word, _STEP_4)
+    if end and _measure(word[: -len(end)]) > 1 and (end != "ion" or word[: -len(end)].endswith(("s", "t"))):
+        word = word[: -len(end)]
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not _closed(word[:-1])):
         word = word[:-1]
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
+def folded(word: str) -> str:
+    """A word without the marks above and below its Latin letters."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    return words.map(lambda ws: None if ws is None else [known.setdefault(w, stem(w)) if w not in known else known[w] for w in ws])
+    """The stem of each word of each list; the different words of a batch are stemmed once."""
+    flat = words.explode()
+    different = flat.dropna().unique()
+    known = {w: stem(folded(w)) for w in different}
+    return words.map(lambda ws: None if ws is None else [known[w] for w in ws])
 
 
 def postings(documents: DataFrame, key: str, text: str, stemmed: bool = False) -> DataFrame:
@@ -81,10 +100,10 @@ def postings(documents: DataFrame, key: str, text: str, stemmed: bool = False) -
     return words.select("doc", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("doc", "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, limit: int = 20, stemmed: bool = False) -> DataFrame:
+def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, limit: int = 20, stemmed: bool = False, only: DataFrame | None = None) -> DataFrame:
     """(query_id, doc, score, rank): the ``limit`` best texts of each query by BM25; the lower score is the better.
 
-    ``queries`` has (query_id, query), a stated set. The statistics are those of all texts. Only postings of
+    ``queries`` has (query_id, query), a stated set; with ``only`` (doc) just its texts are ranked. The statistics are those of all texts. Only postings of
     query terms are kept, so the corpus is tokenised once and what is shuffled is small.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
@@ -102,6 +121,8 @@ def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, limit: i
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     summed = scored.select("term", "doc", (-weight).alias("part")).join(asked, "term").groupBy("query_id", "doc").agg(F.sum("part").alias("score"))
+    if only is not None:
+        summed = summed.join(only.select("doc").distinct(), "doc", "left_semi").select("query_id", "doc", "score")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9), "doc")
     return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
@@ -126,8 +147,6 @@ def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block
     blocks. Each task multiplies its vectors with a block and keeps its own best, so what is shuffled is
     ``limit`` rows a query and task.
     """
-    import numpy as np
-
     spark = vectors.sparkSession
     out: DataFrame | None = None
     rows = queries.select("query_id", "embedding").toLocalIterator()
@@ -182,6 +201,13 @@ def fuse(lists: list[DataFrame], ranks: DataFrame | None = None, limit: int = 20
 def hashed_embedding(text: Column, dimensions: int = 384, most_chars: int = 2000) -> Column:
     """A deterministic term-frequency vector of hashed terms, of length 1; for use where no model is at hand."""
     slots = F.transform(terms(F.substring(F.coalesce(text, F.lit("")), 1, most_chars)), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
-    counts = F.aggregate(slots, F.array_repeat(F.lit(0.0), dimensions), lambda acc, s: F.transform(acc, lambda v, i: F.when(i == s, v + 1).otherwise(v)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0)))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def counted(places: pd.Series) -> pd.Series:
+        def one(at: np.ndarray) -> np.ndarray:
+            counts = np.bincount(np.asarray(at, int), minlength=dimensions).astype(float)
+            return counts / (np.linalg.norm(counts) or 1.0)
+
+        return places.map(one)
+
+    return counted(slots)

@@ -63,18 +63,39 @@ def similar_pairs(signed: DataFrame, threshold: float = 0.7, bands: int = BANDS,
     """
     from quarry.session import stored
 
-    classes = stored(signed.groupBy("signature").agg(F.min("id").alias("rep"), F.collect_set("id").alias("ids")))
-    reps = classes.select("rep", "signature")
+    rows_of = stored(signed)
+    reps = stored(rows_of.groupBy("signature").agg(F.min("id").alias("rep")))
     slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.slice("signature", k * rows + 1, F.lit(rows))).alias("hash")))
     banded = reps.select("rep", F.explode(slices).alias("s")).select("rep", "s.*")
-    a, b = banded.select("band", "hash", F.col("rep").alias("a")), banded.select("band", "hash", F.col("rep").alias("b"))
-    near = a.join(b, ["band", "hash"]).where("a < b").select("a", "b").distinct()
+    near = paired_in_blocks(banded, ["band", "hash"], "rep").select("a", "b").distinct()
     sa, sb = reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
     across = near.join(sa, "a").join(sb, "b").select("a", "b", estimated_similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    copies = classes.where(F.size("ids") > 1).select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    copies = rows_of.join(reps, "signature").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
     return across.unionByName(copies)
 
 
+def paired_in_blocks(rows: DataFrame, key: list[str], item: str, block: int = 1_000) -> DataFrame:
+    """(*key, a, b), a < b, of the items of each key. A key of many items is held against itself in blocks of about ``block``.
+
+    Only keys of more than one item are joined, and a key of up to ``block`` items is one block.
+    """
+    sized = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    placed = rows.select(*key, item).join(sized, key).withColumn("_at", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+    one = placed.select(*key, F.col(item).alias("a"), F.col("_at").alias("_i"), F.explode(F.sequence(F.col("_at"), F.col("_blocks") - 1)).alias("_j"))
+    two = placed.select(*key, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_i"), F.col("_at").alias("_j"))
+    met = one.join(two, [*key, "_i", "_j"]).where("a <> b and (_i < _j or a < b)")
+    return met.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def neighbours(edges: DataFrame, node_id: int, threshold: float = 0.7) -> DataFrame:
+    """(node_id, similar_id, score) of one node from stored edges. Copies are stored against one of them, whose neighbours are theirs too."""
+    known = similar_to(edges, threshold)
+    own = known.where(F.col("node_id") == node_id)
+    twins = own.where("score >= 1").select(F.col("similar_id").alias("node_id"))
+    through = known.join(twins, "node_id", "left_semi").where(F.col("similar_id") != node_id).select(F.lit(node_id).cast("long").alias("node_id"), "similar_id", "score")
+    return own.unionByName(through).groupBy("node_id", "similar_id").agg(F.max("score").alias("score"))
+
+
 def similar_to(edges: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(node_id, similar_id, score) from stored ``similar_to`` edges, both ways; a missing score is 0."""
     kept = edges.where("kind = 'similar_to'").select("source_node_id", "target_node_id", F.coalesce(F.get_json_object("metadata", "$.jaccard_score").try_cast("double"), F.lit(0.0)).alias("score")).where(F.col("score") >= threshold)

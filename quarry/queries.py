@@ -245,9 +245,9 @@ def search_symbol(spark: SparkSession, folder: str) -> DataFrame:
     return relational.search_symbol(model.nodes(spark, folder), "render").select("id", "project_id", "name", "match")
 
 
-@query(f"""WITH {WITH_N}, f AS (SELECT * FROM N WHERE name = 'run' OR qualified_name ILIKE '%::run') SELECT id, project_id, name, (SELECT count(DISTINCT project_id) FROM f) AS projects FROM f""")
+@query(f"""WITH {WITH_N}, f AS (SELECT * FROM N WHERE name = 'render_pattern' OR qualified_name ILIKE '%::render_pattern') SELECT id, project_id, name, (SELECT count(DISTINCT project_id) FROM f) AS projects FROM f""")
 def symbol_everywhere(spark: SparkSession, folder: str) -> DataFrame:
-    return relational.symbol_everywhere(model.nodes(spark, folder), "run").select("id", "project_id", "name", "projects")
+    return relational.symbol_everywhere(model.nodes(spark, folder), "render_pattern").select("id", "project_id", "name", "projects")
 
 
 @query(f"WITH {WITH_N} SELECT name, count(DISTINCT project_id) AS projects, count(*) AS nodes FROM N WHERE name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT project_id) > 1")

@@ -34,20 +34,39 @@ _DECLARATIONS["csharp"] = _DECLARATIONS["java"]
 _BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 
 
-def _block_end(code: str, at: int) -> int:
-    """The end of the declaration that begins at ``at``: its closing brace, or its semicolon or line if it has no body."""
-    depth = 0
-    for k in range(at, len(code)):
-        c = code[k]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth <= 0:
-                return k + 1
-        elif c == ";" and depth == 0:
-            return k + 1
-    return len(code)
+#: A line so long holds packed code; there a declaration is a keyword and a name, or a name with its parameters and a brace.
+_LONG_LINE = re.compile(r"[^\n]{2000,}")
+_ROUND = r"\((?:[^;{}()]++|\((?:[^;{}()]++|\([^;{}()]*+\))*+\))*+\)"
+_PACKED = re.compile(rf"(?<![\w$.])(?P<pub>(?:export|public|pub)\s+(?:default\s+)?)?(?:(?:async|static|abstract|final)\s+)*(?:(?P<kind>function|fn|func|class|interface|struct|enum|trait|record)\b\s*\*?\s*(?P<name>{_ID}+)|(?<![\w$] )(?!(?:if|for|while|switch|return|else|catch|foreach|match|new|throw|await|do|using|lock|function|with|synchronized)\b)(?P<bare>{_ID}+)\s*{_ROUND}\s*(?=\{{))")
+_PACKED_KINDS = {"fn": "function", "func": "function"}
+
+
+def _block_ends(code: str) -> dict[int, int]:
+    """The place after the closing brace of each opening brace; in one pass."""
+    ends, opened = {}, []
+    for m in re.finditer(r"[{}]", code):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
+def _block_end(code: str, at: int, ends: dict[int, int]) -> int:
+    """The end of the declaration that begins at ``at``: its closing brace, or its semicolon if it has no body."""
+    m = re.compile(r"[{};]").search(code, at)
+    if not m:
+        return len(code)
+    return ends.get(m.start(), len(code)) if m.group() == "{" else m.end()
+
+
+def _line_numbers(code: str, places: list[int]) -> dict[int, int]:
+    """The line of each place, in one pass."""
+    out, line, done = {}, 1, 0
+    for place in sorted(set(places)):
+        line, done = line + code.count("\n", done, place), place
+        out[place] = line
+    return out
 
 
 _PY_TEXT = re.compile(r"#[^\n]*|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
@@ -112,15 +131,22 @@ def entities(source: str, language: str) -> list[tuple[str, str, int, int, bool,
                 found.append((kind, node.name, node.lineno, node.end_lineno, True, "".join(lines[node.lineno - 1 : node.end_lineno])))
         return sorted(found, key=lambda e: (e[2], e[1]))
     code = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
-    # Lines of packed code are no place for the patterns: they would be tried at every place of a very long line.
-    shown = re.sub(r"[^\n]{2000,}", lambda m: " " * len(m.group()), code)
+    # On very long lines the line patterns would be tried at every place; there declarations are sought by their words.
+    shown = _LONG_LINE.sub(lambda m: " " * len(m.group()), code)
+    matches = [(m, kind) for pattern, kind in _DECLARATIONS.get(language, ()) for m in pattern.finditer(shown)]
+    matches += [(m, None) for line in _LONG_LINE.finditer(code) for m in _PACKED.finditer(code, line.start(), line.end()) if m["kind"] or language not in ("rust", "go", "php")]
     found = []
-    for pattern, kind in _DECLARATIONS.get(language, ()):
-        for m in pattern.finditer(shown):
-            start = m.start() + len(m.group()) - len(m.group().lstrip())
-            end = _block_end(code, start)
-            exported = {"rust": True, "go": m.group("name")[:1].isupper(), "c": True, "cpp": True}.get(language, bool(m.groupdict().get("pub")))
-            found.append((kind or m.group("kind"), m.group("name"), code.count("\n", 0, start) + 1, code.count("\n", 0, end - 1) + 1, exported, source[start:end]))
+    ends = _block_ends(code) if matches else {}
+    for m, kind in matches:
+        groups = m.groupdict()
+        start = m.start() + len(m.group()) - len(m.group().lstrip())
+        end = _block_end(code, start, ends)
+        name = groups["name"] or groups.get("bare")
+        kind = kind or _PACKED_KINDS.get(groups["kind"], groups["kind"]) or ("function" if language in ("c", "cpp") else "method")
+        exported = {"rust": True, "go": name[:1].isupper(), "c": True, "cpp": True}.get(language, bool(groups.get("pub")))
+        found.append((kind, name, start, end, exported))
+    lines = _line_numbers(code, [p for _, _, start, end, _ in found for p in (start, end - 1)])
+    found = [(kind, name, lines[start], lines[end - 1], exported, source[start:end]) for kind, name, start, end, exported in found]
     return sorted(set(found), key=lambda e: (e[2], e[1]))
 
 
@@ -149,9 +175,9 @@ def extract_nodes(files: DataFrame) -> DataFrame:
 
 
 def contains_edges(nodes: DataFrame) -> DataFrame:
-    """``contains`` edges from each file node to the other nodes of its file."""
+    """``contains`` edges from each file node to the other nodes of its file; routes, libraries and images hang on other edges."""
     files = nodes.where("kind = 'file'").select("project_id", "file_path", F.col("id").alias("source_node_id"))
-    inner = nodes.where("kind <> 'file'").select("project_id", "file_path", F.col("id").alias("target_node_id"))
+    inner = nodes.where("kind not in ('file', 'route', 'library', 'docker_image')").select("project_id", "file_path", F.col("id").alias("target_node_id"))
     return files.join(inner, ["project_id", "file_path"]).select("project_id", "source_node_id", "target_node_id", F.lit("contains").alias("kind"))
 
 
@@ -188,21 +214,34 @@ def resolve_calls(nodes: DataFrame) -> DataFrame:
 # --- routes -----------------------------------------------------------------------------------------------
 
 _QUOTED = r"""['"`]([^'"`\s?#]+)['"`]"""
-# How frameworks register routes; (pattern, group of the method, group of the path).
+_VERB = r"(get|post|put|delete|patch|head|options)"
+#: How frameworks register routes, by their documentation: (pattern, group of the verb or None, group of the path, fixed verb).
 ROUTE_PATTERNS = (
-    (r"(?i)\b(?:app|router|route|api)\.(get|post|put|delete|patch|options|head)\s*\(\s*" + _QUOTED, 1, 2),
-    (r"(?i)@(?:app|router|api|blueprint)\.(get|post|put|delete|patch|route)\s*\(\s*" + _QUOTED, 1, 2),
-    (r"\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\s*\(\s*" + _QUOTED, 1, 2),
-    (r"\.route\s*\(\s*" + _QUOTED + r"\s*,\s*(get|post|put|delete|patch)", 2, 1),
-    (r"(?i)@(GetMapping|PostMapping|PutMapping|DeleteMapping|RequestMapping)\s*\(\s*(?:value\s*=\s*)?" + _QUOTED, 1, 2),
+    # Express, Koa, Fastify, Flask 2, FastAPI: a verb as the method of an application, router or blueprint; as a call or a decorator.
+    (rf"\b(?:app|router|route|api|server|blueprint|bp)\.{_VERB}\s*\(\s*{_QUOTED}", 1, 2, None),
+    # Flask: @app.route("/path"); the verbs stand in another argument, GET by default.
+    (rf"@(?:app|router|api|blueprint|bp)\.route\s*\(\s*{_QUOTED}", None, 1, "ROUTE"),
+    # Gin, Echo, Chi: verbs in capitals; net/http: Handle and HandleFunc.
+    (rf"\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s*\(\s*{_QUOTED}", 1, 2, None),
+    (rf"\.(Handle|HandleFunc)\s*\(\s*{_QUOTED}", None, 2, "ANY"),
+    # Axum: .route("/path", get(handler)).
+    (rf"\.route\s*\(\s*{_QUOTED}\s*,\s*(?:\w+::)*{_VERB}\s*\(", 2, 1, None),
+    # Spring: @GetMapping("/path"), @RequestMapping(value = "/path").
+    (rf"@(Get|Post|Put|Delete|Patch)Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?{_QUOTED}", 1, 2, None),
+    (rf"@RequestMapping\s*\(\s*(?:(?:value|path)\s*=\s*)?{_QUOTED}", None, 1, "ANY"),
 )
 
 
 def extract_routes(files: DataFrame) -> DataFrame:
     """(project_id, file_path, method, path, name, qualified_name) of the routes registered in files."""
-    found = F.flatten(F.array(*[
-        F.transform(F.arrays_zip(F.regexp_extract_all("source", F.lit(p), F.lit(m)).alias("m"), F.regexp_extract_all("source", F.lit(p), F.lit(r)).alias("p")), lambda z: F.struct(F.upper(z["m"]).alias("method"), z["p"].alias("path"))) for p, m, r in ROUTE_PATTERNS
-    ]))
+    def hits(pattern: str, verb: int | None, path: int, fixed: str | None) -> Column:
+        paths = F.regexp_extract_all("source", F.lit(pattern), F.lit(path))
+        if verb is None:
+            return F.transform(paths, lambda p: F.struct(F.lit(fixed).alias("method"), p.alias("path")))
+        both = F.arrays_zip(F.regexp_extract_all("source", F.lit(pattern), F.lit(verb)).alias("m"), paths.alias("p"))
+        return F.transform(both, lambda z: F.struct(F.upper(z["m"]).alias("method"), z["p"].alias("path")))
+
+    found = F.flatten(F.array(*[hits(*p) for p in ROUTE_PATTERNS]))
     rows = files.where("source is not null").select("project_id", "file_path", F.explode(found).alias("r")).select("project_id", "file_path", "r.method", canonical_route(F.col("r.path")).alias("path")).distinct()
     return rows.withColumn("name", F.concat_ws(" ", "method", "path")).withColumn("qualified_name", F.concat(F.lit("__route__"), F.col("method"), F.lit("__"), F.col("path")))
 
@@ -244,14 +283,14 @@ def manifest(path: str, source: str) -> tuple[str | None, list[tuple[str, str]]]
     return None, []
 
 
-def infrastructure(path: str, source: str) -> list[tuple[str, str, str]]:
-    """(kind, name, JSON of the rest) of what a Dockerfile or a Kubernetes document declares."""
+def infrastructure(path: str, source: str) -> list[tuple[str, str, str, str | None]]:
+    """(kind, name, JSON of the rest, owner) of what a Dockerfile or a Kubernetes document declares; an image's owner is what uses it."""
     base = path.replace("\\", "/").rsplit("/", 1)[-1]
     if base.lower().startswith("dockerfile"):
         images = re.findall(r"^\s*FROM\s+(?:--\S+\s+)*(\S+)", source, re.M | re.I)
         ports = [p for line in re.findall(r"^\s*EXPOSE\s+(.+)$", source, re.M | re.I) for p in line.split()]
-        out = [("dockerfile", base, json.dumps({"base_image": images[-1] if images else None, "exposed_ports": ports}))]
-        return out + [("docker_image", images[-1], "{}")] if images else out
+        out = [("dockerfile", base, json.dumps({"base_image": images[-1] if images else None, "exposed_ports": ports}), None)]
+        return out + [("docker_image", images[-1], "{}", f"__dockerfile__{base}")] if images else out
     import yaml
 
     out = []
@@ -276,13 +315,13 @@ def infrastructure(path: str, source: str) -> list[tuple[str, str, str]]:
         collect(data)
         meta = data.get("metadata")
         name = str((meta if isinstance(meta, dict) else {}).get("name") or "unnamed")
-        out.append(("k8s_resource", f"{data['kind']}/{name}", json.dumps({"apiVersion": data["apiVersion"], "resource_kind": data["kind"], "resource_name": name, "container_images": images})))
-        out += [("docker_image", image, "{}") for image in dict.fromkeys(images)]
+        out.append(("k8s_resource", f"{data['kind']}/{name}", json.dumps({"apiVersion": data["apiVersion"], "resource_kind": data["kind"], "resource_name": name, "container_images": images}), None))
+        out += [("docker_image", image, "{}", f"__k8s_resource__{data['kind']}/{name}") for image in dict.fromkeys(images)]
     return out
 
 
 def extract_declared(files: DataFrame) -> DataFrame:
-    """(project_id, file_path, kind, name, metadata) of manifests, libraries, Dockerfiles, images and Kubernetes resources."""
+    """(project_id, file_path, kind, name, metadata, owner) of manifests, libraries, Dockerfiles, images and Kubernetes resources."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,15 +329,40 @@ def extract_declared(files: DataFrame) -> DataFrame:
             for project, path, source in zip(*(batch[c].to_pylist() for c in ("project_id", "file_path", "source")), strict=True):
                 if re.search(MANIFESTS, path):
                     name, needs = manifest(path, source)
-                    rows.append((project, path, "manifest", name or path.rsplit("/", 1)[-1], json.dumps({"package_name": name, "dependencies_count": len(needs)})))
-                    rows += [(project, path, "library", n, json.dumps({"version": v})) for n, v in needs]
+                    title = name or path.rsplit("/", 1)[-1]
+                    rows.append((project, path, "manifest", title, json.dumps({"package_name": name, "dependencies_count": len(needs)}), None))
+                    rows += [(project, path, "library", n, json.dumps({"version": v}), f"__manifest__{title}") for n, v in needs]
                 else:
                     rows += [(project, path, *x) for x in infrastructure(path, source)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 4), strict=True)], ["project_id", "file_path", "kind", "name", "metadata"])
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 5), strict=True)], ["project_id", "file_path", "kind", "name", "metadata", "owner"])
 
     wanted = files.where(F.col("source").isNotNull() & (F.col("file_path").rlike(MANIFESTS) | F.col("file_path").rlike(INFRA))).select("project_id", "file_path", "source")
-    return wanted.mapInArrow(found, "project_id long, file_path string, kind string, name string, metadata string")
+    return wanted.mapInArrow(found, "project_id long, file_path string, kind string, name string, metadata string, owner string")
+
+
+def declared_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of routes, manifests and infrastructure: their nodes, file nodes where extraction made none, and the edges between them.
+
+    A file ``handles`` its routes and ``contains`` its manifest, Dockerfile and resources; a manifest ``depends_on`` its
+    libraries, a Dockerfile is ``derived_from`` its image and a resource ``deploys_image`` its images.
+    """
+    routes = extract_routes(files).select("project_id", "file_path", F.lit("route").alias("kind"), "name", "qualified_name", F.to_json(F.struct("method", "path")).alias("metadata"), F.lit("file").alias("owner_kind"), F.lit(None).cast("string").alias("owner"), F.lit("handles").alias("edge"))
+    listed = extract_declared(files)
+    own = F.concat(F.lit("__"), F.col("kind"), F.lit("__"), F.col("name"))
+    owner_kind = F.when(F.col("owner").isNull(), "file").when(F.col("kind") == "library", "manifest").when(F.col("owner").startswith("__dockerfile__"), "dockerfile").otherwise("k8s_resource")
+    edge = F.when(F.col("owner").isNull(), "contains").when(F.col("kind") == "library", "depends_on").when(F.col("owner").startswith("__dockerfile__"), "derived_from").otherwise("deploys_image")
+    declared = listed.select("project_id", "file_path", "kind", "name", own.alias("qualified_name"), "metadata", owner_kind.alias("owner_kind"), "owner", edge.alias("edge"))
+    rows = routes.unionByName(declared).distinct()
+    identity = lambda kind, name: stable_id(F.col("project_id"), F.col("file_path"), kind, name, F.lit(1))
+    base = F.element_at(F.split("file_path", "/"), -1)
+    blank = {"start_line": F.lit(1).cast("long"), "end_line": F.lit(1).cast("long"), "is_exported": F.lit(True)}
+    nodes = rows.groupBy("project_id", "file_path", "kind", "name", "qualified_name").agg(F.min("metadata").alias("metadata"))
+    nodes = nodes.select(identity(F.col("kind"), F.col("qualified_name")).alias("id"), "*", *[v.alias(k) for k, v in blank.items()])
+    bare = files.where(F.col("source").isNotNull() & language_of(F.col("file_path")).isNull()).select("project_id", "file_path", "source").distinct()
+    plain = bare.select(identity(F.lit("file"), F.col("file_path")).alias("id"), "project_id", "file_path", F.lit("file").alias("kind"), base.alias("name"), F.col("file_path").alias("qualified_name"), F.lit(None).cast("string").alias("metadata"), F.lit(1).cast("long").alias("start_line"), (F.length("source") - F.length(F.replace("source", F.lit("\n"))) + 1).cast("long").alias("end_line"), F.lit(False).alias("is_exported"))
+    edges = rows.select("project_id", identity(F.col("owner_kind"), F.coalesce("owner", "file_path")).alias("source_node_id"), identity(F.col("kind"), F.col("qualified_name")).alias("target_node_id"), F.col("edge").alias("kind")).distinct()
+    return nodes.unionByName(plain.select(*nodes.columns)), edges
 
 
 # --- tests ------------------------------------------------------------------------------------------------
@@ -306,7 +370,7 @@ def extract_declared(files: DataFrame) -> DataFrame:
 def test_contracts(nodes: DataFrame) -> DataFrame:
     """``test_of`` edges from test functions of test files to the symbols their names speak of, by name within a project."""
     tests = nodes.where(is_test_file(F.col("file_path")) & F.col("kind").isin("function", "method")).select("project_id", F.col("id").alias("source_node_id"), "name")
-    speaks = F.array_distinct(F.array_compact(F.array(F.when(F.col("name").startswith("test_"), F.substring("name", 6, 1000)), F.when(F.col("name").rlike("^Test[A-Z]"), F.substring("name", 5, 1000)))))
+    speaks = F.array_distinct(F.array_compact(F.array(F.when(F.col("name").startswith("test_"), F.expr("substring(name, 6)")), F.when(F.col("name").rlike("^Test[A-Z]"), F.expr("substring(name, 5)")))))
     named = tests.select("project_id", "source_node_id", F.explode(speaks).alias("name"))
     targets = nodes.where(~F.col("kind").isin("file", "test_contract")).select("project_id", "name", F.col("id").alias("target_node_id"))
     return named.join(targets, ["project_id", "name"]).where("source_node_id <> target_node_id").select("project_id", "source_node_id", "target_node_id", F.lit("test_of").alias("kind")).distinct()

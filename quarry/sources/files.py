@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,28 +20,70 @@ CONFIG = r"(?i)(\.(json|toml|mod|txt|ya?ml)|(^|/)Dockerfile[^/]*)$"
 
 
 def walk_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """(file_path, language, source, bytes) of the source and configuration files below a folder.
+    """(file_path, language, source, bytes) of the source and configuration files below a folder that all executors see.
 
-    ``ignore`` has gitignore lines; by default those of the root's ``.gitignore`` are read. Hidden files count,
-    ``.git`` does not. A file that is not UTF-8 is left out. Files are listed and read by the executors.
+    ``ignore`` has gitignore lines; by default the ``.gitignore`` files of the tree hold below their folders. Hidden files
+    count, ``.git`` does not. A file that is not UTF-8 is left out. The entries of the root are dealt to tasks, which
+    walk and read them; links to folders are not followed.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    rows = raw.select(F.substring(path, len(base) + 2, 1_000_000).alias("file_path"), "content", F.col("length").alias("bytes")).where(~F.col("file_path").rlike(r"(^|/)\.git/"))
-    known = r"(?i)\.(" + "|".join(e for extensions in LANGUAGES.values() for e in extensions) + ")$"
-    rows = rows.where(F.col("file_path").rlike(known) | F.col("file_path").rlike(CONFIG))
-    if ignore is None:
-        try:
-            with open(f"{base}/.gitignore", encoding="utf-8") as lines:
-                ignore = lines.read().splitlines()
-        except OSError:
-            ignore = []
-    out, back = ignore_regex(ignore)
-    if out:
-        rows = rows.where(~F.col("file_path").rlike(out) | (F.col("file_path").rlike(back) if back else F.lit(False)))
-    text = F.expr("try_validate_utf8(cast(content as string))")
-    return rows.select("file_path", language_of(F.col("file_path")).alias("language"), text.alias("source"), "bytes").where("source is not null")
+    base = root.removeprefix("file://").rstrip("/")
+    entries = spark.createDataFrame([(e,) for e in sorted(os.listdir(base)) if e != ".git"], "entry string")
+    known = re.compile(r"(?i)\.(" + "|".join(e for extensions in LANGUAGES.values() for e in extensions) + ")$")
+    config = re.compile(CONFIG)
+
+    def rules_of(folder: str) -> list[tuple]:
+        lines = ignore if ignore is not None and not folder else None
+        if ignore is None:
+            try:
+                with open(os.path.join(base, folder, ".gitignore"), encoding="utf-8", errors="replace") as text:
+                    lines = text.read().splitlines()
+            except OSError:
+                lines = None
+        out, back = ignore_regex(lines or [])
+        return [(folder + "/" if folder else "", re.compile(out), re.compile(back) if back else None)] if out else []
+
+    def left_out(path: str, rules: list[tuple]) -> bool:
+        return any(path.startswith(f) and out.search(path[len(f) :]) and not (back and back.search(path[len(f) :])) for f, out, back in rules)
+
+    def listed(entry: str) -> Iterator[str]:
+        rules = {"": rules_of("")}
+        if not os.path.isdir(os.path.join(base, entry)):
+            if not left_out(entry, rules[""]):
+                yield entry
+            return
+        for folder, folders, names in os.walk(os.path.join(base, entry)):
+            folders[:] = sorted(f for f in folders if f != ".git")
+            at = os.path.relpath(folder, base).replace(os.sep, "/")
+            rules[at] = rules[at.rpartition("/")[0]] + rules_of(at)
+            for name in sorted(names):
+                if not left_out(f"{at}/{name}", rules[at]):
+                    yield f"{at}/{name}"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["file_path", "source", "bytes"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for path in (p for entry in batch["entry"].to_pylist() for p in listed(entry)):
+                if not (known.search(path) or config.search(path)):
+                    continue
+                try:
+                    with open(os.path.join(base, path), "rb") as data:
+                        content = data.read()
+                    rows.append((path, content.decode("utf-8"), len(content)))
+                except (OSError, UnicodeDecodeError):
+                    continue
+                held += len(content)
+                if held > 1 << 24:
+                    yield flush(rows)
+                    rows, held = [], 0
+        if rows:
+            yield flush(rows)
+
+    spread = entries.repartition(max(1, min(entries.count(), 4 * spark.sparkContext.defaultParallelism)))
+    return spread.mapInArrow(read, "file_path string, source string, bytes long").select("file_path", language_of(F.col("file_path")).alias("language"), "source", "bytes")
 
 
 class GitLogSource(DataSource):
@@ -70,9 +115,11 @@ class _GitLogReader(DataSourceReader):
         import datetime
 
         layout = "%x1e%H%x1f%h%x1f%an%x1f%ct%x1f%P%x1f%B%x1d"
-        run = subprocess.run(["git", "-c", "safe.directory=*", "-C", self.repository, "log", f"-{self.most}", "--first-parent", "-m", "--name-status", f"--format={layout}"], capture_output=True, text=True, check=True)
+        # Every commit is walked, each held against its first parent; the log is read as it comes.
+        command = ["git", "-c", "safe.directory=*", "-C", self.repository, "log", f"-{self.most}", "--diff-merges=first-parent", "--name-status", f"--format={layout}"]
         names = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "modified"}
-        for record in run.stdout.split("\x1e")[1:]:
+
+        def rows(record: str) -> Iterator[tuple]:
             head, _, files = record.partition("\x1d")
             full, short, author, seconds, parents, message = head.split("\x1f")
             at = datetime.datetime.fromtimestamp(int(seconds), datetime.UTC).replace(tzinfo=None)
@@ -80,6 +127,19 @@ class _GitLogReader(DataSourceReader):
             for parts in touched or [[None]]:
                 yield (full, short, author, at, message.strip(), parts[-1], names.get((parts[0] or " ")[0]))
 
+        with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, encoding="utf-8", errors="replace") as run:
+            held = ""
+            while part := run.stdout.read(1 << 16):
+                *whole, held = (held + part).split("\x1e")
+                for record in whole:
+                    if record:
+                        yield from rows(record)
+            if held:
+                yield from rows(held)
+            trouble = run.stderr.read()
+        if run.returncode:
+            raise RuntimeError(trouble)
+
 
 def git_log(spark: SparkSession, repository: str, max_commits: int = 1000) -> DataFrame:
     """The history of a repository as rows of commit and touched file, newest first."""

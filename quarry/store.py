@@ -75,12 +75,14 @@ class Store:
         rest = old.join(rows.select(*keys), keys, "left_anti")
         return self.write(name, rest.unionByName(rows.select(*old.columns)))
 
-    def insert_new(self, name: str, rows: DataFrame, keys: list[str]) -> None:
-        """Add only the rows whose keys are not there yet; of new rows of equal keys one is taken."""
-        fresh = rows.dropDuplicates(keys)
+    def insert_new(self, name: str, rows: DataFrame, keys: list[str], order: str | None = None) -> None:
+        """Add only the rows whose keys are not there yet; of new rows of equal keys the first by ``order`` (else by all columns) is taken."""
+        rest = [c for c in rows.columns if c not in keys]
+        by = [order, *[c for c in rest if c != order]] if order else rest
+        fresh = rows.groupBy(*keys).agg(F.min(F.struct(*by)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns) if rest else rows.distinct()
         if self.exists(name):
             fresh = fresh.join(self.read(name).select(*keys), keys, "left_anti")
-        self.append(name, fresh)
+        self.append(name, fresh.select(*rows.columns))
 
     def delete(self, name: str, where: str) -> None:
         """Remove the rows that meet an SQL condition; rows for which it is null stay."""

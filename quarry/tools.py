@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.context import SessionMemory, edit_context, within_budget
 from quarry.operators import graph, model, relational, risk, search, similarity
 from quarry.plans import pattern
 from quarry.sources import extract, files
+from quarry.session import cut_lineage
 from quarry.store import Store
 
 NOTE = "id long, project_id long, node_id long, kind string, content string, tags string, access_count long, last_accessed timestamp, created_at timestamp"
@@ -22,8 +24,10 @@ PROJECT_TABLES = ("projects", "nodes", "edges", "git_commits", "commit_node_link
 class Graph:
     """The tables of a store, empty where they were never written, and the tools over them."""
 
-    def __init__(self, spark: SparkSession, store: Store, rules: list[dict] | None = None):
+    def __init__(self, spark: SparkSession, store: Store, rules: list[dict] | None = None, embedder: Callable[[Column], Column] = search.hashed_embedding, extractor: Callable[[DataFrame], DataFrame] = extract.extract_nodes, intent: Callable[[Column], Column] = risk.intent):
+        """``embedder`` turns a text column into a vector column, ``extractor`` files into nodes, ``intent`` a text column into (intent, confidence, multiplier)."""
         self.spark, self.store, self.rules, self.session = spark, store, rules or [], SessionMemory()
+        self.embedder, self.extractor, self.intent = embedder, extractor, intent
         self.tools: dict[str, Callable] = {name[5:]: getattr(self, name) for name in dir(self) if name.startswith("tool_")}
 
     def call(self, tool: str, /, **arguments: object) -> DataFrame | dict | None:
@@ -84,7 +88,12 @@ class Graph:
         return {"deleted": number}
 
     def tool_index_repository(self, repo_path: str, name: str | None = None, max_commits: int = 1000) -> dict:
-        """Read a repository, refresh changed files only, then rebuild calls, tests, similarity, ranks and clusters."""
+        """Read a repository, refresh changed files only, then rebuild calls, tests, similarity, ranks, clusters and vectors.
+
+        The run is a job group of its own; ``job_id`` in the answer names it for get_job_status.
+        """
+        job = f"index-{uuid.uuid4().hex[:12]}"
+        self.spark.sparkContext.setJobGroup(job, f"index {repo_path}")
         name = name or repo_path.rstrip("/").rsplit("/", 1)[-1]
         known = self.projects.where(F.col("name") == name).select("id").first()
         number = known[0] if known else (self.projects.agg(F.max("id")).first()[0] or 0) + 1
@@ -94,7 +103,10 @@ class Graph:
         old = self._read("file_states", "project_id long, file_path string, content_hash string").where(F.col("project_id") == number)
         moved = extract.state_diff(old, states).where("status <> 'same'")
         touched = moved.where("status in ('new', 'changed')").select("file_path")
-        fresh = extract.extract_nodes(read.join(touched, "file_path", "left_semi"))
+        renewed = cut_lineage(read.join(touched, "file_path", "left_semi"))
+        declared, declared_edges = extract.declared_graph(renewed)
+        fresh = self.extractor(renewed)
+        fresh = cut_lineage(fresh.unionByName(declared, allowMissingColumns=True).dropDuplicates(["id"]))
         before = self.nodes().where(F.col("project_id") == number).join(moved.select("file_path"), "file_path", "left_semi")
         counts = {r["status"]: r["count"] for r in moved.groupBy("status").count().collect()}
         changes = extract.semantic_diff(before, fresh).withColumn("changed_at", F.current_timestamp()) if known else None
@@ -109,15 +121,17 @@ class Graph:
         nodes = self.nodes().where(F.col("project_id") == number)
         built = extract.contains_edges(nodes).unionByName(extract.resolve_calls(nodes)).unionByName(extract.test_contracts(nodes))
         near = similarity.similar_pairs(similarity.signatures(nodes)).select(F.lit(number).cast("long").alias("project_id"), F.col("a").alias("source_node_id"), F.col("b").alias("target_node_id"), F.lit("similar_to").alias("kind"), F.format_string('{"jaccard_score": %.3f}', "similarity").alias("metadata"))
-        rows = built.withColumn("metadata", F.lit(None).cast("string")).unionByName(near).withColumn("id", F.xxhash64("source_node_id", "target_node_id", "kind")).withColumn("created_at", F.current_timestamp())
+        bare = built.unionByName(declared_edges).distinct()
+        rows = bare.withColumn("metadata", F.lit(None).cast("string")).unionByName(near).withColumn("id", F.xxhash64("source_node_id", "target_node_id", "kind")).withColumn("created_at", F.current_timestamp())
         self.store.delete("edges", f"project_id = {number} and kind in ('contains', 'calls', 'test_of', 'similar_to')")
-        self.store.append("edges", rows.select(*[f.name for f in model.EDGE]))
+        self.store.insert_new("edges", rows.select(*[f.name for f in model.EDGE]), ["source_node_id", "target_node_id", "kind"])
         self._derive(number)
+        self.embed_pending()
         try:
             self.tool_index_git_history(name, repo_path, max_commits)
         except Exception as trouble:  # noqa: BLE001  a tree without history is indexed without it
             counts["history"] = str(trouble).split("\n")[0]
-        return {"project_id": number, **counts}
+        return {"project_id": number, "job_id": job, **counts}
 
     def tool_reindex_changed(self, repo_path: str, files: list[str] | None = None) -> dict:
         """As index_repository; files are told apart by content hash, so naming them is not needed."""
@@ -154,7 +168,8 @@ class Graph:
 
     def tool_search_code(self, project: str, query: str, limit: int = 20) -> DataFrame:
         texts = self.nodes().select("id", "project_id", F.concat_ws(" ", "name", "qualified_name", "signature", "doc_comment", "source").alias("text"))
-        found = search.bm25(texts, "id", "text", self.spark.createDataFrame([(1, query)], "query_id long, query string"), 10 * limit, stemmed=True)
+        own = self.nodes(project).select(F.col("id").alias("doc"))
+        found = search.bm25(texts, "id", "text", self.spark.createDataFrame([(1, query)], "query_id long, query string"), limit, stemmed=True, only=own)
         inside = self.nodes(project).select(F.col("id").alias("doc"), "name", "kind", "file_path", search.snippet(F.col("source")).alias("snippet"))
         return found.join(inside, "doc").orderBy("score", "doc").limit(limit)
 
@@ -164,7 +179,7 @@ class Graph:
         text = search.bm25(nodes.select("id", F.concat_ws(" ", "name", "qualified_name", "source").alias("text")), "id", "text", asked, limit, stemmed=True).withColumnRenamed("doc", "item")
         lists = [text]
         if self.store.exists("vectors"):
-            embedded = asked.select("query_id", search.hashed_embedding(F.col("query")).alias("embedding"))
+            embedded = asked.select("query_id", self.embedder(F.col("query")).alias("embedding"))
             lists.append(search.vector_search(self.store.read("vectors").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"), embedded, limit).withColumnRenamed("node_id", "item"))
         return search.fuse(lists, self.ranks(), limit).join(nodes.select(F.col("id").alias("item"), "name", "kind", "file_path"), "item")
 
@@ -172,10 +187,10 @@ class Graph:
         return self.tool_hybrid_search(project, query, limit)
 
     def embed_pending(self) -> None:
-        """Vectors for the nodes that have none; by the hashing embedder, which a caller may replace."""
+        """Vectors for the nodes that have none, by the embedder; a node has one vector."""
         vectors = self._read("vectors", "node_id long, embedding array<double>")
-        fresh = relational.pending(self.nodes().where("source is not null"), vectors).select(F.col("id").alias("node_id"), search.hashed_embedding(F.col("source")).alias("embedding"))
-        self.store.append("vectors", fresh)
+        fresh = relational.pending(self.nodes().where("source is not null"), vectors).select(F.col("id").alias("node_id"), self.embedder(F.col("source")).alias("embedding"))
+        self.store.upsert("vectors", fresh, ["node_id"])
 
     def tool_query_graph(self, project: str, query: str) -> DataFrame:
         return pattern.run(query, self.nodes(), self.edges(), self._project(project))
@@ -184,7 +199,8 @@ class Graph:
         return relational.symbol_everywhere(self.nodes(), symbol_name)
 
     def tool_find_similar(self, node_id: int, threshold: float = 0.7) -> DataFrame:
-        return similarity.similar_to(self.edges(), threshold).where(F.col("node_id") == node_id)
+        """Stored neighbours of a node; those of the nodes it is a copy of are its own."""
+        return similarity.neighbours(self.edges(), node_id, threshold)
 
     # --- graph -----------------------------------------------------------------------------------------------
 
@@ -253,7 +269,9 @@ class Graph:
         return own.unionByName(top.orderBy(F.col("pagerank").desc(), "node_id").limit(10).withColumn("place", F.lit("top"))).withColumn("is_hub", F.col("pagerank") > 0.05)
 
     def tool_get_clusters(self, project: str) -> DataFrame:
-        return self.clusters().where(F.col("project_id") == self._project(project)).orderBy("cluster_id", "file_path")
+        """The files of each cluster, with how many clusters the project has."""
+        rows = self.clusters().where(F.col("project_id") == self._project(project))
+        return rows.join(rows.agg(F.countDistinct("cluster_id").alias("clusters"))).orderBy("cluster_id", "file_path")
 
     def tool_check_boundaries(self, project: str) -> DataFrame:
         located = self.nodes(project).where("kind = 'file'").select(F.col("id").alias("node_id"), "file_path")
@@ -279,30 +297,93 @@ class Graph:
         base = risk.baselines(nodes, self.ranks(), coupling)
         return features.join(risk.node_risk(features, base).select("node_id", "score", "level"), "node_id"), base
 
+    def _resolved(self, project: str, targets: list[dict]) -> DataFrame:
+        """(k, node_id, path): the least node each of a plan's few targets names, by path suffix and symbol or as a file; one scan."""
+        path = F.replace("file_path", F.lit("\\"), F.lit("/"))
+        named = []
+        for k, target in enumerate(targets):
+            suits = F.lower(path).endswith(target["file_path"].replace("\\", "/").lower())
+            suits &= F.col("name") == target["symbol_name"] if target.get("symbol_name") else F.col("kind") == "file"
+            named.append(F.when(suits, F.lit(k)))
+        hits = self.nodes(project).select("id", "file_path", F.explode(F.array_compact(F.array(*named))).alias("k"))
+        return hits.groupBy("k").agg(F.min(F.struct("id", "file_path")).alias("h")).select("k", F.col("h.id").alias("node_id"), F.col("h.file_path").alias("path"))
+
     def tool_evaluate_plan_risk(self, project: str, targets: list[dict]) -> dict:
-        """Score, level, strategies and a safe order for a plan's few targets; a target that is not found scores 0.05."""
+        """Score, level, strategies and a safe order for a plan's few targets; a target that is not found scores 0.05.
+
+        A stated intent scales the coupling and prunes strategies it makes false alarms. A denied edge between the targets'
+        files adds 0.15, each pair of targets with a path of at most five edges 0.05, up to 0.2.
+        """
+        if not targets:
+            return {"overall": 0.0, "level": "LOW", "targets": [], "strategies": [], "pruned": [], "violations": [], "order": [], "confidence": self._confidence(project)}
+        wanted = self.spark.createDataFrame([(k, t.get("change_intent")) for k, t in enumerate(targets)], "k int, text string")
+        resolved = cut_lineage(wanted.join(self._resolved(project, targets), "k", "left").withColumn("i", self.intent(F.col("text"))))
         features, base = self._risk(project)
-        wanted = self.spark.createDataFrame([(k, t["file_path"].replace("\\", "/"), t.get("symbol_name"), t.get("change_intent")) for k, t in enumerate(targets)], "k int, path string, symbol string, intent string")
-        suits = F.col("file_path").endswith(F.col("path")) & F.when(F.col("symbol").isNull(), F.col("kind") == "file").otherwise(F.col("name") == F.col("symbol"))
-        found = features.join(F.broadcast(wanted), suits).groupBy("k").agg(F.min("node_id").alias("node_id"))
-        scored = wanted.join(found, "k", "left").join(features.select("node_id", "score", "level"), "node_id", "left").select("k", "node_id", F.coalesce("score", F.lit(0.05)).alias("score"), risk.intent(F.col("intent")).alias("i")).collect()
-        hits = [r["node_id"] for r in scored if r["node_id"] is not None]
-        seeds = self.spark.createDataFrame([(h,) for h in hits], "seed long")
-        depends = [(r["seed"], r["node_id"]) for r in graph.callees(self.edges(), seeds, 2).where(F.col("node_id").isin(hits)).collect()] if hits else []
-        advice = risk.strategies(features.where(F.col("node_id").isin(hits)), base).collect() if hits else []
-        mean = sum(r["score"] for r in scored) / len(scored) if scored else 0.0
-        overall = min(1.0, mean + min(0.2, 0.05 * len({tuple(sorted(d)) for d in depends if d[0] != d[1]})))
+        mine = resolved.where("node_id is not null").select("k", "node_id", "path", "i").join(features.drop("score", "level"), "node_id")
+        scale = F.when(F.col("i.intent") == "unknown", F.lit(1.0)).otherwise(F.least(F.greatest(F.col("i.multiplier"), F.lit(0.0)), F.lit(1.0)))
+        mine = mine.withColumn("change_coupling_count", F.round(F.col("change_coupling_count") * scale).cast("long"))
+        mine = cut_lineage(mine.join(base.select("project_id"), "project_id", "left_semi"))
+        scored = cut_lineage(mine.select("k", "project_id", F.col("node_id").alias("real"), "name", "file_path", F.col("k").cast("long").alias("node_id"), *[c for c in mine.columns if c not in ("k", "project_id", "node_id", "name", "file_path", "i", "path")]))
+        scores = {r["node_id"]: r["score"] for r in risk.node_risk(scored, base).collect()}
+        rows = {r["k"]: r for r in resolved.collect()}
+        per_target = [scores.get(k, 0.05) for k in range(len(targets))]
+        ids = [rows[k]["node_id"] for k in range(len(targets)) if rows[k]["node_id"] is not None]
+        violations = self._violations(project, [rows[k]["path"] for k in rows if rows[k]["path"]])
+        overall = sum(per_target) / len(targets)
+        overall = min(1.0, overall + 0.15) if violations else overall
+        overall = min(1.0, overall + self._interactions(ids))
+        given = mine.join(self.spark.createDataFrame([(k, float(s)) for k, s in scores.items()], "k int, score double"), "k") if scores else None
+        kept, pruned = self._strategies(given, base, rows) if given is not None else ([], [])
+        seeds = self.spark.createDataFrame([(h,) for h in ids], "seed long")
+        depends = [(r["seed"], r["node_id"]) for r in graph.callees(self.edges(), seeds, 2).where(F.col("node_id").isin(ids)).collect()] if ids else []
         return {
-            "overall": overall, "level": "CRITICAL" if overall >= 0.7 else "MEDIUM" if overall >= 0.4 else "LOW", "targets": [{"target": targets[r["k"]], "node_id": r["node_id"], "score": r["score"], "intent": r["i"]["intent"]} for r in sorted(scored, key=lambda r: r["k"])],
-            "strategies": sorted(({"node_id": a["node_id"], "strategy": a["strategy"], "delta": a["delta"], "priority": a["priority"]} for a in advice), key=lambda a: -a["delta"]),
-            "order": risk.safe_order([(r["node_id"], r["score"]) for r in scored if r["node_id"] is not None], depends), "confidence": (risk.confidence(self.nodes(project), self.commits()).first() or {"confidence": 0.5})["confidence"],
+            "overall": overall, "level": "CRITICAL" if overall >= 0.7 else "MEDIUM" if overall >= 0.4 else "LOW",
+            "targets": [{"target": targets[k], "node_id": rows[k]["node_id"], "score": per_target[k], "intent": rows[k]["i"]["intent"]} for k in range(len(targets))],
+            "strategies": kept, "pruned": pruned, "violations": violations,
+            "order": risk.safe_order([(rows[k]["node_id"], per_target[k]) for k in range(len(targets)) if rows[k]["node_id"] is not None], depends), "confidence": self._confidence(project),
         }
 
+    def _confidence(self, project: str) -> float:
+        found = risk.confidence(self.nodes(project), self.commits()).first()
+        return found["confidence"] if found else 0.5
+
+    def _violations(self, project: str, paths: list[str]) -> list[str]:
+        """Denied edges between the files of the targets."""
+        if not self.rules or not paths:
+            return []
+        located = self.nodes(project).where((F.col("kind") == "file") & F.col("file_path").isin(paths)).select(F.col("id").alias("node_id"), "file_path")
+        found = graph.check_boundaries(graph.dependency_edges(self.edges(project)), located, self.rules)
+        return sorted({f"{r['from_path']} -> {r['to_path']} violates {r['deny']}" for r in found.collect()})
+
+    def _interactions(self, ids: list[int]) -> float:
+        """0.05 for each pair of targets, in their order, with a path of at most five edges; 0.2 at most."""
+        pairs = sorted({(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if a != b})
+        if not pairs:
+            return 0.0
+        arcs = self.edges().select(F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst"))
+        way = graph.paths(arcs, self.spark.createDataFrame(pairs, "seed long, goal long"), 5)
+        return min(0.2, 0.05 * way.select("seed", "goal").distinct().count())
+
+    def _strategies(self, given: DataFrame, base: DataFrame, rows: dict) -> tuple[list[dict], list[dict]]:
+        """(kept, pruned) advice for the targets, the greatest effect first, each text once."""
+        found = risk.strategies(given, base, risk.interfaces(self.edges()), risk.alternatives(self.nodes()), risk.central_callers(self.edges(), self.ranks(), base))
+        names = {r["node_id"]: r["name"] or r["file_path"] for r in given.select("node_id", "name", "file_path").collect()}
+        intents = {r["node_id"]: r["i"]["intent"] for r in rows.values() if r["node_id"] is not None}
+        kept, pruned, seen = [], [], set()
+        for r in sorted(found.distinct().collect(), key=lambda r: (-r["delta"], r["node_id"], r["strategy"])):
+            advice = {"node_id": r["node_id"], "strategy": r["strategy"], "delta": r["delta"], "priority": r["priority"]}
+            if r["strategy"] in risk.PRUNED.get(intents.get(r["node_id"]), ()):
+                pruned.append(advice)
+            elif (text := (r["strategy"], names[r["node_id"]])) not in seen:
+                seen.add(text)
+                kept.append(advice)
+        return kept, pruned
+
     def tool_plan_change(self, project: str, description: str, files: list[str]) -> dict:
         plan = self.tool_evaluate_plan_risk(project, [{"file_path": f, "change_intent": description} for f in files])
         paths = self.spark.createDataFrame([(f,) for f in files], "file_path string")
         tests = self.edges().where("kind = 'test_of'").join(self.nodes(project).join(paths, "file_path", "left_semi").select(F.col("id").alias("target_node_id")), "target_node_id").select("source_node_id").distinct()
-        return plan | {"tests": [r[0] for r in tests.orderBy("source_node_id").limit(1000).collect()]}
+        return plan | {"tests": [r[0] for r in tests.orderBy("source_node_id").toLocalIterator()]}
 
     def tool_detect_change_coupling(self, project: str, min_co_changes: int = 3) -> DataFrame:
         return relational.change_coupling(self.nodes(project), self.links(), min_co_changes)
@@ -402,6 +483,7 @@ class Graph:
         return (
             edit_context(*self._around(node_id, 2)).unionByName(row(self.tool_get_contracts(project, node_id), "5 tests", c("test_ids"))).unionByName(row(self.tool_git_archaeology(project, node_id), "6 history", F.to_json(F.struct("*"))))
             .unionByName(row(self.ranks().where(c("node_id") == node_id), "7 pagerank", c("pagerank"))).unionByName(row(self.tool_impact_analysis(node_id, 2), "8 impact", F.to_json(F.struct("*"))))
+            .unionByName(row(self.notes().where(c("node_id") == node_id), "9 notes", c("content"))).unionByName(row(self.tool_manage_adr(project, "list"), "9 decisions", F.concat_ws(": ", "title", "decision")))
         )
 
     def tool_prepare_task_context(self, project: str, task: str, max_tokens: int = 4000) -> DataFrame:
