@@ -19,13 +19,14 @@ from quarry.operators.relational import is_test_file
 # --- entities -------------------------------------------------------------------------------------------
 
 _ID = r"[A-Za-z_$][\w$]*"
+_NO_NAME = r"(?:if|for|while|switch|catch|foreach|lock|using|fixed|synchronized|return|new|else|do|try|when|base|this|super)\b"
 #: Per language: (pattern with the name as group ``name``, kind, or None where group ``kind`` says it).
 _DECLARATIONS: dict[str, list[tuple[re.Pattern, str | None]]] = {
     "rust": [(re.compile(rf"^[ \t]*(?P<pub>pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|default|extern(?:\s+\"\w+\")?)\s+)*fn\s+(?P<name>{_ID})", re.M), "function"), (re.compile(rf"^[ \t]*(?P<pub>pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>{_ID})", re.M), "struct")],
     "go": [(re.compile(rf"^func\s+\([^)]*\)\s*(?P<name>{_ID})", re.M), "method"), (re.compile(rf"^func\s+(?P<name>{_ID})", re.M), "function"), (re.compile(rf"^type\s+(?P<name>{_ID})\s+(?P<kind>struct|interface)\b", re.M), None)],
     "javascript": [(re.compile(rf"^[ \t]*(?P<pub>export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<name>{_ID})", re.M), "function"), (re.compile(rf"^[ \t]*(?P<pub>export\s+(?:default\s+)?)?class\s+(?P<name>{_ID})", re.M), "class"), (re.compile(rf"^[ \t]+(?:(?:static|async|get|set|public|private|protected|override|readonly)\s+)*(?!(?:if|for|while|switch|catch|function|return)\b)(?P<name>{_ID})\s*(?:<[^>\n]*>)?\([^;{{}}\n]*\)\s*(?::[^;{{}}\n]+)?\{{", re.M), "method")],
     "c": [(re.compile(rf"^(?!(?:if|for|while|switch|return|else|typedef|#))(?:[A-Za-z_][\w]*[ \t*]+)+(?P<name>{_ID})\s*\([^;{{}}]*\)\s*\{{", re.M), "function"), (re.compile(rf"^[ \t]*(?:typedef\s+)?(?P<kind>struct|enum)\s+(?P<name>{_ID})\s*\{{", re.M), None)],
-    "java": [(re.compile(rf"^[ \t]*(?:(?P<pub>public)|(?:private|protected|static|final|abstract|sealed)|\s)*\b(?P<kind>class|interface|enum|struct|record)\s+(?P<name>{_ID})", re.M), None), (re.compile(rf"^[ \t]+(?P<pub>public\s+)?(?:(?:private|protected|internal|static|final|abstract|synchronized|override|virtual|async|sealed)\s+)*[\w<>\[\],.? ]+\s+(?P<name>{_ID})\s*\([^;{{}}()]*\)\s*(?:throws [\w., ]+)?\{{", re.M), "method")],
+    "java": [(re.compile(rf"^[ \t]*(?:(?P<pub>public)|(?:private|protected|static|final|abstract|sealed)|\s)*\b(?P<kind>class|interface|enum|struct|record)\s+(?P<name>{_ID})", re.M), None), (re.compile(rf"^[ \t]+(?P<pub>public\s+)?(?:(?:private|protected|internal|static|final|abstract|synchronized|override|virtual|async|sealed)\s+)*(?:(?!(?:return|new|throw|else|await|yield)\b)[\w<>\[\],.?]++\s++)*?(?!{_NO_NAME})(?P<name>{_ID}+)\s*\([^;{{}}()]*+\)\s*+(?:throws [\w., ]+)?\{{", re.M), "method")],
     "php": [(re.compile(rf"^[ \t]*(?:abstract\s+|final\s+)?(?P<kind>class|interface|trait|enum)\s+(?P<name>{_ID})", re.M), None), (re.compile(rf"^[ \t]+(?:(?P<pub>public)\s+|(?:private|protected|static|final|abstract)\s+)+function\s+&?(?P<name>{_ID})", re.M), "method"), (re.compile(rf"^function\s+&?(?P<name>{_ID})", re.M), "function")],
 }
 _DECLARATIONS["typescript"] = [*_DECLARATIONS["javascript"], (re.compile(rf"^[ \t]*(?P<pub>export\s+)?(?:declare\s+)?(?:const\s+)?(?P<kind>interface|enum|type)\s+(?P<name>{_ID})", re.M), None)]

@@ -81,3 +81,13 @@ def test_bounded_memory(spark, tmp_path):
     q = feeds.recent_notes(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 3).writeStream.format("memory").queryName("notes").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert max(r.size for r in spark.table("notes").collect()) == 3
+
+
+def test_methods_are_no_control_statements():
+    from quarry.sources.extract import entities
+
+    text = "public class A {\n    A(int x) {\n        this.x = x;\n    }\n    public Map<String, List<Integer>> all(int a) throws E, F {\n        if (a > 1) {\n            foreach (var q in z) {\n            }\n        } else if (b) {\n        }\n        return new B() {\n        };\n    }\n    private static int one() {\n        return 1;\n    }\n}\n"
+    for language in ("java", "csharp"):
+        assert [(e[0], e[1]) for e in entities(text, language)] == [("class", "A"), ("method", "A"), ("method", "all"), ("method", "one")]
+    packed = "class A{void f(int a){if(a){g();}}}" + "x" * 2100 + ";function h(b){return b}"
+    assert {e[1] for e in entities(packed, "javascript")} >= {"A", "h"}
