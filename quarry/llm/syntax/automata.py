@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
 
 _ITEM = re.compile(r"\s*(?:'([^']+)'|<(\w+)>|([A-Za-z_]\w*)|([|*+?()]))")
-#: States kept for one grammar; beyond it the table starts anew.
-MOST_STATES = 60_000
+#: States kept for one grammar, and stacks in all of them; beyond it the table starts anew.
+MOST_STATES, MOST_STACKS = 60_000, 2_000_000
 
 
 class Grammar:
@@ -144,10 +145,11 @@ class Grammar:
         self._accept: list[bool] = []
         self._next: list[dict[int, int]] = []
         self._starts: dict[str, int] = {}
+        self._held = 0
         self._named: dict[tuple[int, str], int] = {}
         self._unions: dict[tuple[int, int], int] = {}
         self._grown: dict[int, int] = {}
-        self._inserted: dict[int, frozenset[int]] = {}
+        self._hits: dict[int | str, dict[int, tuple[int, ...]]] = {}
         self._spans_at: dict[int, tuple[str, ...]] = {}
 
     def _stack(self, position: int, parent: int) -> int:
@@ -220,21 +222,28 @@ class Grammar:
         if number is None:
             number = self._states[stacks] = len(self._sets)
             self._sets.append(stacks)
+            self._held += len(stacks)
             self._accept.append(any(self.reach(s)[1] for s in stacks))
             self._next.append({})
         return number
 
     def _step(self, state: int, symbol: int, names: frozenset[str]) -> int:
-        reached: set[int] = set()
-        for s in self._sets[state]:
-            out = self.reach(s)[0]
-            for name in names:
-                hit = out.get(name)
-                if hit:
-                    reached.update(hit)
-        number = self._next[state][symbol] = self._state(frozenset(reached)) if reached else -1
+        reached = self._after(self._sets[state], self._hits.setdefault(symbol, {}), names)
+        number = self._next[state][symbol] = self._state(reached) if reached else -1
         return number
 
+    def _after(self, stacks: frozenset[int], hits: dict[int, tuple[int, ...]], names: frozenset[str] | tuple[str, ...]) -> frozenset[int]:
+        """The stacks after any of the terminals; ``hits`` keeps those of each stack, as large sets share most of theirs."""
+        parts = []
+        for s in stacks:
+            found = hits.get(s)
+            if found is None:
+                out = self.reach(s)[0]
+                found = hits[s] = tuple(h for name in names for h in out.get(name, ()))
+            if found:
+                parts.append(found)
+        return frozenset(chain.from_iterable(parts))
+
     def accepts(self, rule: str, symbols: list[int], names: list[frozenset[str]]) -> bool:
         """Whether the symbols spell a word of the rule; ``names[symbol]`` are the terminals a symbol stands for."""
         state, table = self.start(rule), self._next
@@ -249,7 +258,7 @@ class Grammar:
 
     def tidy(self) -> None:
         """Begin the tables anew once they hold too much; called between texts."""
-        if len(self._sets) > MOST_STATES or len(self._stacks) > 10 * MOST_STATES:
+        if len(self._sets) > MOST_STATES or self._held > MOST_STACKS or len(self._stacks) > 5 * MOST_STATES:
             self._reset()
 
     # --- repair ------------------------------------------------------------------------------------
@@ -264,8 +273,8 @@ class Grammar:
         key = (state, name)
         after = self._named.get(key)
         if after is None:
-            reached = {h for s in self._sets[state] for h in self.reach(s)[0].get(name, ())}
-            after = self._named[key] = self._state(frozenset(reached)) if reached else -1
+            reached = self._after(self._sets[state], self._hits.setdefault(name, {}), (name,))
+            after = self._named[key] = self._state(reached) if reached else -1
         return after
 
     def union(self, a: int, b: int) -> int:
@@ -284,18 +293,10 @@ class Grammar:
         """The state after the insertion of any one insertable terminal, -1 if none fits."""
         after = self._grown.get(state)
         if after is None:
-            reached = frozenset().union(*map(self._insertions, self._sets[state]))
+            reached = self._after(self._sets[state], self._hits.setdefault("inserted", {}), tuple(self.insertable))
             after = self._grown[state] = self._state(reached) if reached else -1
         return after
 
-    def _insertions(self, stack: int) -> frozenset[int]:
-        """The stacks after the insertion of any one insertable terminal."""
-        known = self._inserted.get(stack)
-        if known is None:
-            out = self.reach(stack)[0]
-            known = self._inserted[stack] = frozenset(h for name in self.insertable for h in out.get(name, ()))
-        return known
-
     def spans_at(self, state: int) -> tuple[str, ...]:
         """The kinds of bracket pair that a state can go on with."""
         kinds = self._spans_at.get(state)

@@ -505,8 +505,8 @@ tparams = ('*' | '**')? ID (':' expr)? ('=' expr)? (',' ('*' | '**')? ID (':' ex
 # A reserved word as the name of a package or module is taken for a name, not for damage: the clause is whole.
 #: The tokens a repair may insert or put in another's place: names, separators, what a rule cannot do without.
 _INSERTABLE = {
-    "javascript": "ID ; , : = => from", "typescript": "ID ; , : = => from", "go": "ID ; , : = := package", "rust": "ID ; , : = => -> fn let", "java": "ID ; , : = -> class",
-    "csharp": "ID ; , : = => class in", "c": "ID ; , : =", "cpp": "ID ; , : = >", "php": "ID VAR ; , : = => as $", "python": "ID NL , : = in import",
+    "javascript": "ID ; ,", "typescript": "ID ; ,", "go": "ID ; , package", "rust": "ID ; ,", "java": "ID ; ,",
+    "csharp": "ID ; ,", "c": "ID ; ,", "cpp": "ID ; ,", "php": "ID VAR ; ,", "python": "ID NL , :",
 }
 GRAMMARS = {"javascript": JAVASCRIPT, "typescript": TYPESCRIPT, "go": GO, "rust": RUST, "java": JAVA, "csharp": CSHARP, "c": C, "cpp": CPP, "php": PHP, "python": PYTHON}
 for _language, _terminals in _INSERTABLE.items():
