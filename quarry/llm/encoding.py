@@ -11,6 +11,10 @@ The counts live in a table of fixed size (hashed pairs), so what is collected an
 
 A source decoded wrongly as a whole makes its own garbled pairs common. So runs that look garbled by their
 structure are not counted, and where a text has enough valid UTF-8 sequences, these alone are evidence.
+
+Some encodings show other scripts as plain ASCII when their name is not known: those that shift by escapes or
+brackets, and those of two or four bytes a character, whose high bytes are controls. So texts of ASCII are
+counted and searched as all others are.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ PENALTY, PLAIN = -4.0, 0.75
 SINGLE_BYTE_GAIN = 2.0
 #: UTF-8 continuation bytes that are evidence by themselves, and the share of the legible runs that a text's encoding must explain.
 EVIDENT, EXPLAINED = 4, 0.75
+#: Net number of characters in two bytes each, with a control as the high one, and of letters of a small script, that are evidence by themselves.
+EVIDENT_LETTERS = 4
 REMEMBERED = 200_000
 
 # Encodings that text is wrongly read with, and the single-byte ones it is written in.
@@ -48,6 +54,14 @@ _ACCENTED = re.compile(r"[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 LOST = "\ufffd"
 _LETTER_BESIDE_LOST = re.compile(r"[^\W\d_]�|�[^\W\d_]")
 
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
+_ESCAPED = re.compile(r"(\x1b(?:\$(?:[@AB]|\([CDOPQ])|\(I))([!-~]+)(?:\x1b\([BJ])?")
+_SHIFTED = re.compile(r"\x0e((?:[!-~]{2}|[ \t\r\n])+)\x0f")
+_DESIGNATED = re.compile(r"\x1b\$\)([AC])")
+_BRACED = re.compile(r"~\{((?:[!-}][!-~])+?)~\}")
+_BASE64 = re.compile(r"\+[A-Za-z0-9+/]{3,}-?")
+_ESCAPING = ("iso2022_jp_ext", "iso2022_jp_2", "iso2022_jp_3")
+
 
 def _with_controls(name: str) -> dict[int, int]:
     """Character code to byte of an encoding whose undefined bytes stand for the control of the same number."""
@@ -123,7 +137,7 @@ def _suspect(run: str) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs, chars, documents = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64), 0
+    pairs, chars, documents, beyond = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64), 0, 0
     for batch in batches:
         for text in batch["text"].to_pylist():
             codes = _codes(text)
@@ -135,16 +149,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs[np.unique(pair_bins(codes)[pair_votes])] += 1
             chars[np.unique(char_bins(codes)[char_votes])] += 1
             documents += 1
-    for kind, counts in ((0, pairs), (1, chars), (2, np.array([documents]))):
+            beyond += not text.isascii()
+    for kind, counts in ((0, pairs), (1, chars), (2, np.array([documents])), (3, np.array([beyond]))):
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(counts[at])], ["kind", "bin", "n"])
 
 
 class PairModel:
-    """Corpus counts of character pairs and what follows from them."""
+    """Corpus counts of character pairs and what follows from them; ``beyond`` documents have characters beyond ASCII."""
 
-    def __init__(self, pairs: np.ndarray, chars: np.ndarray, documents: int):
+    def __init__(self, pairs: np.ndarray, chars: np.ndarray, documents: int, beyond: int | None = None):
         self.pairs, self.chars, self.documents = pairs, chars, max(1, documents)
+        self.beyond = self.documents if beyond is None else max(1, beyond)
         self.known: dict = {}
         self.logs: dict[str, float] = {}
         self.log_share = np.log((pairs + 0.1) / self.documents)
@@ -163,7 +179,7 @@ class PairModel:
         joint = self.pairs[pair_bins(codes)].astype(float)
         single = np.maximum(self.chars[char_bins(codes)].astype(float), 1)
         information = np.log(np.maximum(joint, 0.5) * self.documents / (single[:-1] * single[1:]))
-        weight = joint / (joint + ESTABLISHED * self.documents)
+        weight = joint / (joint + ESTABLISHED * self.beyond)
         score = weight * np.maximum(information, 0.1) + (1 - weight) * PENALTY
         plain = (codes[:-1] < 128) & (codes[1:] < 128)
         return np.where(plain, PLAIN, score)
@@ -177,6 +193,10 @@ class PairModel:
                 self.logs[pair] = value
         return value
 
+    def knows(self, text: str) -> bool:
+        """Whether the corpus has every character of ``text``."""
+        return bool((self.chars[char_bins(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))] > 0).all())
+
     def likelihood(self, text: str) -> float:
         """The mean log share of documents of the adjacent pairs."""
         if len(text) < 2:
@@ -276,7 +296,7 @@ def _known_repair(run: str, held: list[str], model: PairModel) -> tuple[str, str
             text = raw.decode("utf-8")
         except (AttributeError, UnicodeDecodeError):
             continue
-        if len(text) < len(run) and (model.chars[char_bins(np.frombuffer(text.encode("utf-32-le"), np.uint32))] > 0).all():
+        if len(text) < len(run) and model.knows(text):
             return text, wrong
     return None
 
@@ -366,17 +386,222 @@ def _evident_repair(text: str) -> tuple[str, list[str]]:
     return NON_ASCII.sub(fixed, text), applied
 
 
+def _decoded(raw: bytes, encoding: str) -> str | None:
+    try:
+        return raw.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
+
+def _readable(text: str | None) -> bool:
+    """Whether ``text`` has assigned characters only, no controls but those a further round may read, and letters of one script beside Latin."""
+    if not text:
+        return False
+    kinds = {c: unicodedata.category(c) for c in set(text)}
+    scripts = {_script(c) for c, kind in kinds.items() if kind[0] == "L"}
+    return all(kind not in ("Cc", "Cn", "Co", "Cs") or c in "\t\n\f\r" or "\x80" <= c < "\xa0" for c, kind in kinds.items()) and len(scripts - {"LATIN"}) < 2
+
+
+def _letters_of_small_scripts(text: str) -> int:
+    """Letters beyond ASCII, but for those of which there are so many that any bytes show some."""
+    return sum(ord(c) > 127 and unicodedata.category(c)[0] == "L" and unicodedata.name(c, "CJK").split(" ")[0] not in ("CJK", "HANGUL") for c in text)
+
+
+def _gain(text: str, start: int, end: int, reading: str, model: PairModel) -> float:
+    """What the mean log count gains where ``reading`` stands in place of ``text[start:end]``."""
+    left, right = text[max(0, start - 1) : start] or " ", text[end : end + 1] or " "
+    return model.likelihood(left + reading + right) - model.likelihood(left + text[start:end] + right)
+
+
+def _escaped_repair(text: str, applied: list[str]) -> str:
+    """``text`` with the stretches read that an escape begins, byte pairs that mean nothing as lost characters."""
+
+    def fixed(match: re.Match) -> str:
+        begin, body = match.group(1), match.group(2)
+        back = re.match(r"(?:[!-~]{2})*?(?=\([BJ])", body)
+        for part, rest in ((body, ""), *([(back.group(), body[back.end() + 2 :])] if back and not match.group().endswith(("\x1b(B", "\x1b(J")) else [])):
+            for encoding in _ESCAPING:
+                reading = _decoded(f"{begin}{part}\x1b(B".encode("ascii"), encoding)
+                if _readable(reading):
+                    applied.append(f"ascii>{encoding}")
+                    return reading + rest
+        for encoding in _ESCAPING:
+            found = [_decoded(f"{begin}{body[k : k + 2]}\x1b(B".encode("ascii"), encoding) for k in range(0, len(body) - 1, 2)]
+            if any(found):
+                applied.append(f"ascii>{encoding}")
+                return "".join(c or LOST for c in found) + LOST * (len(body) % 2)
+        return match.group()
+
+    return _ESCAPED.sub(fixed, text)
+
+
+def _unescaped_repair(text: str, model: PairModel, applied: list[str]) -> str:
+    """As ``_escaped_repair`` where the escape characters themselves were lost: by kana, or by what is probable."""
+    out, done, last = [], 0, 0
+    for match in re.finditer(r"\([BJ]", text):
+        begin = match.start()
+        while begin > last and "!" <= text[begin - 1] <= "~":
+            begin -= 1
+        start = re.search(r"\$[@B]", text[begin : match.start()])
+        last = match.end()
+        if not start:
+            continue
+        begin += start.start()
+        reading = _decoded(f"\x1b{text[begin : match.start()]}\x1b(B".encode("ascii"), "iso2022_jp")
+        if _readable(reading) and (_letters_of_small_scripts(reading) >= EVIDENT_LETTERS or _gain(text, begin, match.end(), reading, model) >= SINGLE_BYTE_GAIN):
+            out += [text[done:begin], reading]
+            done = match.end()
+            applied.append("ascii>iso2022_jp")
+    return "".join([*out, text[done:]])
+
+
+def _shifted_repair(text: str, model: PairModel, applied: list[str]) -> str:
+    """``text`` with the stretches between shift-out and shift-in read, and those between the brackets of HZ."""
+    named = {{"A": "gb2312", "C": "euc_kr"}[x] for x in _DESIGNATED.findall(text)} or {"gb2312", "euc_kr"}
+
+    def high(body: str, encoding: str) -> str | None:
+        return _decoded(bytes(ord(c) | 0x80 if c > " " else ord(c) for c in body), encoding)
+
+    def shifted(match: re.Match) -> str:
+        readings = [(_gain(text, *match.span(), reading, model), reading, encoding) for encoding in sorted(named) if _readable(reading := high(match.group(1), encoding))]
+        if not readings:
+            return match.group()
+        applied.append(f"ascii>{max(readings)[2]}")
+        return max(readings)[1]
+
+    def braced(match: re.Match) -> str:
+        reading = high(match.group(1), "gb2312")
+        sure = _readable(reading) and ("~" not in match.group(1) and len(reading) >= EVIDENT_LETTERS or _gain(text, *match.span(), reading, model) >= SINGLE_BYTE_GAIN)
+        if sure:
+            applied.append("ascii>hz")
+        return reading if sure else match.group()
+
+    if "\x0e" in text:
+        new = _SHIFTED.sub(shifted, text)
+        text = _DESIGNATED.sub("", new) if new != text else text
+    return _BRACED.sub(braced, text)
+
+
+def _utf7_repair(text: str, model: PairModel, applied: list[str]) -> str:
+    """``text`` with the stretches read that are UTF-7, by their letters together or by what is probable."""
+    readings = {}
+    for stretch in set(_BASE64.findall(text)):
+        reading = _decoded(f"{stretch.removesuffix('-')}-".encode("ascii"), "utf-7")
+        if _readable(reading) and not reading.isascii():
+            readings[stretch] = reading
+    letters = {stretch: _letters_of_small_scripts(reading) for stretch, reading in readings.items() if stretch.endswith("-")}
+    together = sum(letters.values()) >= EVIDENT_LETTERS and sum(map(bool, letters.values())) > 1
+
+    def sure(match: re.Match) -> bool:
+        stretch = match.group()
+        if stretch not in readings:
+            return False
+        evident = _letters_of_small_scripts(readings[stretch]) >= EVIDENT_LETTERS or together and letters.get(stretch)
+        return bool(evident) or _gain(text, *match.span(), readings[stretch], model) >= SINGLE_BYTE_GAIN
+
+    def fixed(match: re.Match) -> str:
+        reading = readings.get(match.group())
+        return reading if reading is not None and (match.start() in held or model.knows(reading)) else match.group()
+
+    # Where some stretches are sure, those of characters that the corpus knows are too.
+    held = {match.start() for match in _BASE64.finditer(text) if sure(match)} if readings else set()
+    if not held:
+        return text
+    applied.append("ascii>utf-7")
+    return _BASE64.sub(fixed, text)
+
+
+def _wide_readings(shown: str) -> Iterator[tuple[str, str]]:
+    """(text, mapping) for each way to read ``shown`` as two or four bytes a character."""
+    raws = {}
+    for wrong in WRONG[:1] if shown.isascii() else WRONG:
+        raw = unread(shown, wrong)
+        if raw is not None:
+            raws.setdefault(raw, wrong)
+    for raw, wrong in raws.items():
+        for encoding in ("utf-16-le", "utf-16-be"):
+            reading = _decoded(raw, encoding)
+            if reading is None:
+                continue
+            for nulls, others in ((reading[1::2], reading[::2]), (reading[::2], reading[1::2])):
+                if nulls and not nulls.strip("\0") and "\0" not in others:
+                    yield others.lstrip("\ufeff"), f"{wrong}>{encoding.replace('16', '32')}"
+            yield reading.lstrip("\ufeff"), f"{wrong}>{encoding}"
+
+
+def _wide_repair(text: str, model: PairModel, applied: list[str]) -> str:
+    """``text`` with the stretches read that have a control as every second character, or read as a whole.
+
+    The stretches are the maximal scoring segments of the controls at even and at odd places.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    control = (codes < 9) | (codes > 13) & (codes < 32)
+    whole = 0 < len(text) == len(text) // 2 * 2 and (text.isascii() or control.any())
+    if whole and model.best_log - (before := model.likelihood(f" {text} ")) >= SINGLE_BYTE_GAIN:
+        gains = [(gain, reading, mapping) for reading, mapping in _wide_readings(text) if (gain := model.likelihood(f" {reading} ") - before) >= SINGLE_BYTE_GAIN and model.knows(reading) and _readable(reading)]
+        if gains:
+            applied.append(max(gains)[2])
+            return max(gains)[1]
+    found = []
+    for first in (0, 1) if control.any() else ():
+        units = control[first::2]
+        for start, end in maximal_segments(np.where(units, 1.0, -1.0)):
+            net, begin, size = 2 * int(units[start:end].sum()) - (end - start), first + 2 * start, 2 * (end - start)
+            around = max(0, begin - 3), min(len(text), begin + size + 2)
+            before = model.likelihood(f" {text[slice(*around)]} ")
+            for low in (begin - 1, begin):
+                low = low + 2 if low < 0 else low
+                high = low + (min(begin - (low < begin) + size, len(text)) - low) // 2 * 2
+                marked = low >= 2 and any(unread(text[low - 2 : low], wrong) in (b"\xff\xfe", b"\xfe\xff") for wrong in WRONG)
+                low -= 2 * marked
+                for reading, mapping in _wide_readings(text[low:high]):
+                    head, tail = text[around[0] : low], text[high : around[1]]
+                    gain = model.likelihood(f" {head}{reading}{tail} ") - before
+                    if _readable(reading) and len(set(reading)) > 1 and (net >= EVIDENT_LETTERS or gain >= SINGLE_BYTE_GAIN):
+                        bounded = (not low or text[low - 1].isspace()) + (high == len(text) or text[high].isspace())
+                        found.append((net, marked, CONTROL.search(head + tail) is None, gain, bounded, mapping.endswith("le"), low, high, reading, mapping))
+    out, taken = [], np.zeros(len(text), bool)
+    for *_, low, high, reading, mapping in sorted(found, reverse=True):
+        if not taken[low:high].any():
+            taken[low:high] = True
+            out.append((low, high, reading))
+            applied.append(mapping)
+    for low, high, reading in sorted(out, reverse=True):
+        text = text[:low] + reading + text[high:]
+    return text
+
+
+def _may_hide(text: str) -> bool:
+    """Whether ``text`` has what shows the encodings that shift in ASCII, or controls."""
+    return any(mark in text for mark in ("+", "(B", "(J", "~}")) or CONTROL.search(text) is not None
+
+
+def _hidden_repair(text: str, model: PairModel) -> tuple[str, list[str]]:
+    """``text`` with what encodings show as ASCII and controls read, and the mappings applied."""
+    applied: list[str] = []
+    hides = _may_hide(text)
+    if hides:
+        text = _escaped_repair(text, applied)
+        text = _unescaped_repair(text, model, applied)
+        text = _shifted_repair(text, model, applied)
+        text = _utf7_repair(text, model, applied)
+    if text.isascii() or hides and CONTROL.search(text):
+        text = _wide_repair(text, model, applied)
+    return text, applied
+
+
 def repair(text: str, model: PairModel, segments: list[tuple[int, int]] | None = None) -> tuple[str, list[str], bool]:
     """(restored text, mappings applied, whether characters are lost for good); ``segments`` are those of the text, if known."""
     applied: list[str] = []
     seen = {text}
     while True:
+        text, hidden = _hidden_repair(text, model)
         text, evident = _evident_repair(text)
-        applied += [f"{wrong}>utf-8" for wrong in evident]
+        applied += hidden + [f"{wrong}>utf-8" for wrong in evident]
         held = sorted({a[: -len(">utf-8")] for a in applied if a.endswith(">utf-8")})
-        if segments is None or evident:
+        if segments is None or hidden or evident:
             segments = maximal_segments(-model.scores(_codes(text)))
-        out, done, changed, lost = [], 0, bool(evident), False
+        out, done, changed, lost = [], 0, bool(hidden or evident), False
         for start, end in segments:
             start, end = _widened(text, max(0, min(start - 1, len(text))), max(0, min(end, len(text))))
             start = max(start, done)
@@ -411,14 +636,17 @@ def repair(text: str, model: PairModel, segments: list[tuple[int, int]] | None =
 
 
 def searched(texts: list[str], model: PairModel) -> Iterator[tuple[str, list[str], bool] | None]:
-    """The repair of each text, None where it shows nothing improbable; the pairs of all texts are scored at once."""
-    codes = [_codes(text) for text in texts]
-    scores = model.scores(np.concatenate(codes)) if codes else np.empty(0)
+    """The repair of each text, None where it shows nothing improbable; the pairs of all texts are scored at once.
+
+    Pairs of ASCII are plain, so texts of ASCII have no segments.
+    """
+    codes = [np.empty(0, np.uint32) if text.isascii() else _codes(text) for text in texts]
+    scores = model.scores(np.concatenate(codes)) if any(map(len, codes)) else np.empty(0)
     start = 0
     for text, own in zip(texts, codes, strict=True):
-        segments = maximal_segments(-scores[start : start + len(own) - 1])
+        segments = maximal_segments(-scores[start : start + len(own) - 1]) if len(own) else []
         start += len(own)
-        yield repair(text, model, segments) if segments or _may_be_evident(text) else None
+        yield repair(text, model, segments) if segments or text.isascii() or _may_hide(text) or _may_be_evident(text) else None
 
 
 def _may_be_evident(text: str) -> bool:
@@ -427,22 +655,23 @@ def _may_be_evident(text: str) -> bool:
 
 
 def fit_pairs(texts: DataFrame) -> PairModel:
-    """Pair counts over all texts with a character beyond ASCII; collects at most 2^18 + 2^15 numbers."""
+    """Pair counts over all texts; collects at most 2^18 + 2^15 numbers and two."""
     rows = texts.mapInArrow(_count, "kind int, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()
-    arrays = [np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64), np.zeros(1, np.int64)]
+    arrays = [np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)]
     for kind, part in rows.groupby("kind"):
         arrays[kind][part["bin"].to_numpy()] = part["n"].to_numpy()
-    return PairModel(arrays[0], arrays[1], int(arrays[2][0]))
+    return PairModel(arrays[0], arrays[1], int(arrays[2][0]), int(arrays[3][0]))
 
 
 def garbled(documents: DataFrame) -> DataFrame:
     """(doc_id, restored, mappings, lost) of the documents with wrongly decoded text in any part.
 
     ``restored`` is the text with every run repaired that could be; ``lost`` tells that replacement characters
-    remain. Null, empty and pure ASCII texts are no case. Repeated rows count once.
+    remain. Null and empty texts are no case. Repeated rows count once. A text without a doc_id is counted
+    like all others, but no row of the result can name it.
     """
     spark = documents.sparkSession
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     model = spark.sparkContext.broadcast(fit_pairs(texts))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,4 +684,4 @@ def garbled(documents: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], pa.bool_())], ["doc_id", "restored", "mappings", "lost"])
 
-    return texts.mapInArrow(search, "doc_id long, restored string, mappings array<string>, lost boolean").dropDuplicates(["doc_id", "restored"])
+    return texts.where("doc_id is not null").mapInArrow(search, "doc_id long, restored string, mappings array<string>, lost boolean").dropDuplicates(["doc_id", "restored"])

@@ -529,3 +529,54 @@ def test_runs_of_clean_texts_that_happen_to_be_utf8_stay():
     model = encoding.PairModel(*[__import__("numpy").zeros(1 << b, int) for b in (encoding.PAIR_BITS, encoding.CHAR_BITS)], 10)
     for text in ("L’été, l’étang, l’écran, d’Évian", "Её узел и её блок, рад, сам, так", "исправлен только счётчик", "только", "„Spaß“ und „groß“ und „süß“, „Spaß“", "│ ├─ a\n│ └─┐ b ─┤"):
         assert encoding._evident_repair(text) == (text, []) and not encoding.repair(text, model)[1]
+
+
+def _shown_as_ascii():
+    russian, japanese = "Каждый узел проверяется после того, как блок обновлён.", "新しい経路は履歴に依存しません"
+    one_byte = lambda text, encoding: text.encode(encoding).decode("latin-1")
+    return {
+        "utf-16": (russian, one_byte(russian, "utf-16-le")), "utf-16-be": (russian, one_byte(russian, "utf-16-be")), "utf-32": (russian, one_byte(russian, "utf-32-le")),
+        "latin utf-16": ("the block was updated", one_byte("the block was updated", "utf-16-le")), "utf-16 inside": ("see: каждый узел (node)", "see: " + one_byte("каждый узел", "utf-16-le") + " (node)"),
+        "utf-16 of ascii only": ("こたえはここに", one_byte("こたえはここに", "utf-16-be")),
+        "iso-2022-jp": (f"see {japanese} here", f"see {one_byte(japanese, 'iso2022_jp')} here"), "escapes lost": (f"see {japanese}.", f"see {one_byte(japanese, 'iso2022_jp')}.".replace("\x1b", "")),
+        "iso-2022-kr": ("node 안녕 세계", one_byte("node 안녕 세계", "iso2022_kr")), "hz": ("node 这个函数返回", one_byte("node 这个函数返回", "hz")),
+        "utf-7": ("Größe und Schlüssel für später, déjà", one_byte("Größe und Schlüssel für später, déjà", "utf-7")), "utf-7 words": ("узел node", one_byte("узел node", "utf-7")),
+        "twice": ("Größe und Schlüssel für später, déjà", one_byte(one_byte("Größe und Schlüssel für später, déjà", "utf-8"), "utf-7")),
+    }
+
+
+def test_texts_of_ascii_are_read_too(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([*CLEAN, "こたえはここにある", "a plain text of ascii"]) + " " + rng.choice(CLEAN)) for i in range(300)]
+    cases = {1000 + i: case for i, case in enumerate(_shown_as_ascii().values())}
+    assert all(bad.isascii() for _, bad in cases.values())
+    lost = "see \x1b$B?7$7\x7f\x1b(B"
+    rows += [(k, bad) for k, (_, bad) in cases.items()] + [(2000, lost), (2001, "plain"), (2002, ""), (2003, None), (None, cases[1000][1])]
+    found = encoding.garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.restored for r in found if r.doc_id != 2000} == {k: text for k, (text, _) in cases.items()}
+    assert len(found) == len(cases) + 1
+
+
+def test_all_texts_vote(spark):
+    rows = [(1, "plain"), (None, "plain"), (2, "Größe"), (3, ""), (4, None)]
+    model = encoding.fit_pairs(spark.createDataFrame(rows, "doc_id long, text string").where("text is not null"))
+    assert (model.documents, model.beyond) == (4, 1)
+
+
+@pytest.mark.parametrize("text", [
+    "\x1b[31mred\x1b[0m and \x1b[1;32mgreen\x1b[0m", "N\x08NA\x08AM\x08ME\x08E _\x08n_\x08a", "page one\x0cpage two\x0c", "a\0b\0src/main.c\0src/lib.c\0", "\0\0\0\0\0\0\0\0", "C++ and a+b+c, REST+API, +49 301234567, x+AND-y",
+    "(format t \"~{~a~^, ~}~%\" items) ~{<~a>~}", "$BASE/bin(B) $BUILD_DIR(B) cost$B2(B", "+Assert\n+foo\n-bar", "sha512-9Jn+ABCd/efGhIjKlMnOpQrStUv+wxyz0123456789abcdefg==", "q\0", "x", "zq xj vk", "\x0e>H3g\u3000\x0f",
+])
+def test_clean_texts_of_ascii_stay(text):
+    model = encoding.PairModel(*[__import__("numpy").zeros(1 << b, int) for b in (encoding.PAIR_BITS, encoding.CHAR_BITS)], 10)
+    assert encoding.repair(text, model) == (text, [], False)
+
+
+def test_long_texts_of_ascii_end_soon():
+    import time
+
+    model = encoding.PairModel(*[__import__("numpy").zeros(1 << b, int) for b in (encoding.PAIR_BITS, encoding.CHAR_BITS)], 10)
+    start = time.time()
+    for unit in ("$B", "~{a", "+", "\x1b$B", "\x0e", "(B", "$B(B", "a\0", "\0", "\x01a\x02"):
+        encoding.repair(unit * 50_000, model)
+    assert time.time() - start < 30
